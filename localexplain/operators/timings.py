@@ -61,15 +61,15 @@ def carry_tags(lines: DataFrame, tag: str = "tag") -> DataFrame:
     before = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         chunks.join(of_chunk, ["file", "chunk"], "left")
-        .withColumn("carry_in", F.last("last_tag", ignorenulls=True).over(before))
-        .select("file", "chunk", "carry_in")
+        .withColumn("_carry_in", F.last("last_tag", ignorenulls=True).over(before))
+        .select("file", "chunk", "_carry_in")
     )
     upto = Window.partitionBy("file", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        lines.withColumn("own", F.last(tag, ignorenulls=True).over(upto))
+        lines.withColumn("_own", F.last(tag, ignorenulls=True).over(upto))
         .join(carried, ["file", "chunk"])
-        .withColumn("current", F.coalesce("own", "carry_in"))
-        .drop("own", "carry_in")
+        .withColumn("current", F.coalesce("_own", "_carry_in"))
+        .drop("_own", "_carry_in")
     )
 
 
