@@ -217,6 +217,21 @@ def solved(d, ridge=1e-3, pre="") -> str:
     )
 
 
+def conjugate(d, ridge=1e-3, steps=200, pre="") -> str:
+    """CTEs for beta by conjugate gradients, which only carry vectors; for many features."""
+    n = d + 1
+    ap = f"list_transform(a, lambda r, i: list_inner_product(r, p) + {ridge!r} * p[i])"
+    return (
+        f"{pre}eli AS (SELECT id, 0 AS k, {_list(['0.0::DOUBLE'] * n)} AS beta, b AS r, b AS p, list_inner_product(b, b) AS rr "
+        f"FROM {pre}sys UNION ALL SELECT id, k + 1, beta, r, list_transform(r, lambda v, i: v + nn / rr * p[i]), nn FROM ("
+        f"SELECT *, list_inner_product(r, r) AS nn FROM (SELECT id, k, rr, p, "
+        f"list_transform(beta, lambda v, i: v + al * p[i]) AS beta, list_transform(r, lambda v, i: v - al * ap[i]) AS r FROM ("
+        f"SELECT *, rr / list_inner_product(p, ap) AS al FROM (SELECT e.id, k, beta, r, p, rr, {ap} AS ap "
+        f"FROM {pre}eli e JOIN {pre}sys y ON e.id = y.id WHERE k < {steps} AND rr > 1e-28))))), "
+        f"{pre}bet AS MATERIALIZED (SELECT id, arg_max(beta, k) AS beta FROM {pre}eli GROUP BY id)"
+    )
+
+
 def descended(d, ridge=1e-3, iters=500, lr=1e-2, pre="") -> str:
     n = d + 1
     step = (
@@ -276,7 +291,7 @@ def fitted(d, pre="", normalized=False) -> str:
 def explained(name, b, ridge=1e-3, solver="cholesky", pre="", wide=False, normalized=None, epochs=300, **kw) -> str:
     d = kw.get("take") or INSTANCES[name][0]
     solve = {
-        "cholesky": lambda: solved(d, ridge, pre),
+        "cholesky": lambda: conjugate(d, ridge, pre=pre) if wide else solved(d, ridge, pre),
         "gd": lambda: descended(d, ridge, pre=pre),
         "adam": lambda: adam(d, epochs, pre=pre),
     }[solver]()
