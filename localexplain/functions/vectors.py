@@ -25,6 +25,24 @@ def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)))
 
 
+# Sums over short vectors are written out: higher-order functions are interpreted per element,
+# written-out terms are part of the generated code.
+UNROLLED = 32
+
+
+def dot_of(a: str, b: str, d: int) -> Column:
+    """``dot`` of two vector columns of known length."""
+    if d > UNROLLED:
+        return dot(F.col(a), F.col(b))
+    return F.expr(" + ".join(f"{a}[{i}] * {b}[{i}]" for i in range(d)))
+
+
+def squared_distance_of(a: str, b: str, d: int) -> Column:
+    if d > UNROLLED:
+        return squared_distance(F.col(a), F.col(b))
+    return F.expr(" + ".join(f"({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}])" for i in range(d)))
+
+
 def sigmoid(logit: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from localexplain.functions import draws
 from localexplain.functions.draws import DRAWS_PER_CELL, double
+from localexplain.functions.sizes import salted_join
 from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, spread
 from localexplain.operators.score import logit, score_at_x0
 from localexplain.sources.models import Model
@@ -28,6 +29,7 @@ from localexplain.sources.models import Model
 # generated methods pass the JIT limit, so NumPy forms the Gram matrix of each Arrow batch.
 UNROLLED_GRAM = 8
 CELLS_PER_BLOCK = 1 << 20
+FLOATS_PER_BATCH = 1 << 22
 MERGE_SALTS = 64
 HEAD = 4
 
@@ -36,6 +38,11 @@ def size_of(d: int) -> int:
     return HEAD + 4 * d + d * (d + 1) // 2
 
 
+def rows_per_batch(d: int) -> int:
+    """Rows of ``s`` in one Arrow batch, so that a batch stays near 32 MB whatever D is."""
+    return max(1, FLOATS_PER_BATCH // size_of(d))
+
+
 def _sums(d: int, off: list[str], w: str, y: str) -> list[str]:
     """SQL of the entries of ``s`` given column names; w*d_i, w*y and the like are shared."""
     return (
@@ -122,9 +129,11 @@ def sample_moments(samples: DataFrame, d: int) -> DataFrame:
             w = batch["weight"].to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
             runs = np.split(order, np.flatnonzero(np.diff(ids[order])) + 1)
-            s = np.stack([block_sums((x[r] - x0[r])[None], w[None, r], y[None, r])[0] for r in runs])
-            heads = np.array([r[0] for r in runs])
-            yield _batch(ids[heads], x0[heads], bb[heads], s)
+            for at in range(0, len(runs), rows_per_batch(d)):
+                some = runs[at : at + rows_per_batch(d)]
+                s = np.stack([block_sums((x[r] - x0[r])[None], w[None, r], y[None, r])[0] for r in some])
+                heads = np.array([r[0] for r in some])
+                yield _batch(ids[heads], x0[heads], bb[heads], s)
 
     parts = samples.select("instance_id", "x0", "bb_x0", "x", "pred", "weight").mapInArrow(
         partial_sums, PARTIAL
@@ -191,23 +200,25 @@ def _blocked(df, model, background, n_samples, mask_prob, noise_std, kernel_widt
 
     def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            ids = batch["instance_id"].to_numpy(zero_copy_only=False)
-            first = batch["first_sample"].to_numpy(zero_copy_only=False)
-            last = batch["last_sample"].to_numpy(zero_copy_only=False)
-            x0, bb = _matrix(batch["x0"]), batch["bb_x0"].to_numpy(zero_copy_only=False)
-            s = np.zeros((len(ids), size_of(d)))
-            step_b = max(1, CELLS_PER_BLOCK // d)
-            # rows that cover the same sample range are computed together, block by block
-            for lo, hi in sorted(set(zip(first.tolist(), last.tolist()))):
-                rows = np.flatnonzero((first == lo) & (last == hi))
-                step_m = max(1, step_b // (hi - lo + 1))
-                for at in range(0, len(rows), step_m):
-                    r = rows[at : at + step_m]
-                    for start in range(lo, hi + 1, step_b):
-                        s[r] += block(ids[r], x0[r], bb[r], start, min(hi, start + step_b - 1))
-            yield _batch(ids, x0, bb, s, salt=(first // chunk) % MERGE_SALTS)
+            for at in range(0, len(batch), rows_per_batch(d)):
+                yield sums_of(batch.slice(at, rows_per_batch(d)))
+
+    def sums_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch["instance_id"].to_numpy(zero_copy_only=False)
+        first = batch["first_sample"].to_numpy(zero_copy_only=False)
+        last = batch["last_sample"].to_numpy(zero_copy_only=False)
+        x0, bb = _matrix(batch["x0"]), batch["bb_x0"].to_numpy(zero_copy_only=False)
+        s = np.zeros((len(ids), size_of(d)))
+        step_b = max(1, CELLS_PER_BLOCK // d)
+        # rows that cover the same sample range are computed together, block by block
+        for lo, hi in sorted(set(zip(first.tolist(), last.tolist()))):
+            rows = np.flatnonzero((first == lo) & (last == hi))
+            step_m = max(1, step_b // (hi - lo + 1))
+            for at in range(0, len(rows), step_m):
+                r = rows[at : at + step_m]
+                for start in range(lo, hi + 1, step_b):
+                    s[r] += block(ids[r], x0[r], bb[r], start, min(hi, start + step_b - 1))
+        return _batch(ids, x0, bb, s, salt=(first // chunk) % MERGE_SALTS)
 
     parts = df.select("instance_id", "x0", "bb_x0", "first_sample", "last_sample").mapInArrow(
         partial_sums, PARTIAL + ", salt INT"
@@ -244,6 +255,6 @@ def feature_stats(moments: DataFrame, d: int, eps: float = 1e-8) -> DataFrame:
 def zscore(samples: DataFrame, stats: DataFrame) -> DataFrame:
     """Long cells (instance_id, sample_id, feature_idx, x) with ``x_norm``; stats are one row per cell column."""
     keys = ["instance_id", "feature_idx"]
-    return samples.join(stats.select(*keys, "mean", "std"), keys).withColumn(
+    return salted_join(samples, stats.select(*keys, "mean", "std"), keys).withColumn(
         "x_norm", (F.col("x") - F.col("mean")) / F.col("std")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from localexplain.functions.draws import TWO_31, check_seed
+from localexplain.functions.sizes import broadcast_if_small
 from localexplain.operators.score import logit
 from localexplain.sources.models import MAX_FEATURES, Model
 
@@ -47,7 +48,8 @@ def stratified_split(
             F.min(F.struct("_bucket", (F.col("quota") - F.col("after") + F.col("c")).alias("need")))["need"].alias("_need"),
         )
     )
-    placed = rows.join(cuts.withColumnRenamed(label, "_label"), F.col(label).eqNullSafe(F.col("_label")), "left")
+    cuts = broadcast_if_small(cuts.withColumnRenamed(label, "_label"))
+    placed = rows.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
     whole = placed.where(F.coalesce(F.col("_bucket") != F.col("_cut"), F.lit(True))).withColumn(
         "split", F.when(F.col("_bucket") > F.col("_cut"), "train").otherwise("test")
     )
@@ -81,7 +83,7 @@ def select_instances(df: DataFrame, positions: Sequence[int], key: str = "row_id
     ).select("_bucket", "_before")
     in_bucket = Window.partitionBy("_bucket").orderBy("_h", key)
     return (
-        rows.join(offsets, "_bucket")
+        rows.join(F.broadcast(offsets), "_bucket")  # at most one bucket per position
         .withColumn("position", F.col("_before") + F.row_number().over(in_bucket) - 1)
         .where(F.array_contains(wanted, F.col("position")))
         .select(*df.columns, "position")

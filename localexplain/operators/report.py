@@ -98,7 +98,7 @@ def ablation_curve(
         "ord_mean", F.transform("ord", lambda i: F.get("x_mean", i))
     )
     rows = refit_samples(rows, model, background, **sampling)
-    start = vectors.dot(F.col("coeff"), F.col("x"))
+    start = vectors.dot_of("coeff", "x", d)
     if include_intercept:
         start = start + F.col("intercept")
     rows = rows.withColumn("p0", start).selectExpr(

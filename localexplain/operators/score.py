@@ -13,12 +13,9 @@ from localexplain.functions import vectors
 from localexplain.functions.draws import double
 from localexplain.sources.models import Model
 
-UNROLLED_DOT = 32
-
-
 def logit(vec: str, model: Model) -> Column:
     """``bias + w.vec``; short vectors are written out so that they stay in generated code."""
-    if model.d <= UNROLLED_DOT:
+    if model.d <= vectors.UNROLLED:
         terms = [f"{double(w)} * {vec}[{i}]" for i, w in enumerate(model.w)]
         return F.expr(" + ".join([double(model.bias), *terms]))
     return vectors.dot(F.col(vec), vectors.literal(model.w)) + F.lit(float(model.bias))
@@ -73,9 +70,13 @@ def kernel_weight(dist: Column, kernel_width: float = 1.0) -> Column:
     return F.exp(-dist / F.lit(float(kernel_width) ** 2))
 
 
-def weigh(samples: DataFrame, kernel_width: float = 1.0) -> DataFrame:
-    """Add ``dist`` (squared, unscaled) and ``weight``; needs ``x`` and ``x0``."""
-    with_dist = samples.withColumn("dist", sq_distance(F.col("x"), F.col("x0")))
+def weigh(samples: DataFrame, kernel_width: float = 1.0, d: int | None = None) -> DataFrame:
+    """Add ``dist`` (squared, unscaled) and ``weight``; needs ``x`` and ``x0``.
+
+    With the vector length ``d`` known, short distances stay in generated code.
+    """
+    dist = sq_distance(F.col("x"), F.col("x0")) if d is None else vectors.squared_distance_of("x", "x0", d)
+    with_dist = samples.withColumn("dist", dist)
     return with_dist.withColumn("weight", kernel_weight(F.col("dist"), kernel_width))
 
 

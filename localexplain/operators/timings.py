@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from localexplain.functions.sizes import broadcast_if_small
+
 # The line formats of the logs.
 _TAG = r"D=(\d+)\s+B=(\d+)"
 _BODY = r"Timing \(ms\):\s+gen\s+([\d.]+)\s+infer\s+([\d.]+)\s+weights\s+([\d.]+)\s+total\s+([\d.]+)"
@@ -56,14 +58,10 @@ def carry_tags(lines: DataFrame, tag: str = "tag") -> DataFrame:
     One file may hold most lines, so no window spans a file's lines: the last tag of every chunk is
     carried over the chunks (one row each), and the lines only look back inside their chunk.
     """
-    of_chunk = lines.where(F.col(tag).isNotNull()).groupBy("file", "chunk").agg(F.max_by(tag, "seq").alias("last_tag"))
-    chunks = lines.groupBy("file", "chunk").agg(F.count(F.lit(1)).alias("n_lines"))
+    last_at = F.when(F.col(tag).isNotNull(), F.col("seq"))
+    chunks = lines.groupBy("file", "chunk").agg(F.max_by(tag, last_at).alias("_last"))
     before = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        chunks.join(of_chunk, ["file", "chunk"], "left")
-        .withColumn("_carry_in", F.last("last_tag", ignorenulls=True).over(before))
-        .select("file", "chunk", "_carry_in")
-    )
+    carried = chunks.withColumn("_carry_in", F.last("_last", ignorenulls=True).over(before)).drop("_last")
     upto = Window.partitionBy("file", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         lines.withColumn("_own", F.last(tag, ignorenulls=True).over(upto))
@@ -73,23 +71,32 @@ def carry_tags(lines: DataFrame, tag: str = "tag") -> DataFrame:
     )
 
 
-def parse_bare(lines: DataFrame, kind: str = "gpu") -> DataFrame:
-    """Times without an adjoining D and B: they belong to the last tag seen, or are dropped.
+def _single_device(lines: DataFrame, kind: str) -> DataFrame:
+    """Lines with times, whether they are complete (``own``) and the (D, B) they belong to.
 
-    A line that ``parse_tagged`` takes neither sets the tag nor counts here.
+    A complete line does not set the tag for the bare lines after it.
     """
-    tagged = F.col("value").rlike(TAGGED[_kind(kind)])
-    rows = lines.withColumn("tag", F.when(~tagged, _tag())).withColumn("t", F.when(~tagged, _entry(_BODY, 1)))
-    return (
-        carry_tags(rows.where(F.col("tag").isNotNull() | F.col("t").isNotNull()))
-        .where(F.col("t").isNotNull() & F.col("current").isNotNull())
-        .select("file", "chunk", "seq", "current.*", "t.*")
+    pattern = TAGGED[_kind(kind)]
+    rows = (
+        lines.withColumn("own", F.when(F.col("value").rlike(pattern), _tag(pattern)))
+        .withColumn("tag", F.when(F.col("own").isNull(), _tag()))
+        .withColumn("t", F.coalesce(_entry(pattern, 3), _entry(_BODY, 1)))
+    )
+    tagged = carry_tags(rows.where(F.col("tag").isNotNull() | F.col("t").isNotNull()))
+    return tagged.withColumn("key", F.coalesce("own", "current")).where(
+        F.col("t").isNotNull() & F.col("key").isNotNull()
     )
 
 
+def parse_bare(lines: DataFrame, kind: str = "gpu") -> DataFrame:
+    """Times without an adjoining D and B: they belong to the last tag seen, or are dropped."""
+    rows = _single_device(lines, kind).where(F.col("own").isNull())
+    return rows.select("file", "chunk", "seq", "key.*", "t.*")
+
+
 def parse_log(lines: DataFrame, kind: str = "gpu") -> DataFrame:
-    """All runs of a single-device log."""
-    return parse_tagged(lines, kind).unionByName(parse_bare(lines, kind))
+    """All runs of a single-device log: complete lines and bare lines under their tag."""
+    return _single_device(lines, kind).select("file", "chunk", "seq", "key.*", "t.*")
 
 
 def drop_first(runs: DataFrame, n: int = 0) -> DataFrame:
@@ -111,7 +118,7 @@ def drop_first(runs: DataFrame, n: int = 0) -> DataFrame:
     )
     counts = runs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("runs"))
     return (
-        runs.join(ends.join(counts, KEY), KEY)
+        runs.join(broadcast_if_small(ends.join(counts, KEY)), KEY)
         .where((F.col("runs") <= n) | (order > F.col("end")))
         .drop("end", "runs")
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from localexplain.functions.sizes import salted_join
 from localexplain.operators.fit import fit
 from localexplain.operators.moments import perturbed_moments, sample_moments
 from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, perturb
@@ -39,19 +40,17 @@ def scored_samples(
         )
     else:
         samples = with_instances(samples, instances)
-    return weigh(score(samples, model, method), kernel_width)
+    d = model.d if isinstance(model, Model) else None if background is None else len(background)
+    return weigh(score(samples, model, method), kernel_width, d)
 
 
 def with_instances(samples: DataFrame, instances: DataFrame, salts: int = REPLAY_SALTS) -> DataFrame:
     """Stored samples joined to their instance rows.
 
-    One instance may own a third of the samples, so both sides carry a salt: samples of an instance
-    spread over ``salts`` groups and the (B times smaller) instance side is repeated for each.
-    Adaptive execution still broadcasts the instances when their measured size allows it.
+    One instance may own a third of the samples, so the join is salted by sample.  Adaptive execution
+    still broadcasts the instances when their measured size allows it.
     """
-    left = samples.drop("x0").withColumn("salt", F.pmod(F.col("sample_id"), F.lit(salts)))
-    right = instances.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt")
-    return left.join(right, ["instance_id", "salt"]).drop("salt")
+    return salted_join(samples.drop("x0"), instances, ["instance_id"], salts)
 
 
 def explain(
