@@ -86,7 +86,7 @@ def perturbed_moments(
     base, off = [f"b{f}" for f in range(d)], [f"d{f}" for f in range(d)]
     # coalesce marks the columns as never null, which halves the generated code
     df = df.selectExpr(
-        "coalesce(instance_id, 0L) AS instance_id",
+        "instance_id",
         *[f"coalesce(x0[{f}], 0D) AS {b}" for f, b in enumerate(base)],
         "coalesce(bb_x0, 0D) AS bb_x0", "first_sample", "last_sample",
     ).selectExpr(

@@ -42,7 +42,9 @@ def spread(
     """
     if n_samples < 1:
         raise ValueError("n_samples must be at least 1")
-    df = instances.withColumn("x0", F.expr(checked_x0(d)))
+    # the id is made never null here and not later: a new column above the shuffle would not be known
+    # to be partitioned, and the sums would be shuffled again
+    df = instances.withColumns({"x0": F.expr(checked_x0(d)), "instance_id": F.expr("coalesce(instance_id, 0L)")})
     n = task_count(df, partitions)
     if n_samples <= chunk:
         return df.selectExpr("*", "0 AS first_sample", f"{n_samples - 1} AS last_sample").repartition(
