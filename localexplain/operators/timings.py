@@ -27,27 +27,36 @@ def _kind(kind: str) -> str:
     return kind
 
 
-def _group(pattern: str, i: int, type_: str) -> Column:
-    found = F.regexp_extract("value", pattern, i)
-    return F.when(F.length(found) > 0, found).cast(type_)
+def _match(pattern: str) -> Column:
+    """The matched text, '' without a match: one regular expression per line and pattern."""
+    return F.regexp_extract("value", pattern, 0)
 
 
-def _entry(pattern: str, first: int) -> Column:
-    """The four stage times matched from group ``first`` on, NULL without a match."""
-    times = F.struct(*[_group(pattern, first + i, "double").alias(s) for i, s in enumerate(STAGES)])
-    return F.when(F.col("value").rlike(pattern), times)
+def _times(text: Column) -> Column:
+    """The four stage times at the end of a matched text, NULL without a match."""
+    words = F.split(text, r"\s+")
+    places = dict(zip(STAGES, (-7, -5, -3, -1)))
+    times = F.struct(*[F.element_at(words, at).cast("double").alias(s) for s, at in places.items()])
+    return F.when(text != "", times)
 
 
-def _tag(pattern: str = _TAG) -> Column:
-    tag = F.struct(_group(pattern, 1, "int").alias("D"), _group(pattern, 2, "int").alias("B"))
-    return F.when(F.col("value").rlike(pattern), tag)
+def _tag(text: Column) -> Column:
+    """(D, B) at the start of a matched text, NULL without a match."""
+    words = F.split(text, r"\s+")
+    parts = [F.substr(F.get(words, F.lit(i)), F.lit(3)).cast("int").alias(k) for i, k in enumerate(KEY)]
+    return F.when(text != "", F.struct(*parts))
+
+
+def _candidates(lines: DataFrame) -> DataFrame:
+    """Lines that can match any pattern, by plain substring search."""
+    return lines.where(F.contains("value", F.lit("Timing (ms):")) | F.contains("value", F.lit("D=")))
 
 
 def parse_tagged(lines: DataFrame, kind: str = "gpu") -> DataFrame:
     """Lines that hold their own D and B right before the times."""
-    pattern = TAGGED[_kind(kind)]
-    rows = lines.where(F.col("value").rlike(pattern))
-    return rows.select("file", "chunk", "seq", _tag(pattern).alias("tag"), _entry(pattern, 3).alias("t")).select(
+    rows = _candidates(lines).withColumn("own", _match(TAGGED[_kind(kind)])).where("own <> ''")
+    own = F.col("own")
+    return rows.select("file", "chunk", "seq", _tag(own).alias("tag"), _times(own).alias("t")).select(
         "file", "chunk", "seq", "tag.*", "t.*"
     )
 
@@ -76,15 +85,19 @@ def _single_device(lines: DataFrame, kind: str) -> DataFrame:
 
     A complete line does not set the tag for the bare lines after it.
     """
-    pattern = TAGGED[_kind(kind)]
-    rows = (
-        lines.withColumn("own", F.when(F.col("value").rlike(pattern), _tag(pattern)))
-        .withColumn("tag", F.when(F.col("own").isNull(), _tag()))
-        .withColumn("t", F.coalesce(_entry(pattern, 3), _entry(_BODY, 1)))
+    texts = _candidates(lines).select(
+        "file", "chunk", "seq", _match(TAGGED[_kind(kind)]).alias("own_text"), _match(_TAG).alias("tag_text"),
+        _match(_BODY).alias("body_text"),
     )
-    tagged = carry_tags(rows.where(F.col("tag").isNotNull() | F.col("t").isNotNull()))
-    return tagged.withColumn("key", F.coalesce("own", "current")).where(
-        F.col("t").isNotNull() & F.col("key").isNotNull()
+    complete = F.col("own_text") != ""
+    rows = texts.select(
+        "file", "chunk", "seq", _tag(F.col("own_text")).alias("own"),
+        F.when(~complete, _tag(F.col("tag_text"))).alias("tag"), _times(F.col("body_text")).alias("t"),
+    )
+    return (
+        carry_tags(rows)
+        .withColumn("key", F.coalesce("own", "current"))
+        .where(F.col("t").isNotNull() & F.col("key").isNotNull())
     )
 
 
@@ -133,23 +146,24 @@ def parse_combined(lines: DataFrame) -> DataFrame:
 
     Every tag is remembered, also that of a complete line.  A bare line is of the CPU if it says so.
     """
-    tag = F.col("value").rlike
-    rows = (
-        lines.withColumn("tag", _tag())
-        .withColumn(
-            "own", F.when(tag(TAGGED["gpu"]), "gpu").when(tag(TAGGED["cpu"]), "cpu")
-        )
-        .withColumn("t", _entry(_BODY, 1))
+    texts = _candidates(lines).select(
+        "file", "chunk", "seq", F.contains("value", F.lit("CPU")).alias("says_cpu"), _match(_TAG).alias("tag_text"),
+        _match(TAGGED["cpu"]).alias("own_text"), _match(_BODY).alias("body_text"),
+    )
+    own = F.col("own_text")
+    rows = texts.select(
+        "file", "chunk", "seq", "says_cpu", _tag(F.col("tag_text")).alias("tag"), _tag(own).alias("own"),
+        F.contains(own, F.lit("CPU")).alias("own_is_cpu"), _times(F.col("body_text")).alias("t"),
     )
-    rows = carry_tags(rows.where(F.col("tag").isNotNull() | F.col("t").isNotNull()))
-    full = F.struct(_tag(TAGGED["cpu"]).alias("tag"), _entry(TAGGED["cpu"], 3).alias("t"))
-    said = F.when(F.contains(F.col("value"), F.lit("CPU")), "cpu").otherwise("gpu")
-    bare_ok = F.col("t").isNotNull() & (F.col("current.D") != 0)
-    entries = rows.withColumn("full", full).select(
-        F.coalesce("own", F.when(bare_ok, said)).alias("kind"),
-        F.when(F.col("own").isNotNull(), F.col("full.tag")).otherwise(F.col("current")).alias("key"),
-        F.when(F.col("own").isNotNull(), F.col("full.t")).otherwise(F.col("t")).alias("t"),
-        F.struct("file", "chunk", "seq").alias("at"),
+
+    def device(is_cpu: str) -> Column:
+        return F.when(F.col(is_cpu), "cpu").otherwise("gpu")
+
+    complete = F.col("own").isNotNull()
+    bare = F.col("t").isNotNull() & (F.col("current.D") != 0)
+    entries = carry_tags(rows).select(
+        F.when(complete, device("own_is_cpu")).when(bare, device("says_cpu")).alias("kind"),
+        F.coalesce("own", "current").alias("key"), "t", F.struct("file", "chunk", "seq").alias("at"),
     )
     return (
         entries.where(F.col("kind").isNotNull())
