@@ -1,12 +1,14 @@
 """Seeded draws that depend only on (seed, instance, sample, feature, draw).
 
-Every random word is ``hash(hash(seed, instance_id, sample_id), 3 * feature + k)`` with Spark's
-built-in ``hash`` (32-bit Murmur3, published by A. Appleby).  A word therefore does not depend on
-partitioning, task retries or row order, which ``rand()`` would.  The built-in keeps the generated
-Java small: a hand-written mixer made of column arithmetic passes the JIT's 8000-byte method limit
-at four features and runs more than ten times slower.
-
-``k = 0`` decides the mask, ``k = 1, 2`` feed a Box-Muller normal.  The NumPy twins at the end give
+Every random word is ``hash(hash(seed, instance_id, sample_id), k)`` with Spark's built-in ``hash``
+(32-bit Murmur3, published by A. Appleby).  A word therefore does not depend on partitioning, task
+retries or row order, which ``rand()`` would.  The built-in keeps the generated Java small: a
+hand-written mixer made of column arithmetic passes the JIT's 8000-byte method limit at four
+features and runs more than ten times slower.
+
+Features come in pairs, four words per pair p: ``4p`` and ``4p + 1`` decide the two masks,
+``4p + 2`` is the Box-Muller radius and ``4p + 3`` the angle; the even feature takes the cosine and
+the odd one the sine, two independent normals for one logarithm.  The NumPy twins at the end give
 the same words to the Arrow tasks that handle wide instances.
 """
 
@@ -16,7 +18,7 @@ import math
 
 import numpy as np
 
-DRAWS_PER_CELL = 3
+WORDS_PER_PAIR = 4
 TWO_31 = 2147483648
 TWO_32 = 4294967296
 
@@ -44,11 +46,44 @@ def mask_test(key: str, draw: str | int, mask_prob: float) -> str:
     return f"hash({key}, {draw}) < {double(mask_prob * TWO_32 - TWO_31)}"
 
 
-def normal(key: str, draw1: str | int, draw2: str | int) -> str:
-    """Box-Muller.  ``ln`` is declared nullable, so ``coalesce`` keeps null checks out of codegen."""
-    radius = f"sqrt(-2D * coalesce(ln((hash({key}, {draw1}) + {TWO_31 + 1}D) * {double(1 / TWO_32)}), 0D))"
-    angle = f"(hash({key}, {draw2}) + {TWO_31}D) * {double(2 * math.pi / TWO_32)}"
-    return f"{radius} * cos({angle})"
+def mask_word(f: int) -> int:
+    return WORDS_PER_PAIR * (f // 2) + f % 2
+
+
+def radius(key: str, pair: str | int) -> str:
+    """``ln`` is declared nullable, so ``coalesce`` keeps null checks out of the generated code."""
+    uniform = f"(hash({key}, {_word(pair, 2)}) + {TWO_31 + 1}D) * {double(1 / TWO_32)}"
+    return f"sqrt(-2D * coalesce(ln({uniform}), 0D))"
+
+
+def angle(key: str, pair: str | int) -> str:
+    return f"(hash({key}, {_word(pair, 3)}) + {TWO_31}D) * {double(2 * math.pi / TWO_32)}"
+
+
+def _word(pair: str | int, k: int) -> str | int:
+    return WORDS_PER_PAIR * pair + k if isinstance(pair, int) else f"{WORDS_PER_PAIR} * ({pair}) + {k}"
+
+
+def pair_columns(d: int, key: str = "sample_key") -> list[str]:
+    """Columns r0, a0, r1, a1, ..: radius and angle of every pair of features."""
+    return [
+        f"{draw(key, p)} AS {name}{p}" for p in range((d + 1) // 2) for draw, name in ((radius, "r"), (angle, "a"))
+    ]
+
+
+def normal(f: int) -> str:
+    """The normal of feature ``f`` from the columns of its pair."""
+    return f"r{f // 2} * {'sin' if f % 2 else 'cos'}(a{f // 2})"
+
+
+def cell_mask(f: str, mask_prob: float, key: str = "sample_key") -> str:
+    """``mask_test`` for a feature index that is itself a column."""
+    return mask_test(key, f"int({f} + 2 * ({f} DIV 2))", mask_prob)
+
+
+def cell_normal(f: str, key: str = "sample_key") -> str:
+    pair = f"int({f} DIV 2)"
+    return f"{radius(key, pair)} * if({f} % 2 = 0, cos({angle(key, pair)}), sin({angle(key, pair)}))"
 
 
 # --- the same words for Arrow batches ---------------------------------------------------------
@@ -94,17 +129,20 @@ def sample_keys(seed: int, instance_id: np.ndarray, sample_id: np.ndarray) -> np
     return hash_int(sample_id.astype(np.uint32)[None, :], h[:, None])
 
 
-def cell_words(keys: np.ndarray, n_features: int, k: int) -> np.ndarray:
-    """Draw ``k`` of every cell as an unsigned word shifted like ``hash(..) + 2**31``."""
+def words(keys: np.ndarray, indexes: np.ndarray) -> np.ndarray:
+    """``hash(key, index) + 2**31`` for every key and index, as unsigned words."""
     h = hash_int(keys, np.full(1, SPARK_HASH_SEED, np.uint32))
-    idx = (np.arange(n_features, dtype=np.uint32) * np.uint32(DRAWS_PER_CELL)) + np.uint32(k)
-    return hash_int(idx, h[..., None]) ^ np.uint32(TWO_31)
+    return hash_int(indexes.astype(np.uint32), h[..., None]) ^ np.uint32(TWO_31)
 
 
 def draw_offsets(keys, x0, means, mask_prob, noise_std):
     """Offsets ``x - x0`` and the 0/1 mask for keys (m, b) and instances (m, D)."""
     d = x0.shape[-1]
-    masked = cell_words(keys, d, 0).astype(np.float64) < mask_prob * TWO_32
-    radius = np.sqrt(-2.0 * np.log((cell_words(keys, d, 1) + 1.0) * (1 / TWO_32)))
-    noise = radius * np.cos(cell_words(keys, d, 2) * (2 * math.pi / TWO_32))
+    f, pairs = np.arange(d), np.arange((d + 1) // 2)
+    masked = words(keys, WORDS_PER_PAIR * (f // 2) + f % 2).astype(np.float64) < mask_prob * TWO_32
+    r = np.sqrt(-2.0 * np.log((words(keys, WORDS_PER_PAIR * pairs + 2) + 1.0) * (1 / TWO_32)))
+    a = words(keys, WORDS_PER_PAIR * pairs + 3) * (2 * math.pi / TWO_32)
+    noise = np.empty((*keys.shape, d))
+    noise[..., ::2] = r * np.cos(a)
+    noise[..., 1::2] = (r * np.sin(a))[..., : d // 2]
     return np.where(masked, (means - x0)[:, None, :], noise_std * noise), masked

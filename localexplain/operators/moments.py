@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from localexplain.functions import draws
-from localexplain.functions.draws import DRAWS_PER_CELL, double
+from localexplain.functions.draws import double
 from localexplain.functions.sizes import salted_join
 from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, spread
 from localexplain.operators.score import logit, score_at_x0
@@ -94,13 +94,13 @@ def perturbed_moments(
     ).selectExpr(
         "* EXCEPT (first_sample, last_sample)", "explode(sequence(first_sample, last_sample)) AS sample_id"
     ).selectExpr("* EXCEPT (sample_id)", f"{draws.sample_key(seed)} AS sample_key")
+    kept = ["instance_id", *base, "bb_x0", "logit0"]
     cells = [
-        f"if({draws.mask_test('sample_key', DRAWS_PER_CELL * f, mask_prob)}, {double(m)} - {base[f]}, "
-        f"{double(noise_std)} * {draws.normal('sample_key', DRAWS_PER_CELL * f + 1, DRAWS_PER_CELL * f + 2)})"
-        f" AS {off[f]}"
+        f"if({draws.mask_test('sample_key', draws.mask_word(f), mask_prob)}, {double(m)} - {base[f]}, "
+        f"{double(noise_std)} * {draws.normal(f)}) AS {off[f]}"
         for f, m in enumerate(background)
     ]
-    df = df.selectExpr("* EXCEPT (sample_key)", *cells).selectExpr(
+    df = df.selectExpr("*", *draws.pair_columns(d)).selectExpr(*kept, *cells).selectExpr(
         "* EXCEPT (logit0)",
         f"exp(({' + '.join(f'{o} * {o}' for o in off)}) * {double(-1 / kernel_width**2)}) AS weight",
         "logit0 + " + " + ".join(f"{double(w)} * {o}" for w, o in zip(model.w, off)) + " AS logit",

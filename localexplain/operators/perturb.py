@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from localexplain.functions import draws
-from localexplain.functions.draws import DRAWS_PER_CELL, double
+from localexplain.functions.draws import double
 
 SAMPLES_PER_TASK_ROW = 16384
 UNROLLED_VECTOR = 12
@@ -92,38 +92,33 @@ def perturb(
     if layout == "long":
         return _cells_as_rows(df, means, mask_prob, noise_std)
     if d <= UNROLLED_VECTOR:
+        kept = [*instances.columns, "sample_id"]
         cells = [
-            f"if({draws.mask_test('sample_key', DRAWS_PER_CELL * f, mask_prob)}, "
-            f"named_struct('x', {double(m)}, 'z', 0), named_struct('x', x0[{f}] + {double(noise_std)} * "
-            f"{draws.normal('sample_key', DRAWS_PER_CELL * f + 1, DRAWS_PER_CELL * f + 2)}, 'z', 1))"
+            f"if({draws.mask_test('sample_key', draws.mask_word(f), mask_prob)}, "
+            f"named_struct('x', {double(m)}, 'z', 0), "
+            f"named_struct('x', x0[{f}] + {double(noise_std)} * {draws.normal(f)}, 'z', 1)) AS cell{f}"
             for f, m in enumerate(background)
         ]
-        df = df.selectExpr("* EXCEPT (sample_key)", *[f"{c} AS cell{f}" for f, c in enumerate(cells)])
+        df = df.selectExpr("*", *draws.pair_columns(d)).selectExpr(*kept, *cells)
         names = [f"cell{f}" for f in range(d)]
         return df.selectExpr(
-            f"* EXCEPT ({', '.join(names)})",
-            f"array({', '.join(c + '.x' for c in names)}) AS x",
-            f"array({', '.join(c + '.z' for c in names)}) AS z",
+            *kept, f"array({', '.join(c + '.x' for c in names)}) AS x", f"array({', '.join(c + '.z' for c in names)}) AS z"
         )
-    first = f"{DRAWS_PER_CELL} * f"
-    noise = draws.normal("sample_key", f"{first} + 1", f"{first} + 2")
     return df.selectExpr(
         "* EXCEPT (sample_key)",
-        f"transform(x0, (v, f) -> if({draws.mask_test('sample_key', first, mask_prob)}, "
+        f"transform(x0, (v, f) -> if({draws.cell_mask('f', mask_prob)}, "
         f"named_struct('x', {means}[f], 'z', 0), "
-        f"named_struct('x', v + {double(noise_std)} * {noise}, 'z', 1))) AS cells",
+        f"named_struct('x', v + {double(noise_std)} * {draws.cell_normal('f')}, 'z', 1))) AS cells",
     ).selectExpr("* EXCEPT (cells)", "cells.x AS x", "cells.z AS z")
 
 
 def _cells_as_rows(df: DataFrame, means: str, mask_prob: float, noise_std: float) -> DataFrame:
-    first = f"{DRAWS_PER_CELL} * feature_idx"
-    noise = draws.normal("sample_key", f"{first} + 1", f"{first} + 2")
     return (
         df.selectExpr("*", "posexplode(x0) AS (feature_idx, value)")
-        .selectExpr("*", f"{draws.mask_test('sample_key', first, mask_prob)} AS masked")
+        .selectExpr("*", f"{draws.cell_mask('feature_idx', mask_prob)} AS masked")
         .selectExpr(
             "* EXCEPT (sample_key, value, masked, x0)",
-            f"if(masked, {means}[feature_idx], value + {double(noise_std)} * {noise}) AS x",
+            f"if(masked, {means}[feature_idx], value + {double(noise_std)} * {draws.cell_normal('feature_idx')}) AS x",
             "if(masked, 0, 1) AS z",
         )
     )

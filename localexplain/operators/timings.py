@@ -92,7 +92,8 @@ def _single_device(lines: DataFrame, kind: str) -> DataFrame:
     complete = F.col("own_text") != ""
     rows = texts.select(
         "file", "chunk", "seq", _tag(F.col("own_text")).alias("own"),
-        F.when(~complete, _tag(F.col("tag_text"))).alias("tag"), _times(F.col("body_text")).alias("t"),
+        F.when(~complete, _tag(F.col("tag_text"))).alias("tag"),
+        F.coalesce(_times(F.col("own_text")), _times(F.col("body_text"))).alias("t"),
     )
     return (
         carry_tags(rows)
@@ -153,7 +154,8 @@ def parse_combined(lines: DataFrame) -> DataFrame:
     own = F.col("own_text")
     rows = texts.select(
         "file", "chunk", "seq", "says_cpu", _tag(F.col("tag_text")).alias("tag"), _tag(own).alias("own"),
-        F.contains(own, F.lit("CPU")).alias("own_is_cpu"), _times(F.col("body_text")).alias("t"),
+        F.contains(own, F.lit("CPU")).alias("own_is_cpu"),
+        F.coalesce(_times(own), _times(F.col("body_text"))).alias("t"),
     )
 
     def device(is_cpu: str) -> Column:

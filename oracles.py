@@ -118,7 +118,7 @@ def samples(
     d, inst = INSTANCES[name]
     if take:
         inst, d = f"SELECT id, x0[1:{take}] AS x0 FROM ({inst})", take
-    words = [_u(_mix_word(3 * f + k)) for f in range(d) for k in range(3)]
+    words = [_u(_mix_word(k)) for k in range(4 * ((d + 1) // 2))]
     score = pred or f"1 / (1 + exp(-(-1.0::DOUBLE + list_inner_product({{v}}, {_weights(d)}))))"
     means = background or "SELECT " + _list(f"round(avg(x0[{i}]), 9)" for i in range(1, d + 1)) + f" AS m FROM {pre}inst"
     keyed = hashed(
@@ -134,10 +134,12 @@ def samples(
     ):
         cells = f"SELECT * REPLACE (list_transform(c, lambda w: {step}) AS c) FROM ({cells})"
     cells = f"SELECT * REPLACE (list_transform(c, lambda w: xor(w, {TOP})::DOUBLE) AS c) FROM ({cells})"
-    zed = f"list_transform(range(1, {d + 1}), lambda f: CASE WHEN c[3 * f - 2] < {mask_prob * 2**32!r} THEN 0 ELSE 1 END)"
+    zed = f"list_transform(range(1, {d + 1}), lambda f: CASE WHEN c[f + 2 * ((f - 1) // 2)] < {mask_prob * 2**32!r} THEN 0 ELSE 1 END)"
     value = (
         f"list_transform(range(1, {d + 1}), lambda f: CASE WHEN z[f] = 0 THEN m[f] ELSE x0[f] + {noise_std!r} * "
-        "sqrt(-2 * ln((c[3 * f - 1] + 1) / 4294967296.0::DOUBLE)) * cos(c[3 * f] * (2 * pi() / 4294967296.0::DOUBLE)) END)"
+        "sqrt(-2 * ln((c[4 * ((f - 1) // 2) + 3] + 1) / 4294967296.0::DOUBLE)) * CASE WHEN f % 2 = 1 "
+        "THEN cos(c[4 * ((f - 1) // 2) + 4] * (2 * pi() / 4294967296.0::DOUBLE)) "
+        "ELSE sin(c[4 * ((f - 1) // 2) + 4] * (2 * pi() / 4294967296.0::DOUBLE)) END END)"
     )
     return (
         f"{pre}inst AS MATERIALIZED ({inst}), {pre}bg AS MATERIALIZED ({means}), "

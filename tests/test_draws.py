@@ -15,7 +15,7 @@ def test_words_equal_the_builtin_hash(spark):
             "instance_id", "sample_id", f"{draws.sample_key(seed)} AS k", f"hash({draws.sample_key(seed)}, 4) + {draws.TWO_31}L AS w"
         ).collect()
         keys = draws.sample_keys(seed, ids, np.arange(5))
-        words = draws.cell_words(keys, 2, 1)
+        words = draws.words(keys, np.array([0, 4]))
         at = {int(v): i for i, v in enumerate(ids)}
         for r in got:
             assert keys[at[r.instance_id], r.sample_id] == r.k % 2**32
