@@ -6,6 +6,7 @@ Lines are (file, chunk, seq, value) as ``sources.logs`` gives them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from localexplain.functions.sizes import broadcast_if_small
 _TAG = r"D=(\d+)\s+B=(\d+)"
 _BODY = r"Timing \(ms\):\s+gen\s+([\d.]+)\s+infer\s+([\d.]+)\s+weights\s+([\d.]+)\s+total\s+([\d.]+)"
 TAGGED = {"gpu": rf"{_TAG}\s+{_BODY}", "cpu": rf"{_TAG}\s+(?:CPU\s+)?{_BODY}"}
+TAG_WORD, BODY_WORD = "D=", "Timing (ms):"
 STAGES = ("gen", "infer", "weights", "total")
 STAGE_LABELS = ("Generation", "Inference", "Weights")
 KEY = ["D", "B"]
@@ -28,8 +30,12 @@ def _kind(kind: str) -> str:
 
 
 def _match(pattern: str) -> Column:
-    """The matched text, '' without a match: one regular expression per line and pattern."""
-    return F.regexp_extract("value", pattern, 0)
+    """The matched text, '' without a match.
+
+    One regular expression per pattern, and only on lines that hold the words the pattern needs.
+    """
+    needed = [F.contains("value", F.lit(word)) for word in (TAG_WORD, BODY_WORD) if word in pattern.replace("\\", "")]
+    return F.when(reduce(Column.__and__, needed), F.regexp_extract("value", pattern, 0)).otherwise("")
 
 
 def _times(text: Column) -> Column:
@@ -49,7 +55,7 @@ def _tag(text: Column) -> Column:
 
 def _candidates(lines: DataFrame) -> DataFrame:
     """Lines that can match any pattern, by plain substring search."""
-    return lines.where(F.contains("value", F.lit("Timing (ms):")) | F.contains("value", F.lit("D=")))
+    return lines.where(F.contains("value", F.lit(BODY_WORD)) | F.contains("value", F.lit(TAG_WORD)))
 
 
 def parse_tagged(lines: DataFrame, kind: str = "gpu") -> DataFrame:
