@@ -24,8 +24,10 @@ def checked_x0(d: int) -> str:
     return f"CASE WHEN {bad} THEN raise_error({message}) ELSE x0 END"
 
 
-def task_count(df: DataFrame, partitions: int | None) -> int:
-    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _shuffle(df: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    if partitions == 0:
+        return df
+    return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def spread(
@@ -38,28 +40,25 @@ def spread(
     grouped by ``instance_id`` on the same partitioning.  With B above ``chunk`` an instance becomes
     several sample ranges on several tasks, so one instance with a huge B is not one task.  The
     partition count is explicit because adaptive coalescing looks at bytes, and these few bytes
-    stand for B times the work.
+    stand for B times the work.  ``partitions=0`` keeps the input's own partitioning, for tables that
+    arrive in enough even splits: wide instances then need no shuffle at all, narrow ones shuffle
+    their sums.
     """
     if n_samples < 1:
         raise ValueError("n_samples must be at least 1")
     # the id is made never null here and not later: a new column above the shuffle would not be known
     # to be partitioned, and the sums would be shuffled again
     df = instances.withColumns({"x0": F.expr(checked_x0(d)), "instance_id": F.expr("coalesce(instance_id, 0L)")})
-    n = task_count(df, partitions)
     if n_samples <= chunk:
-        return df.selectExpr("*", "0 AS first_sample", f"{n_samples - 1} AS last_sample").repartition(
-            n, "instance_id"
-        )
+        rows = df.selectExpr("*", "0 AS first_sample", f"{n_samples - 1} AS last_sample")
+        return _shuffle(rows, partitions, "instance_id")
     last_range = math.ceil(n_samples / chunk) - 1
-    return (
-        df.selectExpr("*", f"explode(sequence(0, {last_range})) AS range_id")
-        .selectExpr(
-            "* EXCEPT (range_id)",
-            f"int(range_id * {chunk}) AS first_sample",
-            f"int(least((range_id + 1) * {chunk}, {n_samples}) - 1) AS last_sample",
-        )
-        .repartition(n, "instance_id", "first_sample")
+    ranges = df.selectExpr("*", f"explode(sequence(0, {last_range})) AS range_id").selectExpr(
+        "* EXCEPT (range_id)",
+        f"int(range_id * {chunk}) AS first_sample",
+        f"int(least((range_id + 1) * {chunk}, {n_samples}) - 1) AS last_sample",
     )
+    return _shuffle(ranges, partitions, "instance_id", "first_sample")
 
 
 def perturb(

@@ -84,6 +84,7 @@ def test_wide_explanation_shuffles_only_instances(spark, sf):
     inst, model, bg = q.embeddings(spark, sf)
     text = plan(ex.explain(inst, model, bg, 50))
     assert text.count("Exchange") == 1 and "HashAggregate" not in text and "SortAggregate" not in text
+    assert "Exchange" not in plan(ex.explain(inst, model, bg, 50, partitions=0))
 
 
 def test_scan_reads_only_needed_columns(spark, sf):
@@ -112,3 +113,5 @@ def test_adding_a_partition_count_changes_nothing(spark, sf):
     a = ex.explain(inst, model, bg, 20).orderBy("instance_id").toPandas()
     b = ex.explain(inst.repartition(1), model, bg, 20, partitions=3).orderBy("instance_id").toPandas()
     assert np.array_equal(np.stack(a.coeff), np.stack(b.coeff))
+    c = ex.explain(inst, model, bg, 20, partitions=0).orderBy("instance_id").toPandas()
+    assert np.allclose(np.stack(a.coeff), np.stack(c.coeff), atol=1e-12)
