@@ -20,6 +20,7 @@ from localexplain.operators import report
 from localexplain.operators.fit import SOLVERS
 from localexplain.plans import explain as ex
 from localexplain.plans import queries as q
+from localexplain.sources import models
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -48,6 +49,9 @@ def cases(spark):
     orders, order_model, order_bg = q.orders(spark, SF_DIR)
     n_lines, n_vecs, n_orders = lines.count(), vecs.count(), orders.count()
 
+    # one point of the reference's own sweep: a single synthetic instance, D = 512, B = 131072
+    grid_model, grid_bg, grid = models.synthetic_params(spark, 512)
+
     def registered(name):
         return lambda: q.QUERIES[name](spark, SF_DIR)
 
@@ -61,6 +65,11 @@ def cases(spark):
         "explain_wide_ranges": (
             lambda: ex.explain(vecs, vec_model, vec_bg, 1024, chunk=256), 1024 * 64, n_vecs,
         ),
+        "grid_point_scores": (
+            lambda: q.score.run_means(ex.scored_samples(grid, grid_model, grid_bg, 131072, keep_vectors=False)),
+            131072 * 512, 1,
+        ),
+        "grid_point_explain": (lambda: ex.explain(grid, grid_model, grid_bg, 131072), 131072 * 512, 1),
         "three_solvers": (
             lambda: ex.explain(orders, order_model, order_bg, 32, solver=SOLVERS), 32 * 2, n_orders,
         ),

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from localexplain import schemas
-from localexplain.functions import vectors
-from localexplain.operators.moments import HEAD, _matrix, _vectors
+from localexplain.functions import arrow, vectors
+from localexplain.operators.moments import HEAD
 
 SOLVERS = ("cholesky", "gd", "adam")
 STD_EPS = 1e-8
@@ -148,9 +148,9 @@ def fit(
                 yield from solve_stack(batch.slice(at, step), size)
 
     def solve_stack(batch: pa.RecordBatch, d: int) -> Iterator[pa.RecordBatch]:
-        x0 = _matrix(batch["x0"])
-        bb = batch["bb_x0"].to_numpy(zero_copy_only=False)
-        system = System(_matrix(batch["s"]), bb, d)
+        x0 = arrow.matrix(batch["x0"])
+        bb = arrow.numbers(batch["bb_x0"])
+        system = System(arrow.matrix(batch["s"]), bb, d)
         mean = x0 + system.shift
         for name in solvers:
             used = np.full(len(bb), name, dtype=object)
@@ -173,7 +173,7 @@ def fit(
                 "instance_id": batch["instance_id"],
                 "solver": pa.array(used, pa.string()),
                 "ridge": pa.array(np.full(len(bb), 0.0 if name == "adam" else ridge)),
-                "coeff": _vectors(coeff),
+                "coeff": arrow.vectors(coeff),
                 "intercept": pa.array(intercept),
                 "surr_x0": pa.array(beta[:, 0] - (coeff * system.shift).sum(1)),
                 "bb_x0": pa.array(bb),
@@ -182,8 +182,8 @@ def fit(
                 "n_samples": pa.array(system.n.astype(np.int64)),
                 "sum_weights": pa.array(system.sw),
                 "x0": batch["x0"],
-                "x_mean": _vectors(mean),
-                "loss": pa.nulls(len(bb), pa.list_(pa.float64())) if loss is None else _vectors(loss),
+                "x_mean": arrow.vectors(mean),
+                "loss": pa.nulls(len(bb), pa.list_(pa.float64())) if loss is None else arrow.vectors(loss),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -201,13 +201,13 @@ def normal_equations(moments: DataFrame, ridge: float = 0.0) -> DataFrame:
             step = max(1, FLOATS_PER_STACK // (d + 1) ** 2)
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                system = System(_matrix(part["s"]), part["bb_x0"].to_numpy(zero_copy_only=False), d)
+                system = System(arrow.matrix(part["s"]), arrow.numbers(part["bb_x0"]), d)
                 rows, cols = np.triu_indices(d + 1)
                 a = (system.A + ridge * np.eye(d + 1))[:, rows, cols]
                 i = np.concatenate([rows, np.arange(d + 1)])
                 j = np.concatenate([cols, np.full(d + 1, -1)])
                 values = np.concatenate([a, system.b], axis=1)
-                ids = part["instance_id"].to_numpy(zero_copy_only=False)
+                ids = arrow.numbers(part["instance_id"])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "instance_id": pa.array(np.repeat(ids, len(i))),

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from localexplain.functions import draws
+from localexplain.functions.arrow import blocks, matrix, numbers, vectors
 from localexplain.functions.draws import double
 from localexplain.functions.sizes import salted_join
 from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, spread
@@ -28,7 +29,6 @@ from localexplain.sources.models import Model
 # Up to here the sums are columns in generated code; beyond, their number grows as D^2 / 2 and the
 # generated methods pass the JIT limit, so NumPy forms the Gram matrix of each Arrow batch.
 UNROLLED_GRAM = 8
-CELLS_PER_BLOCK = 1 << 20
 FLOATS_PER_BATCH = 1 << 22
 MERGE_SALTS = 64
 HEAD = 4
@@ -120,13 +120,10 @@ def sample_moments(samples: DataFrame, d: int) -> DataFrame:
 
     def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["instance_id"].to_numpy(zero_copy_only=False)
+            ids, bb, w = numbers(batch["instance_id"]), numbers(batch["bb_x0"]), numbers(batch["weight"])
             if not len(ids):
                 continue
-            x, x0 = _matrix(batch["x"]), _matrix(batch["x0"])
-            bb = batch["bb_x0"].to_numpy(zero_copy_only=False)
-            y = batch["pred"].to_numpy(zero_copy_only=False) - bb
-            w = batch["weight"].to_numpy(zero_copy_only=False)
+            x, x0, y = matrix(batch["x"]), matrix(batch["x0"]), numbers(batch["pred"]) - bb
             order = np.argsort(ids, kind="stable")
             runs = np.split(order, np.flatnonzero(np.diff(ids[order])) + 1)
             for at in range(0, len(runs), rows_per_batch(d)):
@@ -159,17 +156,8 @@ def merge_moments(parts: DataFrame) -> DataFrame:
 # --- Arrow blocks for wide instances ----------------------------------------------------------
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _vectors(rows: np.ndarray) -> pa.Array:
-    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
-
-
 def _batch(ids, x0, bb, s, **extra) -> pa.RecordBatch:
-    columns = {"instance_id": pa.array(ids), "x0": _vectors(x0), "bb_x0": pa.array(bb), "s": _vectors(s)}
+    columns = {"instance_id": pa.array(ids), "x0": vectors(x0), "bb_x0": pa.array(bb), "s": vectors(s)}
     columns.update({k: pa.array(v) for k, v in extra.items()})
     return pa.RecordBatch.from_pydict(columns)
 
@@ -204,20 +192,11 @@ def _blocked(df, model, background, n_samples, mask_prob, noise_std, kernel_widt
                 yield sums_of(batch.slice(at, rows_per_batch(d)))
 
     def sums_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch["instance_id"].to_numpy(zero_copy_only=False)
-        first = batch["first_sample"].to_numpy(zero_copy_only=False)
-        last = batch["last_sample"].to_numpy(zero_copy_only=False)
-        x0, bb = _matrix(batch["x0"]), batch["bb_x0"].to_numpy(zero_copy_only=False)
+        ids, bb, x0 = numbers(batch["instance_id"]), numbers(batch["bb_x0"]), matrix(batch["x0"])
+        first, last = numbers(batch["first_sample"]), numbers(batch["last_sample"])
         s = np.zeros((len(ids), size_of(d)))
-        step_b = max(1, CELLS_PER_BLOCK // d)
-        # rows that cover the same sample range are computed together, block by block
-        for lo, hi in sorted(set(zip(first.tolist(), last.tolist()))):
-            rows = np.flatnonzero((first == lo) & (last == hi))
-            step_m = max(1, step_b // (hi - lo + 1))
-            for at in range(0, len(rows), step_m):
-                r = rows[at : at + step_m]
-                for start in range(lo, hi + 1, step_b):
-                    s[r] += block(ids[r], x0[r], bb[r], start, min(hi, start + step_b - 1))
+        for r, lo, hi in blocks(first, last, d):
+            s[r] += block(ids[r], x0[r], bb[r], lo, hi)
         return _batch(ids, x0, bb, s, salt=(first // chunk) % MERGE_SALTS)
 
     parts = df.select("instance_id", "x0", "bb_x0", "first_sample", "last_sample").mapInArrow(

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from localexplain.functions import draws
+from localexplain.functions import arrow, draws
 from localexplain.functions.draws import double
 
 SAMPLES_PER_TASK_ROW = 16384
@@ -82,36 +86,85 @@ def perturb(
     if layout not in ("array", "long"):
         raise ValueError(f"Unknown layout '{layout}'. Choose from: ['array', 'long']")
     d = len(background)
-    df = spread(instances, d, n_samples, partitions, chunk).selectExpr(
+    ranges = spread(instances, d, n_samples, partitions, chunk)
+    if layout == "array" and d > UNROLLED_VECTOR:
+        return wide_samples(ranges, background, mask_prob, noise_std, seed)
+    df = ranges.selectExpr(
         "* EXCEPT (first_sample, last_sample)",
         "explode(sequence(first_sample, last_sample)) AS sample_id",
     )
     df = df.selectExpr("*", f"{draws.sample_key(seed)} AS sample_key")
-    means = "array(" + ", ".join(double(m) for m in background) + ")"
     if layout == "long":
-        return _cells_as_rows(df, means, mask_prob, noise_std)
-    if d <= UNROLLED_VECTOR:
-        kept = [*instances.columns, "sample_id"]
-        cells = [
-            f"if({draws.mask_test('sample_key', draws.mask_word(f), mask_prob)}, "
-            f"named_struct('x', {double(m)}, 'z', 0), "
-            f"named_struct('x', x0[{f}] + {double(noise_std)} * {draws.normal(f)}, 'z', 1)) AS cell{f}"
-            for f, m in enumerate(background)
-        ]
-        df = df.selectExpr("*", *draws.pair_columns(d)).selectExpr(*kept, *cells)
-        names = [f"cell{f}" for f in range(d)]
-        return df.selectExpr(
-            *kept, f"array({', '.join(c + '.x' for c in names)}) AS x", f"array({', '.join(c + '.z' for c in names)}) AS z"
-        )
+        return _cells_as_rows(df, background, mask_prob, noise_std)
+    kept = [*instances.columns, "sample_id"]
+    cells = [
+        f"if({draws.mask_test('sample_key', draws.mask_word(f), mask_prob)}, "
+        f"named_struct('x', {double(m)}, 'z', 0), "
+        f"named_struct('x', x0[{f}] + {double(noise_std)} * {draws.normal(f)}, 'z', 1)) AS cell{f}"
+        for f, m in enumerate(background)
+    ]
+    df = df.selectExpr("*", *draws.pair_columns(d)).selectExpr(*kept, *cells)
+    names = [f"cell{f}" for f in range(d)]
     return df.selectExpr(
-        "* EXCEPT (sample_key)",
-        f"transform(x0, (v, f) -> if({draws.cell_mask('f', mask_prob)}, "
-        f"named_struct('x', {means}[f], 'z', 0), "
-        f"named_struct('x', v + {double(noise_std)} * {draws.cell_normal('f')}, 'z', 1))) AS cells",
-    ).selectExpr("* EXCEPT (cells)", "cells.x AS x", "cells.z AS z")
+        *kept, f"array({', '.join(c + '.x' for c in names)}) AS x", f"array({', '.join(c + '.z' for c in names)}) AS z"
+    )
 
 
-def _cells_as_rows(df: DataFrame, means: str, mask_prob: float, noise_std: float) -> DataFrame:
+def wide_samples(
+    ranges: DataFrame, background, mask_prob: float, noise_std: float, seed: int, model=None,
+    kernel_width: float = 1.0, keep_vectors: bool = True,
+) -> DataFrame:
+    """Samples of wide instances from Arrow blocks, with pred, dist and weight if a logistic model is given.
+
+    Written out, so many columns would not fit generated code, and a higher-order function is
+    interpreted per cell, more than ten times slower.  ``keep_vectors=False`` leaves x, z and x0 out,
+    which are nearly all of the bytes.
+    """
+    d, means = len(background), np.array(background, dtype=float)
+    carried = [
+        f for f in ranges.schema.fields
+        if f.name not in ("first_sample", "last_sample") and (keep_vectors or f.name != "x0")
+    ]
+    names = [f.name for f in carried]
+    schema = T.StructType(list(carried)).add("sample_id", T.IntegerType())
+    if keep_vectors:
+        schema = schema.add("x", T.ArrayType(T.DoubleType())).add("z", T.ArrayType(T.IntegerType()))
+    if model is not None:
+        w_bb, bias = np.array(model.w), float(model.bias)
+        for name in ("pred", "dist", "weight"):
+            schema = schema.add(name, T.DoubleType())
+
+    def block(batch: pa.RecordBatch, x0, ids, r, lo, hi) -> pa.RecordBatch:
+        numbers = np.arange(lo, hi + 1, dtype=np.int32)
+        off, masked = draws.draw_offsets(draws.sample_keys(seed, ids[r], numbers), x0[r], means, mask_prob, noise_std)
+        taken = batch.select(names).take(pa.array(np.repeat(r, len(numbers))))
+        columns = dict(zip(names, taken.columns)) | {"sample_id": pa.array(np.tile(numbers, len(r)))}
+        if keep_vectors:
+            x = np.where(masked, means, x0[r][:, None, :] + off)
+            columns["x"] = arrow.vectors(x.reshape(-1, d))
+            columns["z"] = arrow.vectors((~masked).astype(np.int32).reshape(-1, d))
+        if model is not None:
+            dist = (off * off).sum(2).ravel()
+            logit = ((x0[r] @ w_bb + bias)[:, None] + off @ w_bb).ravel()
+            columns["pred"] = pa.array(1.0 / (1.0 + np.exp(-logit)))
+            columns["dist"] = pa.array(dist)
+            columns["weight"] = pa.array(np.exp(-dist / kernel_width**2))
+        return pa.RecordBatch.from_pydict(columns)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x0, ids = arrow.matrix(batch["x0"]), arrow.numbers(batch["instance_id"])
+            spans = arrow.numbers(batch["first_sample"]), arrow.numbers(batch["last_sample"])
+            for piece in arrow.blocks(*spans, d):
+                yield block(batch, x0, ids, *piece)
+
+    return ranges.mapInArrow(sample, schema)
+
+
+def _cells_as_rows(df: DataFrame, background, mask_prob: float, noise_std: float) -> DataFrame:
+    means = "array(" + ", ".join(double(m) for m in background) + ")"
     return (
         df.selectExpr("*", "posexplode(x0) AS (feature_idx, value)")
         .selectExpr("*", f"{draws.cell_mask('feature_idx', mask_prob)} AS masked")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from localexplain.functions.sizes import salted_join
 from localexplain.operators.fit import fit
 from localexplain.operators.moments import perturbed_moments, sample_moments
-from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, perturb
+from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, UNROLLED_VECTOR, perturb, spread, wide_samples
 from localexplain.operators.score import score, score_at_x0, weigh
 from localexplain.sources.models import Model
 
@@ -31,8 +31,17 @@ def scored_samples(
     samples: DataFrame | None = None,
     partitions: int | None = None,
     chunk: int = SAMPLES_PER_TASK_ROW,
+    keep_vectors: bool = True,
 ) -> DataFrame:
-    """Samples with pred, dist and weight: perturbed here, or replayed when ``samples`` is given."""
+    """Samples with pred, dist and weight: perturbed here, or replayed when ``samples`` is given.
+
+    ``keep_vectors=False`` leaves out x, z and x0 when only the scores are wanted.
+    """
+    if samples is None and isinstance(model, Model) and model.d > UNROLLED_VECTOR and method == "custom":
+        if kernel_width <= 0:
+            raise ValueError("kernel_width must be positive")
+        ranges = spread(instances, model.d, n_samples, partitions, chunk)
+        return wide_samples(ranges, background, mask_prob, noise_std, seed, model, kernel_width, keep_vectors)
     if samples is None:
         samples = perturb(
             instances, background, n_samples, mask_prob, noise_std, seed,
@@ -41,7 +50,8 @@ def scored_samples(
     else:
         samples = with_instances(samples, instances)
     d = model.d if isinstance(model, Model) else None if background is None else len(background)
-    return weigh(score(samples, model, method), kernel_width, d)
+    scored = weigh(score(samples, model, method), kernel_width, d)
+    return scored if keep_vectors else scored.drop("x", "z", "x0")
 
 
 def with_instances(samples: DataFrame, instances: DataFrame, salts: int = REPLAY_SALTS) -> DataFrame:

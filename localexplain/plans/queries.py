@@ -146,7 +146,7 @@ def synthetic_scores(spark, sf):
         f"transform(sequence(0, {d - 1}), i -> if(p_partkey % 2 = 0 OR i % 5 <> 0, 0.5D, 1D)) AS x0",
     )
     model, bg = models.synthetic_model(d), models.synthetic_background(d)
-    scored = ex.scored_samples(inst, model, bg, n_samples=16)
+    scored = ex.scored_samples(inst, model, bg, n_samples=16, keep_vectors=False)
     return rounded(score.run_means(scored), "mean_pred", "mean_weight")
 
 

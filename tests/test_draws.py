@@ -34,7 +34,7 @@ def test_layouts_partitions_and_ranges_agree(spark, d):
     assert np.array_equal(base, stack(perturb(inst.coalesce(1), bg, 40, partitions=3), "x"))
     assert np.array_equal(base, stack(perturb(inst, bg, 40, chunk=7), "x"))
     long = perturb(inst, bg, 40, layout="long").toPandas().sort_values(["instance_id", "sample_id", "feature_idx"])
-    assert np.array_equal(base.ravel(), long["x"].to_numpy())
+    assert np.allclose(base.ravel(), long["x"].to_numpy(), rtol=0, atol=1e-14)
     z = to_long(perturb(inst, bg, 40)).toPandas().sort_values(["instance_id", "sample_id", "feature_idx"])["z"]
     assert np.array_equal(z.to_numpy(), long["z"].to_numpy())
     off, masked = draws.draw_offsets(
