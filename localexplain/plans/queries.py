@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from localexplain.functions import names as nm
-from localexplain.functions import vectors
 from localexplain.functions.vectors import tidy
 from localexplain.operators import agree, fit, moments, perturb, prep, report, score, timings, validate
 from localexplain.plans import explain as ex

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from localexplain import schemas
 from localexplain.functions.names import feature_name
+from localexplain.operators.perturb import perturb
 
 SOLVER_NAMES = {0: "cholesky", 1: "gd"}
 
@@ -20,6 +21,14 @@ def write_samples(samples: DataFrame, path: str, model_id: str = "model") -> Non
     ).parquet(path)
 
 
+def generate_samples(
+    instances: DataFrame, background, path: str, n_samples: int = 16384, mask_prob: float = 0.2,
+    noise_std: float = 0.1, seed: int = 42, model_id: str = "model",
+) -> None:
+    """A stored sample set for replay."""
+    write_samples(perturb(instances, background, n_samples, mask_prob, noise_std, seed), path, model_id)
+
+
 def read_samples(spark: SparkSession, path: str, model_id: str | None = None) -> DataFrame:
     """Samples for replay; ``z`` is NULL when none was stored."""
     df = spark.read.schema(schemas.SAMPLES + ", model_id STRING").parquet(path)

@@ -33,6 +33,9 @@ def test_samples_scores_fits_round_trip(spark, tmp_path):
     assert back.count() == 20 and tables.read_samples(spark, str(tmp_path / "s"), "m2").count() == 0
     tables.write_samples(samples.drop("z"), str(tmp_path / "nz"))
     assert tables.read_samples(spark, str(tmp_path / "nz")).where("z IS NULL").count() == 20
+    tables.generate_samples(inst, bg, str(tmp_path / "g"), 10, seed=1234)
+    same = tables.read_samples(spark, str(tmp_path / "g")).drop("model_id")
+    assert same.exceptAll(back.drop("model_id")).count() == 0 and same.count() == 20
     scored = scored_samples(inst, model, samples=back.drop("model_id"))
     tables.write_scores(scored, str(tmp_path / "c"))
     stored = tables.read_scores(spark, str(tmp_path / "c"))
