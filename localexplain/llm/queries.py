@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from localexplain.llm import bpe, chat, mixing, simhash, toxicity
+from localexplain.llm import bpe, chat, maxent, mixing, simhash, toxicity
 from localexplain.llm.common import read
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return maxent.score(docs, maxent.fit(docs))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     f.__name__: f
     for f in (
+        op1_lm_scores,
         op2_simhash,
         op4_bpe,
         op6_mixing,
