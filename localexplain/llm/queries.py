@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from localexplain.llm import bpe, chat, maxent, mixing, simhash, toxicity
+from localexplain.llm import bpe, chat, maxent, mixing, simhash, suffix_dedup, toxicity
 from localexplain.llm.common import read
 
 
@@ -23,6 +24,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("source", "copies")
 
@@ -47,6 +53,7 @@ LLM_QUERIES = {
         op1_lm_scores,
         op2_simhash,
         op4_bpe,
+        op5_suffix_dedup,
         op6_mixing,
         op7_toxicity,
         op9_chat,
