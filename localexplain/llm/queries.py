@@ -128,10 +128,10 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(trained) AS loss_c
 FROM grouped""",
     "op10_cover_tree": """
 WITH vectors AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 256)) AS v
+  SELECT DISTINCT vec_id, [floor(x::DOUBLE * 256) FOR x IN embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
