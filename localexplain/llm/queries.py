@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from localexplain.llm import bpe, chat, cover_tree, graph_ann, maxent, mixing, simhash, suffix_dedup, toxicity
+from localexplain.llm import bpe, chat, cover_tree, graph_ann, kneser_ney, maxent, mixing, simhash, suffix_dedup, toxicity
 from localexplain.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.tokenize(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -60,6 +64,7 @@ LLM_QUERIES = {
     for f in (
         op1_lm_scores,
         op2_simhash,
+        op3_quality,
         op4_bpe,
         op5_suffix_dedup,
         op6_mixing,

@@ -286,8 +286,9 @@ def _tag(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, text (binary), spans: array<struct<start, end>> of maximal runs of bytes to remove, in order.
+def repeated_spans(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (binary), spans: array<struct<start, end>> of maximal runs of bytes to remove, in order; `keep`
+    names columns of docs that stay with their rows.
 
     One row per row of docs. A null text is the empty text. Texts under `length` bytes stay whole. Rows that share a
     doc_id never take from each other, repeated rows get equal results; a null doc_id is not smaller than any id and none
@@ -296,7 +297,10 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     if length < 2 * GRAM:
         raise ValueError(f"strings need at least {2 * GRAM} bytes")
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    kept = F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep))) if keep else F.lit(True)
+    named = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), kept.alias("kept")
+    )
     whole = named.filter(F.col("doc_id").isNotNull())
     # One exchange of the texts, by document, serves all three joins below: nothing above it may push a filter into one.
     dealt = whole.repartition("doc_id")
@@ -327,23 +331,26 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     )
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "end")).alias("marks"))
     found = with_copies.join(marks, "doc_id", "left")
-    found = found.select("doc_id", "text", "tag", is_copy.alias("copy"), "marks")
+    found = found.select("doc_id", "text", "tag", is_copy.alias("copy"), "marks", "kept")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             spans = []
-            for text, tag, copy, own_marks in zip(*batch.columns[1:]):
+            for text, tag, copy, own_marks in zip(*batch.columns[1:5]):
                 if copy.as_py():
                     got = [(0, len(text.as_buffer()))]
                 else:
                     got = merged([(m["start"], m["end"]) for m in own_marks.as_py() or () if m["tag"] == tag.as_py()])
                 spans.append([{"start": a, "end": b} for a, b in got])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["doc_id", "text", "spans"])
+            columns = [batch.column(0), batch.column(1), pa.array(spans, kind), batch.column(5)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "spans", "kept"])
 
-    schema = "doc_id bigint, text binary, spans array<struct<start: bigint, end: bigint>>"
-    nameless = named.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"))
-    return found.mapInArrow(settle, schema).unionByName(nameless)
+    schema = "doc_id bigint, text binary, spans array<struct<start: bigint, end: bigint>>, kept "
+    schema += named.schema["kept"].dataType.simpleString()
+    nameless = named.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"), "kept")
+    out = found.mapInArrow(settle, schema).unionByName(nameless)
+    return out.select("doc_id", "text", "spans", *(F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)))
 
 
 def kept_bytes(text: Column, spans: Column) -> Column:
@@ -366,3 +373,41 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.when(F.size("spans") == 0, F.col("text")).otherwise(kept_bytes(F.col("text"), F.col("spans"))).alias("kept"),
     )
+
+
+def cut_texts(docs: DataFrame, length: int = 50) -> DataFrame:
+    """The rows of docs with repeated_spans() cut out of text, and n_chars (if there) of the new text.
+
+    A cut may split a character; the bytes that are left of it are dropped. Rows without cuts keep their text, null too.
+    """
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    marked = docs.withColumn("text was null", F.col("text").isNull())
+    found = repeated_spans(marked, length, (*rest, "text was null"))
+    columns = ["doc_id", *rest]
+    names = [f"c{i}" for i in range(len(columns))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans, was_null in zip(*batch.columns[-3:]):
+                raw, at, pieces = text.as_py(), 0, []
+                for s in spans.as_py():
+                    pieces.append(raw[at : s["start"]])
+                    at = s["end"]
+                texts.append(None if was_null.as_py() else b"".join([*pieces, raw[at:]]).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string())], names=[*names, "cut"])
+
+    kinds = [f"{n} {found.schema[c].dataType.simpleString()}" for n, c in zip(names, columns)]
+    chosen = found.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, columns)), "text", "spans", F.col("`text was null`").alias("was_null"))
+    done = chosen.mapInArrow(cut, ", ".join([*kinds, "cut string"]))
+    back = dict(zip(columns, names))
+    return done.select(
+        *(
+            F.col("cut").alias(c)
+            if c == "text"
+            else F.length("cut").cast(docs.schema[c].dataType).alias(c)
+            if c == "n_chars"
+            else F.col(back[c]).cast(docs.schema[c].dataType).alias(c)
+            for c in docs.columns
+        )
+    )
