@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from localexplain.llm.search import best, distinct_vectors, search, usable
 
 SHARD_ROWS = 4096
-LEAF_ROWS = 96
+LEAF_ROWS = 64
+QUERY_LEAF_ROWS = 16
 SHRINK = 1.6  # a child's radius against its parent's
 
 
@@ -78,7 +79,7 @@ def dual_top_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int)
 
     points must stand in order of their ids. Positions are -1 where there are fewer than k points.
     """
-    q_tree, p_tree = CoverTree(queries), CoverTree(points)
+    q_tree, p_tree = CoverTree(queries, QUERY_LEAF_ROWS), CoverTree(points)
     positions = np.full((len(queries), k), -1, np.int64)
     scores = np.full((len(queries), k), -np.inf)
     work = {"pairs": len(queries) * len(points), "products": 0}

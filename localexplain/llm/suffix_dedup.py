@@ -28,6 +28,10 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 TEXT_PART = 1 << 22
 
 
+class Collision(Exception):
+    """Comparisons by hash contradict each other."""
+
+
 class Suffixes:
     """Prefix hashes of a buffer, and comparisons of its suffixes up to `length` bytes."""
 
@@ -80,6 +84,8 @@ class Suffixes:
                 low[todo[passed]] = middle[passed] + 1
                 high[todo[~passed]] = middle[~passed]
             target = (block - block % 2) * width + (place - block * width) + (low - first)
+            if (np.bincount(target, minlength=n) != 1).any():
+                raise Collision
             merged = np.empty_like(order)
             merged[target] = order
             order, width = merged, width * 2
@@ -95,7 +101,10 @@ def classes(buffer: np.ndarray, starts: np.ndarray, length: int, bases: tuple[in
     windows = np.lib.stride_tricks.sliding_window_view(buffer, length)
     for base in bases:
         suffixes = Suffixes(buffer, length, base)
-        order = suffixes.sort(starts)
+        try:
+            order = suffixes.sort(starts)
+        except Collision:
+            continue
         far = suffixes.common(order[:-1], order[1:])
         new = np.concatenate(([True], far < length))
         if _verified(windows, order, new):
@@ -287,8 +296,8 @@ def _tag(text: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text (binary), spans: array<struct<start, end>> of maximal runs of bytes to remove, in order; `keep`
-    names columns of docs that stay with their rows.
+    """doc_id, text (binary), spans: array<struct<start, end>> of maximal runs of bytes to remove, in order; and kept, a
+    struct k0, k1, .. of the columns that `keep` names.
 
     One row per row of docs. A null text is the empty text. Texts under `length` bytes stay whole. Rows that share a
     doc_id never take from each other, repeated rows get equal results; a null doc_id is not smaller than any id and none
@@ -349,8 +358,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
     schema = "doc_id bigint, text binary, spans array<struct<start: bigint, end: bigint>>, kept "
     schema += named.schema["kept"].dataType.simpleString()
     nameless = named.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"), "kept")
-    out = found.mapInArrow(settle, schema).unionByName(nameless)
-    return out.select("doc_id", "text", "spans", *(F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)))
+    return found.mapInArrow(settle, schema).unionByName(nameless)
 
 
 def kept_bytes(text: Column, spans: Column) -> Column:
@@ -381,10 +389,9 @@ def cut_texts(docs: DataFrame, length: int = 50) -> DataFrame:
     A cut may split a character; the bytes that are left of it are dropped. Rows without cuts keep their text, null too.
     """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    marked = docs.withColumn("text was null", F.col("text").isNull())
-    found = repeated_spans(marked, length, (*rest, "text was null"))
-    columns = ["doc_id", *rest]
-    names = [f"c{i}" for i in range(len(columns))]
+    null = "text is null"  # not among the columns of any sane table
+    found = repeated_spans(docs.withColumn(null, F.col("text").isNull()), length, (*rest, null))
+    names = ["c0", *(f"c{i + 1}" for i in range(len(rest)))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,17 +404,16 @@ def cut_texts(docs: DataFrame, length: int = 50) -> DataFrame:
                 texts.append(None if was_null.as_py() else b"".join([*pieces, raw[at:]]).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string())], names=[*names, "cut"])
 
-    kinds = [f"{n} {found.schema[c].dataType.simpleString()}" for n, c in zip(names, columns)]
-    chosen = found.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, columns)), "text", "spans", F.col("`text was null`").alias("was_null"))
-    done = chosen.mapInArrow(cut, ", ".join([*kinds, "cut string"]))
-    back = dict(zip(columns, names))
-    return done.select(
-        *(
-            F.col("cut").alias(c)
-            if c == "text"
-            else F.length("cut").cast(docs.schema[c].dataType).alias(c)
-            if c == "n_chars"
-            else F.col(back[c]).cast(docs.schema[c].dataType).alias(c)
-            for c in docs.columns
-        )
+    kinds = ["c0 bigint", *(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names[1:], rest))]
+    chosen = found.select(
+        F.col("doc_id").alias("c0"),
+        *(F.col(f"kept.k{i}").alias(n) for i, n in enumerate(names[1:])),
+        "text",
+        "spans",
+        F.col(f"kept.k{len(rest)}").alias("was_null"),
     )
+    place = {"doc_id": F.col("c0"), "text": F.col("cut"), **{c: F.col(n) for c, n in zip(rest, names[1:])}}
+    if "n_chars" in place:
+        place["n_chars"] = F.length("cut")
+    done = chosen.mapInArrow(cut, ", ".join([*kinds, "cut string"]))
+    return done.select(*(place[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
