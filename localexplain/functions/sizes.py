@@ -1,32 +1,16 @@
-"""Joins that hold at size: broadcasts behind a check, and salted keys."""
+"""Joins that hold at size: salted keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 10000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` as a broadcast side if it has at most ``max_rows`` rows, else ``df`` for a shuffle join.
-
-    Meant for small aggregates whose size the planner cannot know (classes, sweep keys): it would
-    shuffle the large side before adaptive execution sees how few rows there are.  At most
-    ``max_rows + 1`` rows come to the driver, and a small result is not computed twice.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def salted_join(samples: DataFrame, small: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
-    """Inner join of sample rows to a side with one row per key.
+def salted_join(samples: DataFrame, small: DataFrame, keys: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join of sample rows to a side with one row per key.
 
     The samples of one key spread over ``salts`` groups by ``sample_id``; the side with one row per
     key, smaller by the number of samples, is repeated for each salt.
     """
     left = samples.withColumn("_salt", F.pmod(F.col("sample_id"), F.lit(salts)))
     right = small.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

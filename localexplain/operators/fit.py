@@ -31,7 +31,7 @@ def check_solvers(solver: str | Sequence[str]) -> tuple[str, ...]:
     names = (solver,) if isinstance(solver, str) else tuple(solver)
     for name in names:
         if name not in SOLVERS:
-            raise ValueError(f"Unknown solver '{name}'. Choose from: {list(SOLVERS)}")
+            raise ValueError(f"{name!r} is no solver; use {' or '.join(SOLVERS)}")
     return names
 
 
@@ -87,7 +87,32 @@ class System:
             return np.einsum("mij,mj->mi", self.A, beta)
         return np.matmul(self.A, beta[..., None])[..., 0]
 
-    def descend(self, ridge: float, iters: int, lr: float) -> np.ndarray:
+    def descend(self, ridge: float, iters: int, lr: float, rows: np.ndarray | None = None) -> np.ndarray:
+        """``iters`` gradient steps from 0, of the given rows only.
+
+        Each step shrinks the error along an eigenvector of A + ridge I by one factor, so the steps
+        have a closed form: beta = V ((1 - (1 - step v)^iters) / v) V' b.  A system that holds values which are not
+        finite has no finite result either way.
+        """
+        rows = np.arange(len(self.b)) if rows is None else rows
+        a, b = self.A[rows], self.b[rows]
+        step = lr / np.maximum(self.sw[rows], TINY)
+        usable = np.isfinite(a).all((1, 2)) & np.isfinite(b).all(1)
+        beta = np.full_like(b, np.nan)
+        if usable.any():
+            values, vectors_ = np.linalg.eigh(a[usable])
+            values = np.maximum(values, 0.0) + ridge
+            reach = step[usable, None] * values
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                # -expm1(n log1p(-r)) loses no digits where r is tiny; beyond r = 1 the factor changes sign.
+                shrunk = np.where(reach < 1, -np.expm1(iters * np.log1p(-np.minimum(reach, 1 - 1e-16))), 1 - (1 - reach) ** iters)
+                gain = np.where(values > 0, shrunk / np.where(values > 0, values, 1.0), iters * step[usable, None])
+                turned = np.einsum("mji,mj->mi", vectors_, b[usable])
+                beta[usable] = np.einsum("mij,mj->mi", vectors_, np.where(turned == 0, 0.0, gain * turned))
+        return beta
+
+    def descend_by_steps(self, ridge: float, iters: int, lr: float) -> np.ndarray:
+        """The steps themselves: what ``descend`` must equal."""
         beta = np.zeros_like(self.b)
         step = (lr / np.maximum(self.sw, TINY))[:, None]
         for _ in range(iters):
@@ -165,7 +190,7 @@ def fit(
                 beta = system.cholesky(ridge, pivot_floor)
                 failed = ~np.isfinite(beta).all(axis=1)
                 if failed.any():
-                    beta[failed] = system.descend(ridge, gd_iters, gd_lr)[failed]
+                    beta[failed] = system.descend(ridge, gd_iters, gd_lr, np.flatnonzero(failed))
                     used[failed], iters[failed] = "gd", gd_iters
             coeff = beta[:, 1:] / system.std
             intercept = beta[:, 0] - (coeff * mean).sum(1)

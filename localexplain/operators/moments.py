@@ -23,7 +23,7 @@ from localexplain.functions.arrow import blocks, matrix, numbers, vectors
 from localexplain.functions.draws import double
 from localexplain.functions.sizes import salted_join
 from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, spread
-from localexplain.operators.score import score_at_x0
+from localexplain.operators.score import check_width, score_at_x0
 from localexplain.sources.models import Model
 
 # Up to here the sums are columns in generated code; beyond, their number grows as D^2 / 2 and the
@@ -79,7 +79,10 @@ def perturbed_moments(
     kernel_width: float, seed: int, partitions: int | None = None, chunk: int = SAMPLES_PER_TASK_ROW,
 ) -> DataFrame:
     """Moments of the samples that ``perturb`` would make, without writing any sample down."""
+    check_width(kernel_width)
     d = len(background)
+    if d != model.d:
+        raise ValueError(f"the model has {model.d} features, the background {d}")
     df = score_at_x0(spread(instances, d, n_samples, partitions, chunk), model)
     if d > UNROLLED_GRAM:
         return _blocked(df, model, background, n_samples, mask_prob, noise_std, kernel_width, seed, chunk)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,17 @@ def _shuffle(df: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
     return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def unique_ids(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows; one that shares its keys with another is an error when it is read.
+
+    Counted in a window on keys by which the rows are dealt already, while they are narrow.
+    """
+    same = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    message = F.concat(F.lit("instance "), F.col("instance_id").cast("string"), F.lit(" occurs more than once"))
+    checked = F.when(F.col("_same") > 1, F.raise_error(message).cast(df.schema["x0"].dataType)).otherwise(F.col("x0"))
+    return df.withColumn("_same", same).withColumn("x0", checked).drop("_same")
+
+
 def spread(
     instances: DataFrame, d: int, n_samples: int, partitions: int | None = None,
     chunk: int = SAMPLES_PER_TASK_ROW,
@@ -46,7 +57,7 @@ def spread(
     partition count is explicit because adaptive coalescing looks at bytes, and these few bytes
     stand for B times the work.  ``partitions=0`` keeps the input's own partitioning, for tables that
     arrive in enough even splits: wide instances then need no shuffle at all, narrow ones shuffle
-    their sums.
+    their sums. Repeated instance ids are an error on all paths but that one: there the caller vouches for them.
     """
     if n_samples < 1:
         raise ValueError("n_samples must be at least 1")
@@ -55,14 +66,16 @@ def spread(
     df = instances.withColumns({"x0": F.expr(checked_x0(d)), "instance_id": F.expr("coalesce(instance_id, 0L)")})
     if n_samples <= chunk:
         rows = df.selectExpr("*", "0 AS first_sample", f"{n_samples - 1} AS last_sample")
-        return _shuffle(rows, partitions, "instance_id")
+        rows = _shuffle(rows, partitions, "instance_id")
+        return rows if partitions == 0 else unique_ids(rows, "instance_id")
     last_range = math.ceil(n_samples / chunk) - 1
     ranges = df.selectExpr("*", f"explode(sequence(0, {last_range})) AS range_id").selectExpr(
         "* EXCEPT (range_id)",
         f"int(range_id * {chunk}) AS first_sample",
         f"int(least((range_id + 1) * {chunk}, {n_samples}) - 1) AS last_sample",
     )
-    return _shuffle(ranges, partitions, "instance_id", "first_sample")
+    ranges = _shuffle(ranges, partitions, "instance_id", "first_sample")
+    return ranges if partitions == 0 else unique_ids(ranges, "instance_id", "first_sample")
 
 
 def perturb(
@@ -84,7 +97,7 @@ def perturb(
     of ``instances`` are carried along.
     """
     if layout not in ("array", "long"):
-        raise ValueError(f"Unknown layout '{layout}'. Choose from: ['array', 'long']")
+        raise ValueError(f"samples are laid out as 'array' or 'long', not {layout!r}")
     d = len(background)
     ranges = spread(instances, d, n_samples, partitions, chunk)
     if layout == "array" and d > UNROLLED_VECTOR:

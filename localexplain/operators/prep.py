@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from localexplain.functions.draws import TWO_31, check_seed
-from localexplain.functions.sizes import broadcast_if_small
 from localexplain.operators.score import logit
-from localexplain.sources.models import MAX_FEATURES, Model
+from localexplain.sources.models import Model, by_feature
 
 BUCKET_BITS = 16
 
@@ -48,8 +47,12 @@ def stratified_split(
             F.min(F.struct("_bucket", (F.col("quota") - F.col("after") + F.col("c")).alias("need")))["need"].alias("_need"),
         )
     )
-    cuts = broadcast_if_small(cuts.withColumnRenamed(label, "_label"))
-    placed = rows.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
+    cuts = cuts.withColumnRenamed(label, "_label")
+    # One class may hold most rows: the bucket is part of the key, so they meet their cut spread over all buckets.
+    spread_cuts = counts.select(F.col(label).alias("_of"), F.col("_bucket").alias("_in")).join(
+        cuts, F.col("_of").eqNullSafe(F.col("_label"))
+    )
+    placed = rows.join(spread_cuts, F.col(label).eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in")), "left")
     whole = placed.where(F.coalesce(F.col("_bucket") != F.col("_cut"), F.lit(True))).withColumn(
         "split", F.when(F.col("_bucket") > F.col("_cut"), "train").otherwise("test")
     )
@@ -118,13 +121,9 @@ def background_means(train: DataFrame, d: int, vec: str = "x") -> DataFrame:
     return means.select(F.posexplode(F.array(*[f"m{i}" for i in range(d)])).alias("feature_idx", "mean"))
 
 
-def as_vector(means: DataFrame, digits: int | None = None) -> list[float]:
-    """The D background means on the driver; ``digits`` makes them independent of summation order."""
-    rows = means.limit(MAX_FEATURES + 1).collect()
-    by_idx = {r.feature_idx: r["mean"] for r in rows}
-    if sorted(by_idx) != list(range(len(by_idx))) or None in by_idx.values():
-        raise ValueError("background means must cover features 0..D-1")
-    values = [by_idx[i] for i in range(len(by_idx))]
+def as_vector(means: DataFrame, d: int, digits: int | None = None) -> list[float]:
+    """The d background means on the driver; ``digits`` makes them independent of summation order."""
+    values = by_feature(means, "mean", d, "the table of background means")
     return values if digits is None else [round(v, digits) for v in values]
 
 

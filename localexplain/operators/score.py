@@ -49,7 +49,7 @@ def score(samples: DataFrame, model: Model | Callable[[DataFrame], DataFrame], m
     elif method == "batched":
         value = batched_logit("x", model)
     else:
-        raise ValueError(f"Unknown method '{method}'. Choose from: ['batched', 'custom']")
+        raise ValueError(f"scoring is 'batched' or 'custom', not {method!r}")
     return samples.withColumn("pred", logistic_link(value))
 
 
@@ -64,9 +64,13 @@ def sq_distance(a: Column, b: Column) -> Column:
     return vectors.squared_distance(a, b)
 
 
-def kernel_weight(dist: Column, kernel_width: float = 1.0) -> Column:
-    if kernel_width <= 0:
+def check_width(kernel_width: float) -> None:
+    if not kernel_width > 0:
         raise ValueError("kernel_width must be positive")
+
+
+def kernel_weight(dist: Column, kernel_width: float = 1.0) -> Column:
+    check_width(kernel_width)
     return F.exp(-dist / F.lit(float(kernel_width) ** 2))
 
 

@@ -11,21 +11,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from localexplain.functions.sizes import broadcast_if_small
-
 # The line formats of the logs.
 _TAG = r"D=(\d+)\s+B=(\d+)"
 _BODY = r"Timing \(ms\):\s+gen\s+([\d.]+)\s+infer\s+([\d.]+)\s+weights\s+([\d.]+)\s+total\s+([\d.]+)"
 TAGGED = {"gpu": rf"{_TAG}\s+{_BODY}", "cpu": rf"{_TAG}\s+(?:CPU\s+)?{_BODY}"}
 TAG_WORD, BODY_WORD = "D=", "Timing (ms):"
 STAGES = ("gen", "infer", "weights", "total")
+# The labels of the stacked bars.
 STAGE_LABELS = ("Generation", "Inference", "Weights")
 KEY = ["D", "B"]
 
 
 def _kind(kind: str) -> str:
     if kind not in TAGGED:
-        raise ValueError(f"Unknown kind '{kind}'. Choose from: {sorted(TAGGED)}")
+        raise ValueError(f"a log is of the 'cpu' or the 'gpu', not {kind!r}")
     return kind
 
 
@@ -122,8 +121,8 @@ def parse_log(lines: DataFrame, kind: str = "gpu") -> DataFrame:
 def drop_first(runs: DataFrame, n: int = 0) -> DataFrame:
     """Without the first n runs of every (D, B) in log order, unless that would leave none.
 
-    Only the first n runs per key are ranked (the rank filter limits every task to n rows per key
-    before the shuffle); the others are compared with the last of them.
+    Only the first n + 1 runs per key are ranked (the rank filter limits every task to so many rows per key before the
+    shuffle); the others are compared with the n-th of them.  Nothing runs while the plan is built.
     """
     if n <= 0:
         return runs
@@ -132,20 +131,40 @@ def drop_first(runs: DataFrame, n: int = 0) -> DataFrame:
     ends = (
         runs.select(*KEY, "file", "chunk", "seq")
         .withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= n)
+        .where(F.col("rank") <= n + 1)
         .groupBy(*KEY)
-        .agg(F.max(order).alias("end"))
-    )
-    counts = runs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("runs"))
-    return (
-        runs.join(broadcast_if_small(ends.join(counts, KEY)), KEY)
-        .where((F.col("runs") <= n) | (order > F.col("end")))
-        .drop("end", "runs")
+        .agg(F.max(F.when(F.col("rank") <= n, order)).alias("end"), F.max("rank").alias("runs"))
     )
+    return runs.join(ends, KEY).where((F.col("runs") <= n) | (order > F.col("end"))).drop("end", "runs")
 
 
-def mean_by_key(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(*KEY).agg(*[F.avg(s).alias(s) for s in STAGES], F.count(F.lit(1)).alias("runs"))
+def mean_by_key(runs: DataFrame, drop: int = 0) -> DataFrame:
+    """Mean times and number of runs of every (D, B), without its first ``drop`` runs unless those are all.
+
+    The times of the first runs are taken off the sums of all, so nothing is joined to the runs.  For ``drop=1`` the
+    first run is the smallest (place, times) struct, found in the same pass; beyond, a task ranks ``drop`` rows per key.
+    """
+    if drop <= 0:
+        return runs.groupBy(*KEY).agg(*[F.avg(s).alias(s) for s in STAGES], F.count(F.lit(1)).alias("runs"))
+    sums = [F.sum(s).alias(f"all_{s}") for s in STAGES]
+    if drop == 1:
+        first = F.min(F.struct("file", "chunk", "seq", *STAGES)).alias("first")
+        once = runs.groupBy(*KEY).agg(*sums, F.count(F.lit(1)).alias("all_runs"), first)
+        more = F.col("all_runs") > 1
+        left = F.when(more, F.col("all_runs") - 1).otherwise(F.col("all_runs"))
+        off = {s: F.when(more, F.col(f"first.{s}")).otherwise(0.0) for s in STAGES}
+        return once.select(*KEY, *[((F.col(f"all_{s}") - off[s]) / left).alias(s) for s in STAGES], left.alias("runs"))
+    place = Window.partitionBy(*KEY).orderBy("file", "chunk", "seq")
+    ranked = runs.select(*KEY, "file", "chunk", "seq", *STAGES).withColumn("rank", F.row_number().over(place))
+    head = ranked.where(F.col("rank") <= drop).groupBy(*KEY).agg(*[F.sum(s).alias(f"first_{s}") for s in STAGES])
+    whole = runs.groupBy(*KEY).agg(*sums, F.count(F.lit(1)).alias("all_runs"))
+    more = F.col("all_runs") > drop
+    left = F.when(more, F.col("all_runs") - drop).otherwise(F.col("all_runs"))
+    return whole.join(head, KEY).select(
+        *KEY,
+        *[((F.col(f"all_{s}") - F.when(more, F.col(f"first_{s}")).otherwise(0.0)) / left).alias(s) for s in STAGES],
+        left.alias("runs"),
+    )
 
 
 def parse_combined(lines: DataFrame) -> DataFrame:

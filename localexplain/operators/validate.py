@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from localexplain.functions import vectors
 from localexplain.operators.score import score, weigh
 from localexplain.plans.explain import with_instances
+from localexplain.sources.models import Model
 
 
 def replay_check(stored: DataFrame, instances: DataFrame, model, kernel_width: float = 1.0) -> DataFrame:
-    """Stored (instance_id, sample_id, x, pred, weight) with recomputed values and |differences|."""
+    """Stored (instance_id, sample_id, x, pred, weight) with recomputed values and |differences|.
+
+    Every stored row is in the result: one whose instance is unknown has no recomputed values, and fails.
+    """
     rows = with_instances(
         stored.withColumnsRenamed({"pred": "stored_pred", "weight": "stored_weight"}), instances
     )
-    rows = weigh(score(rows, model), kernel_width)
-    return rows.select(
+    rows = weigh(score(rows, model), kernel_width, model.d if isinstance(model, Model) else None)
+    return rows.withColumn("pred", F.when(F.col("x0").isNotNull(), F.col("pred"))).select(
         "instance_id", "sample_id", "stored_pred", "pred", "stored_weight", "weight",
         F.abs(F.col("stored_pred") - F.col("pred")).alias("pred_diff"),
         F.abs(F.col("stored_weight") - F.col("weight")).alias("weight_diff"),
@@ -24,20 +28,24 @@ def replay_check(stored: DataFrame, instances: DataFrame, model, kernel_width: f
 
 
 def _checked(replayed: DataFrame) -> DataFrame:
-    """Two rows per sample: (name, ref, diff)."""
-    both = F.explode(
-        F.array(
-            F.struct(F.lit("preds").alias("name"), F.col("pred").alias("ref"), F.col("pred_diff").alias("diff")),
-            F.struct(F.lit("weights").alias("name"), F.col("weight").alias("ref"), F.col("weight_diff").alias("diff")),
+    """Two rows per sample: (name, stored, ref, diff)."""
+    def part(name, column):
+        return F.struct(
+            F.lit(name).alias("name"), F.col(f"stored_{column}").alias("stored"), F.col(column).alias("ref"),
+            F.col(f"{column}_diff").alias("diff"),
         )
-    )
+
+    both = F.explode(F.array(part("preds", "pred"), part("weights", "weight")))
     return replayed.select(both.alias("c")).select("c.*")
 
 
 def tolerance_report(
     replayed: DataFrame, tol_abs: float = 1e-4, tol_rel: float = 1e-3, tol: float | None = None
 ) -> DataFrame:
-    """max / mean |diff|, max relative difference and PASS per checked column; ``tol`` alone means no relative part."""
+    """max / mean |diff|, max relative difference, both means and PASS per checked column; ``tol`` alone means no relative part.
+
+    A row without a recomputed value counts as unmatched and does not pass.
+    """
     if tol is not None:
         tol_abs, tol_rel = tol, 0.0
     passed = F.col("diff") <= F.lit(tol_abs) + F.lit(tol_rel) * F.abs("ref")
@@ -46,33 +54,44 @@ def tolerance_report(
         F.max("diff").alias("max_diff"),
         F.avg("diff").alias("mean_diff"),
         F.max(F.col("diff") / (F.abs("ref") + F.lit(1e-12))).alias("max_rel"),
+        F.avg("stored").alias("mean_stored"),
+        F.avg("ref").alias("mean_recomputed"),
+        F.count_if(F.col("diff").isNull()).alias("unmatched"),
         F.bool_and(F.coalesce(passed, F.lit(False))).alias("passed"),
     )
 
 
 def shape_check(samples: DataFrame, instances: DataFrame, n_samples: int) -> DataFrame:
-    """Every instance with its number of distinct rows found; instances without samples count 0."""
-    found = samples.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_found"))
-    return (
-        instances.select("instance_id")
-        .join(found, "instance_id", "left")
-        .select(
-            "instance_id",
-            F.coalesce("n_found", F.lit(0)).cast("bigint").alias("n_found"),
-            (F.coalesce("n_found", F.lit(0)) == n_samples).alias("passed"),
-        )
+    """Every instance, known or only stored, with its rows and distinct samples; 0 for one without samples.
+
+    Passed is an instance that is known and has samples 0..n_samples-1, each once.
+    """
+    found = samples.groupBy("instance_id", "sample_id").agg(F.count(F.lit(1)).alias("rows"))
+    found = found.groupBy("instance_id").agg(
+        F.sum("rows").alias("n_rows"), F.count("sample_id").alias("n_found"),
+        F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi"),
+    )
+    known = instances.select("instance_id", F.lit(True).alias("known")).distinct()
+    right = (F.col("n_rows") == n_samples) & (F.col("n_found") == n_samples) & (F.col("lo") == 0) & (F.col("hi") == n_samples - 1)
+    return known.join(found, "instance_id", "full_outer").select(
+        "instance_id",
+        F.coalesce("known", F.lit(False)).alias("known"),
+        F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
+        F.coalesce("n_found", F.lit(0)).cast("bigint").alias("n_found"),
+        F.coalesce(F.col("known") & right, F.lit(False)).alias("passed"),
     )
 
 
 def mask_checks(samples: DataFrame, background) -> DataFrame:
     """Per instance: cells, masked cells, cells outside {0, 1} and masked cells off the background mean.
 
-    Counted inside the row first, so a sample adds four numbers to the aggregation.
+    Counted inside the row first, so a sample adds four numbers to the aggregation. A null cell of a mask is a bad one;
+    a sample without a mask has no cells.
     """
     means = vectors.literal(background)
     off_mean = F.zip_with(
         F.arrays_zip("x", "z"), means,
-        lambda c, m: ((c["z"] == 0) & (c["x"] != m)).cast("int"),
+        lambda c, m: F.coalesce((c["z"] == 0) & ~c["x"].eqNullSafe(m), F.lit(False)).cast("int"),
     )
 
     def count_if(cells):
@@ -81,8 +100,8 @@ def mask_checks(samples: DataFrame, background) -> DataFrame:
     counted = samples.select(
         "instance_id",
         F.size("z").alias("cells"),
-        count_if(F.transform("z", lambda v: (v == 0).cast("int"))).alias("masked"),
-        count_if(F.transform("z", lambda v: (~v.isin(0, 1)).cast("int"))).alias("bad_mask"),
+        count_if(F.transform("z", lambda v: v.eqNullSafe(F.lit(0)).cast("int"))).alias("masked"),
+        count_if(F.transform("z", lambda v: F.coalesce(~v.isin(0, 1), F.lit(True)).cast("int"))).alias("bad_mask"),
         count_if(off_mean).alias("bad_value"),
     )
     sums = [F.sum(c).cast("bigint").alias(c) for c in ("cells", "masked", "bad_mask", "bad_value")]
@@ -95,29 +114,30 @@ def mask_checks(samples: DataFrame, background) -> DataFrame:
 def diff_histogram(values: DataFrame, column: str, bins: int = 8, width: int = 40) -> DataFrame:
     """Equal-width histogram of one column on [min, max], last bin closed, empty bins kept.
 
-    A constant column is widened by 0.5 on both sides.  The range is one row, held as a scalar
-    subquery; the counts are at most ``bins`` rows per task before they are shuffled.
+    A constant column is widened by 0.5 on both sides.  The range is one row, joined once; the counts are at most
+    ``bins`` rows per task before they are shuffled.
     """
-    spark = values.sparkSession
-    span = values.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias("s")).scalar()
-    same = span["lo"] == span["hi"]
-    lo = F.when(same, span["lo"] - 0.5).otherwise(span["lo"])
-    hi = F.when(same, span["hi"] + 0.5).otherwise(span["hi"])
-    place = F.floor((F.col(column) - lo) / (hi - lo) * bins).cast("int")
+    span = values.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    half = F.when(F.col("low") == F.col("high"), 0.5).otherwise(0.0)
+    span = span.select((F.col("low") - half).alias("low"), (F.col("high") + half).alias("high"))  # one row
+    place = F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins).cast("int")
     counts = (
-        values.where(F.col(column).isNotNull())
+        values.select(F.col(column).alias("value"))
+        .where(F.col("value").isNotNull())
+        .join(F.broadcast(span), F.col("value").between(F.col("low"), F.col("high")))
         .select(F.least(place, F.lit(bins - 1)).alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    every = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    every = span.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "low", "high")
     n = F.coalesce("n", F.lit(0)).cast("bigint")
     most = F.max("n").over(Window.partitionBy(F.lit(1)))
+    width_of = (F.col("high") - F.col("low")) / bins
     return (
         every.join(counts, "bin", "left")
         .select(
-            "bin", (lo + F.col("bin") * (hi - lo) / bins).alias("lo"),
-            (lo + (F.col("bin") + 1) * (hi - lo) / bins).alias("hi"), n.alias("n"),
+            "bin", (F.col("low") + F.col("bin") * width_of).alias("lo"),
+            (F.col("low") + (F.col("bin") + 1) * width_of).alias("hi"), n.alias("n"),
         )
         .withColumn("bar", F.coalesce(F.floor(F.try_divide(F.lit(width) * F.col("n"), most)), F.lit(0)).cast("int"))
     )

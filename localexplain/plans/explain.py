@@ -5,18 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from localexplain.functions.sizes import salted_join
 from localexplain.operators.fit import fit
 from localexplain.operators.moments import perturbed_moments, sample_moments
-from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, UNROLLED_VECTOR, perturb, spread, wide_samples
-from localexplain.operators.score import score, score_at_x0, weigh
+from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, UNROLLED_VECTOR, perturb, spread, unique_ids, wide_samples
+from localexplain.operators.score import check_width, score, score_at_x0, weigh
 from localexplain.sources.models import Model
 
 BlackBox = Model | Callable[[DataFrame], DataFrame]
 REPLAY_SALTS = 16
 
 
+def check_setup(model: BlackBox, background, kernel_width: float) -> None:
+    """What every plan asks of its parameters, whatever D, B and the kind of black box are."""
+    check_width(kernel_width)
+    if isinstance(model, Model) and background is not None and len(background) != model.d:
+        raise ValueError(f"the model has {model.d} features, the background {len(background)}")
+
+
 def scored_samples(
     instances: DataFrame,
     model: BlackBox,
@@ -36,9 +44,8 @@ def scored_samples(
 
     ``keep_vectors=False`` leaves out x, z and x0 when only the scores are wanted.
     """
+    check_setup(model, background, kernel_width)
     if samples is None and isinstance(model, Model) and model.d > UNROLLED_VECTOR and method == "custom":
-        if kernel_width <= 0:
-            raise ValueError("kernel_width must be positive")
         ranges = spread(instances, model.d, n_samples, partitions, chunk)
         return wide_samples(ranges, background, mask_prob, noise_std, seed, model, kernel_width, keep_vectors)
     if samples is None:
@@ -47,19 +54,26 @@ def scored_samples(
             partitions=partitions, chunk=chunk,
         )
     else:
-        samples = with_instances(samples, instances)
+        samples = matched(with_instances(samples, instances))
     d = model.d if isinstance(model, Model) else None if background is None else len(background)
     scored = weigh(score(samples, model, method), kernel_width, d)
     return scored if keep_vectors else scored.drop("x", "z", "x0")
 
 
 def with_instances(samples: DataFrame, instances: DataFrame, salts: int = REPLAY_SALTS) -> DataFrame:
-    """Stored samples joined to their instance rows.
+    """Stored samples joined to their instance rows, x0 null where the instance is not there.
 
     One instance may own a third of the samples, so the join is salted by sample.  Adaptive execution
     still broadcasts the instances when their measured size allows it.
     """
-    return salted_join(samples.drop("x0"), instances, ["instance_id"], salts)
+    return salted_join(samples.drop("x0"), unique_ids(instances, "instance_id"), ["instance_id"], salts, "left")
+
+
+def matched(samples: DataFrame) -> DataFrame:
+    """Rows of ``with_instances`` for a replay: a sample of an unknown instance is an error, not a smaller result."""
+    message = F.concat(F.lit("no instance for the samples of "), F.coalesce(F.col("instance_id").cast("string"), F.lit("NULL")))
+    x0 = F.when(F.col("x0").isNull(), F.raise_error(message).cast(samples.schema["x0"].dataType)).otherwise(F.col("x0"))
+    return samples.withColumn("x0", x0)
 
 
 def explain(
@@ -87,6 +101,7 @@ def explain(
     one-pass plan, which writes no sample down; any other black box, or replayed samples, go through
     ``scored_samples``.
     """
+    check_setup(model, background, kernel_width)
     if samples is None and isinstance(model, Model):
         sums = perturbed_moments(
             instances, model, background, n_samples, mask_prob, noise_std, kernel_width, seed,

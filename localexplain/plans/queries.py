@@ -74,7 +74,7 @@ def document_instances(spark, sf) -> DataFrame:
 
 
 def background_of(instances: DataFrame, d: int) -> list[float]:
-    return prep.as_vector(prep.background_means(instances, d, "x0"), MEAN_DIGITS)
+    return prep.as_vector(prep.background_means(instances, d, "x0"), d, MEAN_DIGITS)
 
 
 def setup(instances: DataFrame, d: int):
@@ -139,12 +139,11 @@ def perturb_mask_rate(spark, sf):
 @query
 def synthetic_scores(spark, sf):
     """Synthetic parameters with 30 features, one instance per part; even keys use the flat x0."""
-    d = 30
-    inst = read(spark, sf, "part").selectExpr(
-        "p_partkey AS instance_id",
-        f"transform(sequence(0, {d - 1}), i -> if(p_partkey % 2 = 0 OR i % 5 <> 0, 0.5D, 1D)) AS x0",
-    )
-    model, bg = models.synthetic_model(d), models.synthetic_background(d)
+    model, bg, one = models.synthetic_params(spark, 30)
+    _, _, flat = models.synthetic_params(spark, 30, flat_x0=True)
+    kinds = one.select("x0", F.lit(1).alias("odd")).unionAll(flat.select("x0", F.lit(0).alias("odd")))
+    keys = read(spark, sf, "part").selectExpr("p_partkey AS instance_id", "int(p_partkey % 2) AS odd")
+    inst = keys.join(F.broadcast(kinds), "odd").select("instance_id", "x0")  # two rows of 30 numbers
     scored = ex.scored_samples(inst, model, bg, n_samples=16, keep_vectors=False)
     return rounded(score.run_means(scored), "mean_pred", "mean_weight")
 
@@ -183,7 +182,7 @@ def run_means(spark, sf):
 
 @query
 def score_at_x0(spark, sf):
-    inst, model, _ = lines(spark, sf)
+    inst, model = line_instances(spark, sf), models.synthetic_model(4)
     return rounded(score.score_at_x0(inst, model).select("instance_id", "bb_x0"), "bb_x0", digits=8)
 
 
@@ -197,7 +196,8 @@ def two_unit_network(samples: DataFrame) -> DataFrame:
 def explain_network(spark, sf):
     inst, _, bg = orders(spark, sf)
     fits = ex.explain(inst, two_unit_network, bg, n_samples=32)
-    return rounded(long_coefficients(fits).join(fits.select("instance_id", "r2"), "instance_id"), "r2")
+    rows = fits.select("instance_id", "solver", "intercept", "r2", F.posexplode("coeff").alias("feature_idx", "coefficient"))
+    return rounded(rows, "coefficient", "intercept", "r2")
 
 
 @query
@@ -313,6 +313,34 @@ def fit_wide(spark, sf):
     return long_coefficients(ex.explain(inst, model, bg, n_samples=200))
 
 
+@query
+def fit_ranges(spark, sf):
+    """More samples than one task row holds: the ranges of an instance are summed on several tasks."""
+    inst, model, bg = lines(spark, sf)
+    return long_coefficients(ex.explain(inst, model, bg, n_samples=64, chunk=16))
+
+
+@query
+def fit_wide_ranges(spark, sf):
+    inst, model, bg = embeddings(spark, sf)
+    return long_coefficients(ex.explain(inst, model, bg, n_samples=200, chunk=64))
+
+
+@query
+def fit_replayed(spark, sf):
+    """The fit of stored samples, scored again."""
+    inst, model, bg = parts(spark, sf)
+    stored = perturb.perturb(inst, bg, 32).select("instance_id", "sample_id", "x", "z")
+    return long_coefficients(ex.explain(inst, model, bg, samples=stored))
+
+
+@query
+def fit_replayed_wide(spark, sf):
+    inst, model, bg = embeddings(spark, sf)
+    stored = perturb.perturb(inst, bg, 200).select("instance_id", "sample_id", "x", "z")
+    return long_coefficients(ex.explain(inst, model, bg, samples=stored))
+
+
 @query
 def fit_fallback(spark, sf):
     """A black box without a value for some parts: their closed form is not finite, so GD reports."""
@@ -428,11 +456,8 @@ def source_summary(spark, sf):
 
 @query
 def side_by_side(spark, sf):
-    inst, model, bg = lines(spark, sf)
-    sources = {
-        "closed": ex.explain(inst, model, bg, n_samples=32),
-        "strong_ridge": ex.explain(inst, model, bg, n_samples=32, ridge=10.0),
-    }
+    sums, _ = _moments(spark, sf, lines, 32)  # the ridge comes after the sums
+    sources = {"closed": fit.fit(sums), "strong_ridge": fit.fit(sums, ridge=10.0)}
     out = agree.side_by_side(tables.load_fits(sources), ["closed", "strong_ridge", "absent"], LINE_NAMES, 2)
     return rounded(out, "closed", "strong_ridge", "absent")
 
@@ -475,14 +500,17 @@ def replay_check(spark, sf):
 def tolerance_report(spark, sf):
     stored, inst, model, _ = _stored(spark, sf)
     out = validate.tolerance_report(validate.replay_check(stored, inst, model), 3e-5, 1e-4)
-    return rounded(out, "max_diff", "mean_diff", "max_rel", digits=9)
+    return rounded(out, "max_diff", "mean_diff", "max_rel", "mean_stored", "mean_recomputed", digits=9)
 
 
 @query
 def diff_histogram(spark, sf):
     stored, inst, model, _ = _stored(spark, sf)
-    out = validate.diff_histogram(validate.replay_check(stored, inst, model), "weight_diff")
-    return rounded(out, "lo", "hi", digits=9)
+    replayed = validate.replay_check(stored, inst, model)
+    both = [
+        validate.diff_histogram(replayed, f"{c}_diff").withColumn("name", F.lit(f"{c}s")) for c in ("pred", "weight")
+    ]
+    return rounded(both[0].unionAll(both[1]), "lo", "hi", digits=9)
 
 
 @query
@@ -506,6 +534,46 @@ def mask_checks(spark, sf):
     return validate.mask_checks(samples, bg)
 
 
+def _broken(spark, sf):
+    """Stored scores with planted damage: unknown instances, repeated and missing samples, null mask cells, wrong values."""
+    stored, inst, model, bg = _stored(spark, sf)
+    orphans = stored.where("instance_id % 50 = 7 AND sample_id < 8").selectExpr(
+        "-instance_id AS instance_id", "sample_id", "x", "z", "0D AS pred", "0D AS weight"
+    )
+    # sample 7 of every eleventh part is stored under the number of sample 6
+    repeated = F.when(F.expr("instance_id % 11 = 3 AND sample_id = 7"), 6).otherwise(F.col("sample_id")).cast("int")
+    hole = F.when(F.expr("instance_id % 13 = 5 AND sample_id = 1"), F.array(F.lit(None).cast("int"), F.lit(7))).otherwise(F.col("z"))
+    wrong = F.when(F.expr("instance_id % 17 = 2 AND sample_id = 3"), F.col("pred") + 0.5).otherwise(F.col("pred"))
+    damaged = stored.withColumns({"sample_id": repeated, "z": hole, "pred": wrong})
+    return damaged.unionByName(orphans), inst, model, bg
+
+
+@query
+def damage_tolerance(spark, sf):
+    stored, inst, model, _ = _broken(spark, sf)
+    out = validate.tolerance_report(validate.replay_check(stored, inst, model))
+    return rounded(out, "max_diff", "mean_diff", "max_rel", "mean_stored", "mean_recomputed", digits=9)
+
+
+@query
+def damage_shape(spark, sf):
+    stored, inst, _, _ = _broken(spark, sf)
+    return validate.shape_check(stored, inst, 32)
+
+
+@query
+def damage_masks(spark, sf):
+    stored, _, _, bg = _broken(spark, sf)
+    return validate.mask_checks(stored, bg)
+
+
+@query
+def damage_verdict(spark, sf):
+    stored, inst, model, bg = _broken(spark, sf)
+    report_ = validate.tolerance_report(validate.replay_check(stored, inst, model))
+    return validate.verdict(report_, validate.shape_check(stored, inst, 32), validate.mask_checks(stored, bg))
+
+
 @query
 def verdict(spark, sf):
     stored, inst, model, bg = _stored(spark, sf)
@@ -527,11 +595,12 @@ def binary_dataset(spark, sf):
     """Ten classes folded to two, first class against the rest."""
     specs = {
         "embeddings_binary": (
-            f"{sf}/embeddings.parquet", "vec_id", [f"embedding[{i}]" for i in range(4)], "int(label <> 0)"
+            f"{sf}/embeddings.parquet", "vec_id", [f"embedding[{i}]" for i in range(64)], "int(label <> 0)"
         )
     }
     out = models.load_dataset(spark, "embeddings_binary", specs)
-    return rounded(out.selectExpr("row_id", "x[0] AS x_0", "x[3] AS x_3", "label"), "x_0", "x_3")
+    cells = out.select("row_id", "label", F.posexplode("x").alias("feature_idx", "x"))
+    return rounded(cells, "x")
 
 
 @query
@@ -579,7 +648,7 @@ def black_box_accuracy(spark, sf):
 def explain_trained(spark, sf):
     """Train on 80 %, then explain every held-out vector with the trained model."""
     model, train, test = _trained(spark, sf)
-    bg = prep.as_vector(prep.background_means(train, model.d), MEAN_DIGITS)
+    bg = prep.as_vector(prep.background_means(train, model.d), model.d, MEAN_DIGITS)
     inst = test.selectExpr("row_id AS instance_id", "x AS x0")
     fits = ex.explain(inst, model, bg, n_samples=200)
     return rounded(report.top_k(fits, 10).drop("solver", "n_features"), "coefficient")
@@ -594,7 +663,7 @@ def log_lines(spark, sf) -> DataFrame:
     b = f"element_at(array({', '.join(map(str, B_VALUES))}), int((user_id DIV 3) % 3) + 1)"
     tag = f"concat('D=', {d}, ' B=', {b})"
     times = (
-        "concat('Timing (ms): gen ', value, '  infer ', value * 2, '  weights ', value * 4, '  total ', value * 8)"
+        "concat('Timing (ms): gen ', v1, '  infer ', v2, '  weights ', v4, '  total ', v8)"
     )
     line = (
         "CASE int(event_id % 7) "
@@ -604,10 +673,13 @@ def log_lines(spark, sf) -> DataFrame:
         f"WHEN 3 THEN concat({tag}, ' ', {times}) "
         f"WHEN 4 THEN concat({tag}, ' CPU ', {times}) "
         f"WHEN 5 THEN concat('  CPU ', {times}, ' ') "
-        "ELSE concat('Timing detail (ms): gen_init ', value, '  perturb ', value) END"
+        "ELSE concat('Timing detail (ms): gen_init ', v1, '  perturb ', v1) END"
     )
-    numbers = "cast(round(value) AS INT)"
-    events = read(spark, sf, "events").withColumn("value", F.expr(numbers))
+    # three decimals, written as text from whole thousandths so that both engines write the same
+    thousandths = "cast(round(value) AS BIGINT) * 1000 + event_id % 1000"
+    written = "concat(string({n} DIV 1000), '.', lpad(string({n} % 1000), 3, '0'))"
+    events = read(spark, sf, "events").withColumn("n", F.expr(thousandths))
+    events = events.withColumns({f"v{k}": F.expr(written.format(n=f"(n * {k})")) for k in (1, 2, 4, 8)})
     return logs.number_lines(
         events.select(
             F.concat(F.col("event_type"), F.lit(".log")).alias("file"),
@@ -631,7 +703,7 @@ def timing_carry(spark, sf):
 
 
 def _device(spark, sf, kind):
-    return timings.mean_by_key(timings.drop_first(timings.parse_log(log_lines(spark, sf), kind), 1))
+    return timings.mean_by_key(timings.parse_log(log_lines(spark, sf), kind), drop=1)
 
 
 @query
@@ -644,6 +716,12 @@ def timing_means(spark, sf):
     return rounded(_device(spark, sf, "cpu"), *timings.STAGES)
 
 
+@query
+def timing_means_two(spark, sf):
+    """Without the first two runs of every key."""
+    return rounded(timings.mean_by_key(timings.parse_log(log_lines(spark, sf), "gpu"), drop=2), *timings.STAGES)
+
+
 @query
 def timing_combined(spark, sf):
     return timings.parse_combined(log_lines(spark, sf))
@@ -662,22 +740,25 @@ def timing_merge(spark, sf):
     return _merged(spark, sf)
 
 
+def _both(spark, sf):
+    both = timings.parse_combined(log_lines(spark, sf))
+    return timings.merge_devices(both.where("kind = 'gpu'"), both.where("kind = 'cpu'"))
+
+
 @query
 def speedup_matrix(spark, sf):
-    both = timings.parse_combined(log_lines(spark, sf))
-    merged = timings.merge_devices(both.where("kind = 'gpu'"), both.where("kind = 'cpu'"))
-    out = timings.speedup_matrix(merged, B_VALUES)
+    out = timings.speedup_matrix(_both(spark, sf), B_VALUES)
     return rounded(out, *[f"b_{b}" for b in B_VALUES])
 
 
 @query
 def stage_breakdown(spark, sf):
-    return timings.stage_breakdown(_merged(spark, sf))
+    return rounded(timings.stage_breakdown(_both(spark, sf)), "value", "bottom")
 
 
 @query
 def total_series(spark, sf):
-    return timings.total_series(_merged(spark, sf))
+    return timings.total_series(_both(spark, sf))
 
 
 @query

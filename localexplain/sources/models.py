@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from localexplain import schemas
 
-MAX_FEATURES = 1 << 16
-
 
 @dataclass(frozen=True)
 class Model:
@@ -69,23 +67,19 @@ def write_model(model: Model, background, names, instances: DataFrame, path: str
 
 
 def read_model(spark: SparkSession, path: str):
-    """(model, background, names, instances); a missing or short table is an error.
+    """(model, background, names, instances); a table with missing, repeated or extra rows is an error.
 
-    The first three hold at most MAX_FEATURES rows and come to the driver; instances stay a table.
+    The first three come to the driver, once their counts say that they hold the model's D rows; instances stay a table.
     """
     rows = spark.read.schema(schemas.MODEL).parquet(f"{path}/model").limit(2).collect()
     if len(rows) != 1:
         raise ValueError(f"{path}/model must hold exactly one model, found {len(rows)}")
     row = rows[0]
-    if row.w is None or len(row.w) != row.d or not 0 < row.d <= MAX_FEATURES:
+    if row.w is None or len(row.w) != row.d or row.d < 1:
         raise ValueError(f"{path}/model: {row.d} features announced, weights do not match")
 
     def vector(table, schema, column):
-        got = spark.read.schema(schema).parquet(f"{path}/{table}").limit(row.d + 1).collect()
-        by_idx = {r.feature_idx: r[column] for r in got}
-        if sorted(by_idx) != list(range(row.d)):
-            raise ValueError(f"{path}/{table} does not hold features 0..{row.d - 1}")
-        return [by_idx[i] for i in range(row.d)]
+        return by_feature(spark.read.schema(schema).parquet(f"{path}/{table}"), column, row.d, f"{path}/{table}")
 
     model = Model(tuple(row.w), row.bias, row.model_id, row.dataset, row.accuracy)
     background = vector("background", schemas.BACKGROUND, "mean")
@@ -94,13 +88,27 @@ def read_model(spark: SparkSession, path: str):
     return model, background, names, instances
 
 
+def by_feature(rows: DataFrame, column: str, d: int, what: str) -> list:
+    """The values of features 0..d-1 on the driver; any other set of rows, or a null value, is an error.
+
+    Counted before anything is collected, so what comes to the driver has d rows.
+    """
+    seen = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("feature_idx").alias("different"),
+        F.min("feature_idx").alias("lo"), F.max("feature_idx").alias("hi"), F.count(column).alias("values"),
+    ).first()
+    if not (seen.n == seen.different == seen["values"] == d and seen.lo == 0 and seen.hi == d - 1):
+        raise ValueError(f"{what} does not hold features 0..{d - 1}, each once with a value: {seen.n} rows")
+    return [r[column] for r in sorted(rows.collect(), key=lambda r: r.feature_idx)]
+
+
 def load_dataset(spark: SparkSession, name: str, specs: dict) -> DataFrame:
     """(row_id, x, label) of a named dataset.
 
     ``specs[name] = (path, id column, feature expressions, label expression)``, SQL text.
     """
     if name not in specs:
-        raise ValueError(f"Unknown dataset '{name}'. Choose from: {sorted(specs)}")
+        raise ValueError(f"no dataset is called {name!r}; there are {', '.join(sorted(specs))}")
     path, key, features, label = specs[name]
     return spark.read.parquet(path).select(
         F.expr(key).cast("bigint").alias("row_id"),

@@ -460,6 +460,9 @@ ORACLES["loss_curve"] = (
     + f" SELECT id AS instance_id, epoch::INTEGER AS epoch, {rnd('loss')} AS loss FROM los"
 )
 ORACLES["fit_wide"] = W + explained("embeddings", 200, wide=True) + coefficients(64, "cholesky")
+ORACLES["fit_ranges"] = W + explained("lines", 64) + coefficients(4, "cholesky")
+ORACLES["fit_replayed"] = W + explained("parts", 32) + coefficients(2, "cholesky")
+ORACLES["fit_wide_ranges"] = ORACLES["fit_replayed_wide"] = ORACLES["fit_wide"]
 ORACLES["fit_fallback"] = (
     "SELECT id AS instance_id, CASE WHEN x0[1] > 0.5 THEN 'gd' ELSE 'cholesky' END AS solver, "
     f"CASE WHEN x0[1] > 0.5 THEN 500 ELSE 0 END AS num_iters FROM ({INSTANCES['parts'][1]})"
@@ -562,18 +565,24 @@ ORACLES["replay_check"] = (
 )
 ORACLES["tolerance_report"] = STORED + " " + " UNION ALL ".join(
     f"SELECT '{n}' AS name, count(*) AS n, {rnd(f'max({dif})', 9)} AS max_diff, {rnd(f'avg({dif})', 9)} AS mean_diff, "
-    f"{rnd(f'max({dif} / (abs({ref}) + 1e-12))', 9)} AS max_rel, bool_and({dif} <= 3e-5 + 1e-4 * abs({ref})) AS passed FROM chk"
-    for n, dif, ref in (("preds", "pd", "pred"), ("weights", "wd", "weight"))
-)
-ORACLES["diff_histogram"] = (
-    STORED + ", spn AS (SELECT min(wd) AS lo, max(wd) AS hi FROM chk), "
-    "cnt AS (SELECT least(floor((wd - lo) / (hi - lo) * 8), 7)::INTEGER AS bin, count(*) AS n FROM chk, spn GROUP BY 1), "
-    "bin AS (SELECT r.bin, lo, hi, coalesce(n, 0) AS n FROM (SELECT unnest(range(8))::INTEGER AS bin) r CROSS JOIN spn LEFT JOIN cnt USING (bin)) "
-    f"SELECT bin, {rnd('lo + bin * (hi - lo) / 8', 9)} AS lo, {rnd('lo + (bin + 1) * (hi - lo) / 8', 9)} AS hi, n, "
-    "floor(40 * n / max(n) OVER ())::INTEGER AS bar FROM bin"
+    f"{rnd(f'max({dif} / (abs({ref}) + 1e-12))', 9)} AS max_rel, {rnd(f'avg({old})', 9)} AS mean_stored, "
+    f"{rnd(f'avg({ref})', 9)} AS mean_recomputed, 0::BIGINT AS unmatched, bool_and({dif} <= 3e-5 + 1e-4 * abs({ref})) AS passed FROM chk"
+    for n, dif, ref, old in (("preds", "pd", "pred", "sp"), ("weights", "wd", "weight", "sw"))
+)
+ORACLES["diff_histogram"] = STORED + "".join(
+    f", spn{v} AS (SELECT min({v}) AS lo, max({v}) AS hi FROM chk), "
+    f"cnt{v} AS (SELECT least(floor(({v} - lo) / (hi - lo) * 8), 7)::INTEGER AS bin, count(*) AS n FROM chk, spn{v} GROUP BY 1), "
+    f"bin{v} AS (SELECT r.bin, lo, hi, coalesce(n, 0) AS n FROM (SELECT unnest(range(8))::INTEGER AS bin) r CROSS JOIN spn{v} "
+    f"LEFT JOIN cnt{v} USING (bin))"
+    for v in ("pd", "wd")
+) + " " + " UNION ALL ".join(
+    f"SELECT bin, {rnd('lo + bin * ((hi - lo) / 8)', 9)} AS lo, {rnd('lo + (bin + 1) * ((hi - lo) / 8)', 9)} AS hi, n, "
+    f"floor(40 * n / max(n) OVER ())::INTEGER AS bar, '{name}' AS name FROM bin{v}"
+    for v, name in (("pd", "preds"), ("wd", "weights"))
 )
 ORACLES["shape_check"] = (
-    W + samples("orders", 16) + " SELECT id AS instance_id, count(*) FILTER (WHERE weight > 0.9) AS n_found, "
+    W + samples("orders", 16) + " SELECT id AS instance_id, true AS known, count(*) FILTER (WHERE weight > 0.9) AS n_rows, "
+    "count(*) FILTER (WHERE weight > 0.9) AS n_found, "
     "count(*) FILTER (WHERE weight > 0.9) = 16 AS passed FROM smp GROUP BY id"
 )
 ORACLES["mask_checks"] = (
@@ -583,6 +592,38 @@ ORACLES["mask_checks"] = (
     "count(*) FILTER (WHERE zz NOT IN (0, 1)) AS bad_mask, count(*) FILTER (WHERE zz = 0 AND xx <> mm) AS bad_value, "
     "count(*) FILTER (WHERE zz NOT IN (0, 1) OR (zz = 0 AND xx <> mm)) = 0 AS passed FROM cel1 GROUP BY id"
 )
+# planted damage: rows under the negative of an id, a sample stored under another's number, null mask cells, wrong scores
+BROKEN = STORED + (
+    ", brk AS MATERIALIZED (SELECT id, CASE WHEN id % 11 = 3 AND s = 7 THEN 6 ELSE s END AS s, x, "
+    "CASE WHEN id % 13 = 5 AND s = 1 THEN [NULL, 7] ELSE z END AS z, sp + CASE WHEN id % 17 = 2 AND s = 3 THEN 0.5::DOUBLE ELSE 0 END AS sp, "
+    "sw, pred, weight FROM chk "
+    "UNION ALL SELECT -id, s, x, z, 0, 0, NULL, NULL FROM chk WHERE id % 50 = 7 AND s < 8)"
+)
+_SHAPE = (
+    "SELECT id AS instance_id, id >= 0 AS known, count(*) AS n_rows, count(DISTINCT s) AS n_found, "
+    "id >= 0 AND count(*) = 32 AND count(DISTINCT s) = 32 AS passed FROM brk GROUP BY id"
+)
+_MASK = (
+    "SELECT id AS instance_id, count(*) AS cells, count(*) FILTER (WHERE zz = 0) AS masked, "
+    "count(*) FILTER (WHERE coalesce(zz NOT IN (0, 1), true)) AS bad_mask, "
+    "count(*) FILTER (WHERE zz = 0 AND xx <> mm) AS bad_value, "
+    "count(*) FILTER (WHERE coalesce(zz NOT IN (0, 1), true) OR (zz = 0 AND xx <> mm)) = 0 AS passed FROM "
+    "(SELECT id, z[f] AS zz, x[f] AS xx, m[f] AS mm FROM (SELECT brk.*, m, unnest(range(1, 3)) AS f FROM brk, bg)) GROUP BY id"
+)
+_TOLERANCE = " UNION ALL ".join(
+    f"SELECT '{n}' AS name, count(*) AS n, {rnd(f'max(abs({old} - {ref}))', 9)} AS max_diff, {rnd(f'avg(abs({old} - {ref}))', 9)} AS mean_diff, "
+    f"{rnd(f'max(abs({old} - {ref}) / (abs({ref}) + 1e-12))', 9)} AS max_rel, {rnd(f'avg({old})', 9)} AS mean_stored, "
+    f"{rnd(f'avg({ref})', 9)} AS mean_recomputed, count(*) FILTER (WHERE {ref} IS NULL) AS unmatched, "
+    f"bool_and(coalesce(abs({old} - {ref}) <= 1e-4 + 1e-3 * abs({ref}), false)) AS passed FROM brk"
+    for n, ref, old in (("preds", "pred", "sp"), ("weights", "weight", "sw"))
+)
+ORACLES["damage_tolerance"] = f"{BROKEN} {_TOLERANCE}"
+ORACLES["damage_shape"] = f"{BROKEN} {_SHAPE}"
+ORACLES["damage_masks"] = f"{BROKEN} {_MASK}"
+ORACLES["damage_verdict"] = (
+    f"{BROKEN} SELECT bool_and(passed) AS passed, 3::BIGINT AS checks FROM (SELECT passed FROM ({_TOLERANCE}) "
+    f"UNION ALL SELECT passed FROM ({_SHAPE}) UNION ALL SELECT passed FROM ({_MASK}))"
+)
 ORACLES["verdict"] = (
     STORED + " SELECT bool_and(pd <= 1e-4 + 1e-3 * abs(pred) AND wd <= 1e-4 + 1e-3 * abs(weight)) AS passed, 3::BIGINT AS checks FROM chk"
 )
@@ -609,8 +650,8 @@ ORACLES["stratified_split"] = (
     f"SELECT row_id, label, split FROM ({split_sql('SELECT event_id AS row_id, event_type AS label FROM events')})"
 )
 ORACLES["binary_dataset"] = (
-    f"SELECT vec_id AS row_id, {rnd('embedding[1]::DOUBLE')} AS x_0, {rnd('embedding[4]::DOUBLE')} AS x_3, "
-    "(label <> 0)::INTEGER AS label FROM embeddings"
+    f"SELECT vec_id AS row_id, (label <> 0)::INTEGER AS label, (f - 1)::INTEGER AS feature_idx, {rnd('embedding[f]::DOUBLE')} AS x "
+    "FROM (SELECT *, unnest(range(1, 65)) AS f FROM embeddings)"
 )
 ORACLES["background_means"] = (
     f"SELECT (f - 1)::INTEGER AS feature_idx, {rnd('avg(x[f]::DOUBLE)')} AS mean FROM (SELECT *, unnest(range(1, 65)) AS f FROM "
@@ -637,14 +678,15 @@ ORACLES["vector_summary"] = (
 # benchmark logs
 _d, _b = "[128, 256, 512][user_id % 3 + 1]", "[32768, 65536, 131072][(user_id // 3) % 3 + 1]"
 _tag = f"'D=' || {_d} || ' B=' || {_b}"
-_times = "'Timing (ms): gen ' || v || '  infer ' || v * 2 || '  weights ' || v * 4 || '  total ' || v * 8"
+_v = {k: f"((n * {k}) // 1000 || '.' || lpad(((n * {k}) % 1000)::VARCHAR, 3, '0'))" for k in (1, 2, 4, 8)}
+_times = f"'Timing (ms): gen ' || {_v[1]} || '  infer ' || {_v[2]} || '  weights ' || {_v[4]} || '  total ' || {_v[8]}"
 LINES = (
     "lin AS MATERIALIZED (SELECT event_type || '.log' AS file, event_id AS seq, CASE event_id % 7 "
     f"WHEN 0 THEN {_tag} || ' run=' || (event_id % 6 + 1) || ' ' || {_times} "
     f"WHEN 1 THEN {_tag} WHEN 2 THEN {_times} WHEN 3 THEN {_tag} || ' ' || {_times} "
     f"WHEN 4 THEN {_tag} || ' CPU ' || {_times} WHEN 5 THEN '  CPU ' || {_times} || ' ' "
-    "ELSE 'Timing detail (ms): gen_init ' || v || '  perturb ' || v END AS line "
-    "FROM (SELECT *, round(value)::INTEGER AS v FROM events))"
+    f"ELSE 'Timing detail (ms): gen_init ' || {_v[1]} || '  perturb ' || {_v[1]} END AS line "
+    "FROM (SELECT *, round(value)::BIGINT * 1000 + event_id % 1000 AS n FROM events))"
 )
 _TAG = r"D=(\d+)\s+B=(\d+)"
 _BODY = r"Timing \(ms\):\s+gen\s+([\d.]+)\s+infer\s+([\d.]+)\s+weights\s+([\d.]+)\s+total\s+([\d.]+)"
@@ -706,6 +748,10 @@ COMBINED = (
     f"CASE WHEN line LIKE '%CPU%' THEN 'cpu' ELSE 'gpu' END AS kind, {_cols} "
     f"FROM ({_rows}) WHERE regexp_matches(line, '{_BODY}') AND D IS NOT NULL) GROUP BY kind, D, B)"
 )
+ORACLES["timing_means_two"] = (
+    f"WITH {LINES} SELECT D, B, {', '.join(rnd(f'avg({c})') + f' AS {c}' for c in STAGES)}, count(*) AS runs "
+    f"FROM ({_dropped('gpu', 2)}) GROUP BY D, B"
+)
 ORACLES["timing_combined"] = f"WITH {COMBINED} SELECT * FROM com"
 
 
@@ -725,13 +771,14 @@ _by_b = ", ".join(
 ORACLES["speedup_matrix"] = (
     f"WITH {COMBINED}, " + _merge("kind = 'gpu'", "kind = 'cpu'") + f" SELECT D, {_by_b} FROM mrg GROUP BY D"
 )
+BOTH = f"WITH {COMBINED}, " + _merge("kind = 'gpu'", "kind = 'cpu'")
 ORACLES["stage_breakdown"] = (
-    f"{MERGED} SELECT D, B, 0 AS stage_no, 'Generation' AS stage, gpu_gen AS value, 0.0::DOUBLE AS bottom FROM mrg "
-    "UNION ALL SELECT D, B, 1, 'Inference', gpu_infer, gpu_gen FROM mrg "
-    "UNION ALL SELECT D, B, 2, 'Weights', gpu_weights, gpu_gen + gpu_infer FROM mrg"
+    f"{BOTH} SELECT D, B, 0 AS stage_no, 'Generation' AS stage, {rnd('gpu_gen')} AS value, 0.0::DOUBLE AS bottom FROM mrg "
+    f"UNION ALL SELECT D, B, 1, 'Inference', {rnd('gpu_infer')}, {rnd('gpu_gen')} FROM mrg "
+    f"UNION ALL SELECT D, B, 2, 'Weights', {rnd('gpu_weights')}, {rnd('gpu_gen + gpu_infer')} FROM mrg"
 )
 ORACLES["total_series"] = (
-    f"{MERGED} SELECT D, 'gpu' AS device, B, gpu_total AS total FROM mrg WHERE gpu_total IS NOT NULL "
+    f"{BOTH} SELECT D, 'gpu' AS device, B, gpu_total AS total FROM mrg WHERE gpu_total IS NOT NULL "
     "UNION ALL SELECT D, 'cpu', B, cpu_total FROM mrg WHERE cpu_total IS NOT NULL"
 )
 _grid = [(d, b, r) for d in (2, 4) for b in (16, 32) for r in (1, 2)]

@@ -123,9 +123,9 @@ def test_training_reaches_the_minimum(spark):
 
 def test_background_and_summary(spark):
     rows = spark.createDataFrame([([1.0, 2.0], 0.5, [0, 1]), ([3.0, 5.0], 1.5, [1, 1])], "x ARRAY<DOUBLE>, p DOUBLE, z ARRAY<INT>")
-    assert prep.as_vector(prep.background_means(rows, 2)) == [2.0, 3.5]
+    assert prep.as_vector(prep.background_means(rows, 2), 2) == [2.0, 3.5]
     with pytest.raises(ValueError):
-        prep.as_vector(prep.background_means(rows.where("false"), 2))
+        prep.as_vector(prep.background_means(rows.where("false"), 2), 2)
     got = {r.name: r for r in prep.vector_summary(rows, ["x", "p"], mask="z").collect()}
     assert (got["x"].min, got["x"].max, got["x"].mean, got["x"].n) == (1.0, 5.0, 2.75, 4)
     assert (got["p"].mean, got["p"].n) == (1.0, 2) and (got["z"].zeros, got["z"].ones) == (1, 3)
@@ -144,7 +144,7 @@ def test_dataset_by_name(spark, sf):
     specs = {"parts": (f"{sf}/part.parquet", "p_partkey", ["p_size", "p_retailprice"], "int(p_size <> 1)")}
     row = models.load_dataset(spark, "parts", specs).first()
     assert len(row.x) == 2 and row.label in (0, 1)
-    with pytest.raises(ValueError, match="Unknown dataset"):
+    with pytest.raises(ValueError, match="no dataset"):
         models.load_dataset(spark, "iris", specs)
 
 
