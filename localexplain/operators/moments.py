@@ -12,6 +12,7 @@ small, so nothing is lost by making a single pass.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from localexplain.sources.models import Model
 UNROLLED_GRAM = 8
 FLOATS_PER_BATCH = 1 << 22
 MERGE_SALTS = 64
+REPLAY_SALTS = 16
 HEAD = 4
 
 
@@ -121,39 +123,63 @@ def sample_moments(samples: DataFrame, d: int) -> DataFrame:
         )
         return _grouped(df, d, off, base)
 
-    def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, bb, w = numbers(batch["instance_id"]), numbers(batch["bb_x0"]), numbers(batch["weight"])
-            if not len(ids):
-                continue
-            x, x0, y = matrix(batch["x"]), matrix(batch["x0"]), numbers(batch["pred"]) - bb
-            order = np.argsort(ids, kind="stable")
-            runs = np.split(order, np.flatnonzero(np.diff(ids[order])) + 1)
-            for at in range(0, len(runs), rows_per_batch(d)):
-                some = runs[at : at + rows_per_batch(d)]
-                s = np.stack([block_sums((x[r] - x0[r])[None], w[None, r], y[None, r])[0] for r in some])
-                heads = np.array([r[0] for r in some])
-                yield _batch(ids[heads], x0[heads], bb[heads], s)
-
-    parts = samples.select("instance_id", "x0", "bb_x0", "x", "pred", "weight").mapInArrow(
-        partial_sums, PARTIAL
+    def sums_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        ids, bb, w = numbers(batch["instance_id"]), numbers(batch["bb_x0"]), numbers(batch["weight"])
+        x, x0, y = matrix(batch["x"]), matrix(batch["x0"]), numbers(batch["pred"]) - bb
+        for r in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids)) + 1):
+            yield ids[r[0]], x0[r[0]], bb[r[0]], block_sums((x[r] - x0[r])[None], w[None, r], y[None, r])[0]
+
+    # Samples are narrower than sums: they are dealt and ordered first, so a task writes one row per instance it holds.
+    dealt = samples.select(
+        "instance_id", "x0", "bb_x0", "x", "pred", "weight", F.expr(f"int(pmod(sample_id, {REPLAY_SALTS}))").alias("salt")
     )
-    return merge_moments(parts.withColumn("salt", F.expr(f"spark_partition_id() % {MERGE_SALTS}")))
+    dealt = dealt.repartition("instance_id", "salt").sortWithinPartitions("instance_id")
+    parts = dealt.drop("salt").mapInArrow(lambda batches: _runs(batches, sums_of, d), PARTIAL)
+    return _added(parts, ["instance_id"])
 
 
 PARTIAL = "instance_id BIGINT, x0 ARRAY<DOUBLE>, bb_x0 DOUBLE, s ARRAY<DOUBLE>"
 
 
+def _runs(batches: Iterator[pa.RecordBatch], parts_of, d: int) -> Iterator[pa.RecordBatch]:
+    """Adds up (id, x0, bb_x0, s) parts while the id stays the same; one sum is held at a time, however many parts it has."""
+    done: list[tuple] = []
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        for key, x0, bb, s in parts_of(batch):
+            if held is not None and held[0] == key:
+                held = (key, held[1], held[2], held[3] + s)
+                continue
+            if held is not None:
+                done.append(held)
+                if len(done) >= rows_per_batch(d):
+                    yield _batch(*map(np.array, zip(*done)))
+                    done = []
+            held = (key, x0, bb, s)
+    if held is not None:
+        yield _batch(*map(np.array, zip(*done, held)))
+
+
+def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        # numpy views of the vectors, one row at a time
+        return zip(numbers(batch["instance_id"]), matrix(batch["x0"]), numbers(batch["bb_x0"]), matrix(batch["s"]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first in batches:
+            if len(first):
+                yield from _runs(chain([first], batches), rows_of, len(first["x0"][0]))
+
+    ordered = parts.repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.select("instance_id", "x0", "bb_x0", "s").mapInArrow(add, PARTIAL)
+
+
 def merge_moments(parts: DataFrame) -> DataFrame:
-    """Add up partial vectors in two steps, so that no group holds all parts of a hot instance."""
-    add_up = (
-        "aggregate(slice(p, 2, size(p)), p[0], (a, v) -> zip_with(a, v, (i, j) -> i + j)) AS s"
-    )
-    for keys in (["instance_id", "salt"], ["instance_id"]):
-        parts = parts.groupBy(*keys).agg(
-            F.first("x0").alias("x0"), F.first("bb_x0").alias("bb_x0"), F.collect_list("s").alias("p")
-        ).selectExpr(*keys, "x0", "bb_x0", add_up)
-    return parts.select("instance_id", "x0", "bb_x0", "s")
+    """Add up partial vectors in two steps, by range and then by instance, so no task has all parts of a hot instance."""
+    some = _added(parts, ["instance_id", "salt"])
+    return _added(some, ["instance_id"])
 
 
 # --- Arrow blocks for wide instances ----------------------------------------------------------
