@@ -51,6 +51,7 @@ def cases(spark):
 
     # one point of the reference's own sweep: a single synthetic instance, D = 512, B = 131072
     grid_model, grid_bg, grid = models.synthetic_params(spark, 512)
+    sweep = {d: models.synthetic_params(spark, d) for d in (128, 256)}
 
     def registered(name):
         return lambda: q.QUERIES[name](spark, SF_DIR)
@@ -70,6 +71,15 @@ def cases(spark):
             131072 * 512, 1,
         ),
         "grid_point_explain": (lambda: ex.explain(grid, grid_model, grid_bg, 131072), 131072 * 512, 1),
+        **{
+            f"grid_explain_{d}": (lambda p=p: ex.explain(p[2], p[0], p[1], 131072), 131072 * d, 1) for d, p in sweep.items()
+        },
+        # the stages one after the other: samples, then with scores, then with weights
+        "stage_gen": (lambda: q.perturb.perturb(orders, order_bg, 64), 64 * 2, n_orders),
+        "stage_infer": (
+            lambda: q.score.score(q.perturb.perturb(orders, order_bg, 64), order_model), 64 * 2, n_orders,
+        ),
+        "stage_weights": (lambda: ex.scored_samples(orders, order_model, order_bg, 64), 64 * 2, n_orders),
         "three_solvers": (
             lambda: ex.explain(orders, order_model, order_bg, 32, solver=SOLVERS), 32 * 2, n_orders,
         ),

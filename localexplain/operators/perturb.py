@@ -74,8 +74,13 @@ def spread(
         f"int(range_id * {chunk}) AS first_sample",
         f"int(least((range_id + 1) * {chunk}, {n_samples}) - 1) AS last_sample",
     )
-    ranges = _shuffle(ranges, partitions, "instance_id", "first_sample")
-    return ranges if partitions == 0 else unique_ids(ranges, "instance_id", "first_sample")
+    if partitions == 0:
+        return ranges
+    # few ranges hashed onto as many tasks would leave some idle, so the ranges of an instance go round
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = ranges.withColumn("_slot", F.expr(f"int(pmod(hash(instance_id) + bigint(first_sample / {chunk}), {n}))"))
+    dealt = slots.repartitionById(n, F.col("_slot"))
+    return unique_ids(dealt, "_slot", "instance_id", "first_sample").drop("_slot")
 
 
 def perturb(

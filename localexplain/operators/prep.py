@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -14,6 +17,7 @@ from localexplain.operators.score import logit
 from localexplain.sources.models import Model, by_feature
 
 BUCKET_BITS = 16
+WIDE = 32
 
 
 def _shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -93,7 +97,10 @@ def select_instances(df: DataFrame, positions: Sequence[int], key: str = "row_id
     )
 
 
-def train_black_box(train: DataFrame, c: float = 1.0, max_iter: int = 10000, model_id: str = "logistic") -> Model:
+def train_black_box(
+    train: DataFrame, c: float = 1.0, max_iter: int = 10000, model_id: str = "logistic",
+    dataset: str | None = None,
+) -> Model:
     """L2 logistic regression on (x ARRAY<DOUBLE>, label).
 
     ``regParam = 1 / (c n)`` turns "c * sum of losses + |w|^2 / 2" into Spark's mean-loss form.
@@ -106,7 +113,7 @@ def train_black_box(train: DataFrame, c: float = 1.0, max_iter: int = 10000, mod
         regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, fitIntercept=True,
         maxIter=max_iter, tol=1e-8, family="binomial",
     ).fit(rows)
-    return Model(tuple(float(v) for v in fitted.coefficients), float(fitted.intercept), model_id)
+    return Model(tuple(float(v) for v in fitted.coefficients), float(fitted.intercept), model_id, dataset)
 
 
 def accuracy(test: DataFrame, model: Model) -> DataFrame:
@@ -115,12 +122,42 @@ def accuracy(test: DataFrame, model: Model) -> DataFrame:
     return test.agg(F.avg(hit.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
+def with_accuracy(test: DataFrame, model: Model) -> Model:
+    """The model with its share of hits on ``test``, to be saved with it."""
+    return replace(model, accuracy=accuracy(test, model).first().accuracy)
+
+
 def background_means(train: DataFrame, d: int, vec: str = "x") -> DataFrame:
-    """(feature_idx, mean) of the training vectors: one aggregate row of D averages, then D rows."""
+    """(feature_idx, mean) of the training vectors; null cells and cells that a short vector lacks are left out.
+
+    Up to WIDE features one aggregate row of D averages; beyond, where that many columns no longer fit generated code,
+    each task adds up its Arrow batches and sends D rows.
+    """
+    if d > WIDE:
+        return _wide_means(train, d, vec)
     means = train.agg(*[F.avg(F.get(vec, F.lit(i))).alias(f"m{i}") for i in range(d)])
     return means.select(F.posexplode(F.array(*[f"m{i}" for i in range(d)])).alias("feature_idx", "mean"))
 
 
+def _wide_means(train: DataFrame, d: int, vec: str) -> DataFrame:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(d), np.zeros(d, np.int64)
+        for batch in batches:
+            cells = batch.column(0).drop_null()
+            flat, lengths = cells.flatten(), cells.value_lengths().to_numpy()
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            usable = flat.is_valid().to_numpy(zero_copy_only=False) & (place < d)
+            values = flat.to_numpy(zero_copy_only=False)
+            total += np.bincount(place[usable], values[usable], d)
+            seen += np.bincount(place[usable], minlength=d)
+        yield pa.RecordBatch.from_pydict({"feature_idx": pa.array(np.arange(d, dtype=np.int32)), "total": total, "seen": seen})
+
+    parts = train.select(F.col(vec).cast("array<double>")).mapInArrow(sums, "feature_idx INT, total DOUBLE, seen BIGINT")
+    mean = F.try_divide(F.sum("total"), F.sum("seen")).alias("mean")
+    none = train.sparkSession.range(d).selectExpr("int(id) AS feature_idx", "0D AS total", "0L AS seen")
+    return parts.unionAll(none).groupBy("feature_idx").agg(mean)
+
+
 def as_vector(means: DataFrame, d: int, digits: int | None = None) -> list[float]:
     """The d background means on the driver; ``digits`` makes them independent of summation order."""
     values = by_feature(means, "mean", d, "the table of background means")
