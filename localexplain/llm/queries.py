@@ -113,6 +113,24 @@ LLM_ORACLES = {
     "op6_mixing": "WITH "
     + MIXING_SQL.replace("{docs}", "documents")
     + " SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed",
+    "op5_suffix_dedup": """
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT row, doc_id, p, substr(h, 2 * p + 1, 100) AS s
+  FROM (SELECT *, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS p FROM docs WHERE doc_id IS NOT NULL)),
+least AS (SELECT s, min(doc_id) AS d FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT row, p, lag(p) OVER (PARTITION BY row ORDER BY p) AS before FROM windows JOIN least USING (s) WHERE d < doc_id),
+numbered AS (
+  SELECT row, p, sum((before IS NULL OR p > before + 50)::INT) OVER (PARTITION BY row ORDER BY p) AS span FROM gone),
+spans AS (SELECT row, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY row, span),
+gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS kept_from FROM spans),
+cut AS (
+  SELECT row, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+         string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS kept
+  FROM gaps JOIN docs USING (row) GROUP BY row)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (row)""",
     "op9_chat": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
