@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are 64-bit hashes of single words, pairs of neighbours and pairs around one word; a feature counts once per
+Features are 32-bit hashes of single words, pairs of neighbours and pairs around one word; a feature counts once per
 text. Training runs on a bounded sample of labelled rows, in shards whose states are averaged after every pass. L1 leaves
 few weights, which are broadcast with their hashes, so features that carry no weight cost one table look-up.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from localexplain.llm.common import remainder, stored
+from localexplain.llm.common import forget, remainder, stored
 
 TRAIN_ROWS = 24_000  # bound of the labelled sample; the rows with the smallest hashes of doc_id
 REMEMBERED_WORDS = 1 << 19
@@ -30,7 +30,8 @@ class Settings:
     l2: float = 0.0
     passes: int = 8
     shards: int = 4
-    min_texts: int = 4
+    min_texts: int = 4  # a feature of the dictionary is in so many texts of the sample,
+    min_share: float = 0.0005  # and in this share of them
 
 
 class WordHashes(dict):
@@ -46,13 +47,13 @@ class WordHashes(dict):
 
 
 def features(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """The hashes of all features of a text, repeats included."""
+    """The 32-bit hashes of all features of a text, repeats included."""
     words = text.lower().split()
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
         skip = (h[:-2] * np.uint64(0x165667B19E3779F9)) ^ (h[2:] * np.uint64(0xD6E8FEB86659FD93))
-    return np.concatenate((h, pair, skip))
+    return (np.concatenate((h, pair, skip)) >> np.uint64(32)).astype(np.uint32)
 
 
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
@@ -95,82 +96,105 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, s: Setting
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [np.unique(features(t.as_py(), hashes)).view(np.int64) for t in batch.column("text")]
+            found = [np.unique(features(t.as_py(), hashes)).view(np.int32) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.string()), batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))],
+                [batch.column("doc_id").cast(pa.string()), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))],
                 names=["doc_id", "toxic", "found"],
             )
 
     sample = stored(
-        training_rows(docs, labels, rows).mapInArrow(extract, "doc_id string, toxic int, found array<bigint>"), "toxic-sample"
+        training_rows(docs, labels, rows).mapInArrow(extract, "doc_id string, toxic int, found array<int>"), "toxic-sample"
     )
-    common = sample.select(F.explode("found").alias("f")).groupBy("f").count().filter(F.col("count") >= s.min_texts)
-    # The dictionary is bounded by the sample: a feature needs min_texts of its rows.
-    dictionary = np.sort(np.array([r.f for r in common.select("f").collect()], np.int64).view(np.uint64))
+    least = max(s.min_texts, int(s.min_share * sample.count()))
+    common = sample.select(F.explode("found").alias("f")).groupBy("f").count().filter(F.col("count") >= least)
+    # The dictionary is bounded by the sample: its features' texts make up at most the sample's features / least.
+    dictionary = np.sort(common.select("f").toArrow().column("f").to_numpy().view(np.uint32))
     shared = sample.sparkSession.sparkContext.broadcast(dictionary.tobytes())
     z, n = np.zeros(len(dictionary) + 1), np.zeros(len(dictionary) + 1)
-    dealt = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards)).cast("int"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, np.uint32)
+        for batch in batches:
+            places = []
+            for found in batch.column("found"):
+                f = found.values.to_numpy().view(np.uint32)
+                at = np.minimum(np.searchsorted(known, f), max(len(known) - 1, 0))
+                places.append(at[known[at] == f].astype(np.int32) if len(known) else at[:0].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "toxic", "at"])
+
+    # Only the places of dictionary features travel on, dealt to shards once for all passes.
+    dealt = stored(
+        sample.mapInArrow(place, "doc_id string, toxic int, at array<int>").withColumn(
+            "shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards)).cast("int")
+        ),
+        "toxic-places",
+    )
+    forget(sample)
     for _ in range(s.passes):
-        state = sample.sparkSession.sparkContext.broadcast((z.tobytes(), n.tobytes()))
+        state = sample.sparkSession.sparkContext.broadcast((z.astype(np.float32).tobytes(), n.astype(np.float32).tobytes()))
 
         def learn(table: pa.Table) -> pa.Table:
-            known = np.frombuffer(shared.value, np.uint64)
-            own_z, own_n = (np.frombuffer(x).copy() for x in state.value)
+            own_z, own_n = (np.frombuffer(x, np.float32).astype(float) for x in state.value)
             order = np.argsort(table.column("doc_id").to_pandas().to_numpy(str), kind="stable")
-            texts = []
-            for found in table.column("found"):
-                f = found.values.to_numpy().view(np.uint64)
-                at = np.searchsorted(known, f)
-                at[at == len(known)] = 0
-                texts.append(at[known[at] == f] if len(known) else at[:0])
+            texts = [at.values.to_numpy() for at in table.column("at")]
             labels_of = table.column("toxic").to_numpy()
             ftrl_pass([texts[i] for i in order], labels_of[order].astype(float), own_z, own_n, s)
-            return pa.table({"z": [own_z.tobytes()], "n": [own_n.tobytes()]})
+            return pa.table({"z": [own_z.astype(np.float32).tobytes()], "n": [own_n.astype(np.float32).tobytes()]})
 
         got = dealt.groupBy("shard").applyInArrow(learn, "z binary, n binary").collect()
         if got:
-            z = np.mean([np.frombuffer(r.z) for r in got], axis=0)
-            n = np.mean([np.frombuffer(r.n) for r in got], axis=0)
-        state.unpersist()
+            z = np.mean([np.frombuffer(r.z, np.float32) for r in got], axis=0, dtype=float)
+            n = np.mean([np.frombuffer(r.n, np.float32) for r in got], axis=0, dtype=float)
+        state.destroy()
     w = weights_of(z[:-1], n[:-1], s)
     bias = float(-z[-1] / ((s.beta + np.sqrt(n[-1])) / s.alpha + s.l2))
     return dictionary[w != 0], w[w != 0], bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; with keep, all columns of docs and toxic_score instead.
-
-    A null text is the empty text, whose score is that of the bias alone. A text is used whole. Null doc_ids have
-    held_out by the empty string. One row per row of docs.
-    """
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carried: list[str]) -> DataFrame:
+    """Columns c0, c1, .. (the carried ones), text and toxic_score of every row of docs."""
     keys, weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((keys.tobytes(), weights.tobytes(), bias))
+    names = [f"c{i}" for i in range(len(carried))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = np.frombuffer(shared.value[0], np.uint64), np.frombuffer(shared.value[1])
-        mask = np.uint64((1 << SIEVE_BITS) - 1)
+        known, w = np.frombuffer(shared.value[0], np.uint32), np.frombuffer(shared.value[1])
+        mask = np.uint32((1 << SIEVE_BITS) - 1)
         sieve = np.zeros(1 << SIEVE_BITS, bool)
         sieve[(known & mask).astype(np.int64)] = True
         hashes = WordHashes()
         for batch in batches:
             scores = np.empty(batch.num_rows)
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                f = features(text.as_py() or b"", hashes)
+                raw = text.as_buffer()
+                f = features(raw.to_pybytes() if raw else b"", hashes)
                 f = np.unique(f[sieve[(f & mask).astype(np.int64)]])
                 at = np.minimum(np.searchsorted(known, f), max(len(known) - 1, 0))
-                scores[i] = sigmoid(shared.value[2] + (w[at[known[at] == f]].sum() if len(known) and len(f) else 0.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*out, "toxic_score"])
-
-    own = docs.columns if keep else ["doc_id"]
-    out = [f"c{i}" for i in range(len(own))]
-    rows = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(own, out)), F.col("text").cast("binary").alias("bytes"))
-    kinds = [f"{o} {docs.schema[c].dataType.simpleString()}" for c, o in zip(own, out)]
-    scored = rows.mapInArrow(run, ", ".join([*kinds, "toxic_score double"]))
-    if keep:
-        return scored.select(*(F.col(o).alias(c) for c, o in zip(own, out)), "toxic_score")
-    return scored.select(
+                scores[i] = sigmoid(shared.value[2] + (w[at[known[at] == f]].sum() if len(f) else 0.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "text", "toxic_score"])
+
+    kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carried, names)]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)), "text")
+    return rows.mapInArrow(run, ", ".join([*kinds, "text string", "toxic_score double"]))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row.
+
+    A null text is the empty text, whose score is that of the bias alone. A text is used whole. Null doc_ids have
+    held_out by the empty string. One row per row of docs, whatever else it holds; an empty table gives no rows.
+    """
+    return _scored(docs, model, ["doc_id"]).select(
         F.col("c0").alias("doc_id"),
         (remainder(F.col("c0"), 5) == 0).alias("held_out"),
         F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is under the limit, with all their columns."""
+    carried = [c for c in docs.columns if c != "text"]
+    place = {c: f"c{i}" for i, c in enumerate(carried)}
+    scored = _scored(docs, model, carried).filter(F.col("toxic_score") < limit)
+    return scored.select(*(F.col(place.get(c, "text")).alias(c) for c in docs.columns))
