@@ -29,15 +29,16 @@ from localexplain.llm.common import remainder, stored
 END = b""  # the end of a text; no word is empty
 FLUSH_WORDS = 1 << 18
 TOKENS_PER_STEP = 1 << 14
+TOKENS_PER_SCORE = 1 << 15
 BLOCK_ROWS = 512
 
 
 @dataclass(frozen=True)
 class Settings:
-    classes: int = 48  # the last one holds all words outside the head of classes * members
-    members: int = 96
+    classes: int = 32  # the last one holds all words outside the head of classes * members
+    members: int = 64
     pair_rows: int = 1 << 14
-    member_rows: int = 1 << 14
+    member_rows: int = 1 << 13
     head_words: int = 1 << 17  # words with a broadcast count
     rounds: int = 2
     tokens_per_task: int = 2_000_000  # at least so many on average: each task sends its changed weights once a round
@@ -111,24 +112,38 @@ class Net:
         two[first] = start
         return one, two
 
-    def rows(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Rows of the class features, of the member features, and which tokens have a member softmax."""
-        s = self.s
-        pair = ((one.astype(np.uint64) * np.uint64(0x9E3779B1) + two.astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(7)) % np.uint64(s.pair_rows)
+    def contexts(self, ids: np.ndarray, first: np.ndarray) -> tuple[list, list, np.ndarray]:
+        """What the softmaxes share. For classes and for members: rows of each feature by different history (the skip
+        feature's in order), the history of each token, and the answer; then which tokens have a member softmax.
+
+        Many tokens have the same history, so everything but the answers is done once for each different one.
+        """
+        s, span = self.s, self.s.words + 2
+        one, two = self.history(ids, first)
         inside = np.flatnonzero(ids < s.words)
-        cls = (ids[inside] // s.members).astype(np.uint64)
+        cls = np.full(len(ids), s.classes - 1)
+        cls[inside] = ids[inside] // s.members
+
+        key, which = np.unique(two * span + one, return_inverse=True)
+        k_one, k_two = key % span, key // span
+        pair = (k_one.astype(np.uint64) * np.uint64(0x9E3779B1) + k_two.astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(7)
+        by_class = [[k_two, k_one, (pair % np.uint64(s.pair_rows)).astype(np.int64)], which, cls]
+
+        key, which = np.unique((cls[inside] * span + two[inside]) * span + one[inside], return_inverse=True)
+        k_cls = key // (span * span)
 
         def hashed(word: np.ndarray, salt: int) -> np.ndarray:
-            return (((word[inside].astype(np.uint64) * np.uint64(s.classes) + cls) * np.uint64(salt)) >> np.uint64(9)) % np.uint64(s.member_rows)
+            return (((word * s.classes + k_cls).astype(np.uint64) * np.uint64(salt) >> np.uint64(9)) % np.uint64(s.member_rows)).astype(np.int64)
 
-        zero = np.zeros(len(ids), np.int64)
-        member = [cls.astype(np.int64), hashed(one, 0x9E3779B1).astype(np.int64), hashed(two, 0xC2B2AE35).astype(np.int64)]
-        return [zero, one, two, pair.astype(np.int64)], member, inside
+        features = [k_cls, hashed(key % span, 0x9E3779B1), hashed(key // span % span, 0xC2B2AE35)]
+        return by_class, [features, which, ids[inside] % s.members], inside
 
-    def softmax(self, tables: list[int], rows: list[np.ndarray]) -> np.ndarray:
+    def softmax(self, tables: list[int], rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
         out = self.weights[tables[0]][rows[0]]
         for t, r in zip(tables[1:], rows[1:]):
             out += self.weights[t][r]
+        if bias is not None:
+            out += bias
         out -= out.max(1, keepdims=True)
         np.exp(out, out=out)
         out /= out.sum(1, keepdims=True)
@@ -136,37 +151,45 @@ class Net:
 
     def log_probs(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural logarithms: of class and member, or of the class alone for a word outside the head."""
-        one, two = self.history(ids, first)
-        c_rows, m_rows, inside = self.rows(ids, one, two)
-        p = self.softmax([0, 1, 2, 3], c_rows)
-        cls = np.where(ids < self.s.words, ids // self.s.members, self.s.classes - 1)
-        out = np.log(np.maximum(p[np.arange(len(ids)), cls], 1e-30)).astype(float)
+        (c_rows, c_of, cls), (m_rows, m_of, member), inside = self.contexts(ids, first)
+        p = self.softmax([2, 1, 3], c_rows, self.weights[0])
+        out = np.log(np.maximum(p[c_of, cls], 1e-30)).astype(float)
         if len(inside):
             q = self.softmax([4, 5, 6], m_rows)
-            out[inside] += np.log(np.maximum(q[np.arange(len(inside)), ids[inside] % self.s.members], 1e-30))
+            out[inside] += np.log(np.maximum(q[m_of, member], 1e-30))
         return out
 
     def step(self, ids: np.ndarray, first: np.ndarray) -> None:
-        one, two = self.history(ids, first)
-        c_rows, m_rows, inside = self.rows(ids, one, two)
-        p = self.softmax([0, 1, 2, 3], c_rows)
-        p[np.arange(len(ids)), np.where(ids < self.s.words, ids // self.s.members, self.s.classes - 1)] -= 1
-        self.descend([0, 1, 2, 3], c_rows, p)
+        (c_rows, c_of, cls), (m_rows, m_of, member), inside = self.contexts(ids, first)
+        p = self.gradient(self.softmax([2, 1, 3], c_rows, self.weights[0]), c_of, cls)
+        self.move(0, np.zeros(1, np.int64), p.sum(0, keepdims=True))
+        self.descend([2, 1, 3], c_rows, p)
         if len(inside):
-            q = self.softmax([4, 5, 6], m_rows)
-            q[np.arange(len(inside)), ids[inside] % self.s.members] -= 1
+            q = self.gradient(self.softmax([4, 5, 6], m_rows), m_of, member)
             self.descend([4, 5, 6], m_rows, q)
 
+    def gradient(self, p: np.ndarray, history: np.ndarray, answer: np.ndarray) -> np.ndarray:
+        """Expected minus seen answers of each different history, in p's place."""
+        p *= np.bincount(history, minlength=len(p))[:, None].astype(np.float32)
+        seen = np.bincount(history * p.shape[1] + answer, minlength=p.size)
+        p -= seen.reshape(p.shape)
+        return p
+
     def descend(self, tables: list[int], rows: list[np.ndarray], gradient: np.ndarray) -> None:
-        """Adds up the gradient by row and moves each row at its own rate."""
-        for t, r in zip(tables, rows):
-            order = np.argsort(r, kind="stable")
-            ordered = r[order]
-            starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            total = np.add.reduceat(gradient[order], starts, axis=0)
-            at = ordered[starts]
-            self.squares[t][at] += np.square(total).mean(1)
-            self.weights[t][at] -= (self.s.rate / np.sqrt(self.squares[t][at]))[:, None] * total
+        """Adds up the gradient by row; the first feature's rows are in order already."""
+        for i, (t, r) in enumerate(zip(tables, rows)):
+            if i:
+                order = np.argsort(r, kind="stable")
+                r, part = r[order], gradient[order]
+            else:
+                part = gradient
+            starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            self.move(t, r[starts], np.add.reduceat(part, starts, axis=0))
+
+    def move(self, table: int, rows: np.ndarray, total: np.ndarray) -> None:
+        """Each row at its own rate, which falls with the squares of its gradients."""
+        self.squares[table][rows] += np.square(total).mean(1)
+        self.weights[table][rows] -= (self.s.rate / np.sqrt(self.squares[table][rows]))[:, None] * total
 
 
 def numbered(texts: list[bytes | None], number: dict[bytes, int], other: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,9 +354,9 @@ def score(docs: DataFrame, model: Model, held_out_mod: int = 7, held_out_is: int
                 flags[starts] = True
                 known = np.where(stream == none, s.words, np.minimum(stream, s.words))
                 model_logs = np.empty(len(stream))
-                for lo in range(0, len(stream), TOKENS_PER_STEP):  # two tokens before give the history
+                for lo in range(0, len(stream), TOKENS_PER_SCORE):  # two tokens before give the history
                     back = max(0, lo - 2)
-                    hi = lo + TOKENS_PER_STEP
+                    hi = lo + TOKENS_PER_SCORE
                     model_logs[lo:hi] = net.log_probs(known[back:hi], flags[back:hi])[lo - back :]
                 counts_log = logs[stream]
                 score_of = model_logs / math.log(10) + np.where(known == s.words, counts_log - outside, 0.0)
