@@ -3,7 +3,7 @@
 A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller id.
 
 1. Exact copies are told apart by digest: only the copy with the smallest id needs comparing, others go whole.
-2. Every window of `length` bytes has a smallest hash of the 16-byte strings in it. Equal windows have equal smallest
+2. Every window of `length` bytes has a smallest hash of the GRAM-byte strings in it. Equal windows have equal smallest
    hashes, so windows meet in the group of that hash. Stretches of windows with one smallest hash are called runs; only
    runs whose hash occurs in two documents are cut out and sent to their group.
 3. A group's suffixes are put in order by a mergesort that compares by hash: prefix polynomial hashes and a binary search
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from localexplain.llm.common import forget, stored
 
-GRAM = 16
-BATCH_BYTES = 1 << 21  # text of groups that are sorted together
+GRAM = 20  # long enough that unrelated texts seldom share one, short enough for runs of many windows
+BATCH_BYTES = 1 << 18  # text of groups that are sorted together: its hashes stay in the processor's cache
+CUT_BYTES = 1 << 21
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 TEXT_PART = 1 << 22
 
@@ -69,6 +70,8 @@ class Suffixes:
         """starts in order of their suffixes: a bottom-up mergesort that merges all pairs of a level at once, stable."""
         order, n, width = starts.copy(), len(starts), 1
         place = np.arange(n)
+        # Most suffixes differ in their first eight bytes; only those that don't are compared by hash.
+        first_bytes = np.ndarray((len(self.buffer) - 7,), ">u8", self.buffer, strides=(1,))[starts].astype(np.uint64)
         while width < n:
             block = place // width
             left = block % 2 == 0
@@ -78,17 +81,20 @@ class Suffixes:
             while len(todo := np.flatnonzero(low < high)):
                 middle = (low[todo] + high[todo]) // 2
                 # From the left: behind those that come before it. From the right: also behind its equals.
-                mine, theirs, is_left = order[todo], order[middle], left[todo]
-                earlier = self.before(np.where(is_left, theirs, mine), np.where(is_left, mine, theirs))
-                passed = np.where(is_left, earlier, ~earlier)
+                mine, theirs = first_bytes[todo], first_bytes[middle]
+                passed = theirs < mine
+                if len(same := np.flatnonzero(theirs == mine)):
+                    is_left, a, b = left[todo[same]], order[todo[same]], order[middle[same]]
+                    earlier = self.before(np.where(is_left, b, a), np.where(is_left, a, b))
+                    passed[same] = np.where(is_left, earlier, ~earlier)
                 low[todo[passed]] = middle[passed] + 1
                 high[todo[~passed]] = middle[~passed]
             target = (block - block % 2) * width + (place - block * width) + (low - first)
             if (np.bincount(target, minlength=n) != 1).any():
                 raise Collision
-            merged = np.empty_like(order)
-            merged[target] = order
-            order, width = merged, width * 2
+            merged, keys = np.empty_like(order), np.empty_like(first_bytes)
+            merged[target], keys[target] = order, first_bytes
+            order, first_bytes, width = merged, keys, width * 2
         return order
 
 
@@ -132,9 +138,10 @@ def smallest_hashes(text: bytes, length: int) -> np.ndarray:
     n = len(text)
     if n < length:
         return np.empty(0, np.uint64)
-    eight = np.ndarray((n - 7,), "<u8", text, strides=(1,))
-    h = eight[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    h += eight[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    eight, count = np.ndarray((n - 7,), "<u8", text, strides=(1,)), n - GRAM + 1
+    h = np.zeros(count, np.uint64)
+    for at, odd in zip([*range(0, GRAM - 8, 8), GRAM - 8], BASES):
+        h += eight[at : at + count] * np.uint64(odd)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -208,7 +215,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 got = int(hit.sum())
                 ids.extend([doc.as_py()] * got)
                 tags.extend([tag.as_py()] * got)
-            if size > BATCH_BYTES:
+            if size > CUT_BYTES:
                 yield out()
                 hashes, ids, tags, places, texts, size = [], [], [], [], [], 0
         if hashes:
@@ -291,8 +298,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _tag(text: Column) -> Column:
-    """Tells the texts of one document id apart."""
-    return F.xxhash64(text)
+    """Tells the texts of one document id apart, should there be several: 32 bits, as it travels with every run."""
+    return F.shiftrightunsigned(F.xxhash64(text), 32)
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
