@@ -20,7 +20,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MAX_REMEMBERED = 1 << 18  # chunks, pairs
+MAX_REMEMBERED = 1 << 17  # chunks, pairs
 MAX_CHUNK = 64  # characters of a remembered chunk
 ROWS_PER_BATCH = 256
 

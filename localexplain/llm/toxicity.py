@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from localexplain.llm.common import forget, remainder, stored
 
 TRAIN_ROWS = 24_000  # bound of the labelled sample; the rows with the smallest hashes of doc_id
-REMEMBERED_WORDS = 1 << 19
+REMEMBERED_WORDS = 1 << 17
 SIEVE_BITS = 20
 
 
