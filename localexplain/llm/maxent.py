@@ -1,7 +1,8 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
 The most frequent words are dealt to classes by frequency; all others share one class, in which a word's probability
-comes from its count. P(word) = P(class | history) * P(word | class, history); the history's features are the word
+comes from its count. P(word) = P(class | history) * P(word | class, history); where many words are known, a class is
+factored once more, into parts and their members. Sizes grow with the different words. The history's features are the word
 before, the word before that (a skip feature) and the pair of both, hashed to rows of weights. Training reads every
 training text once: in each round tasks start from the broadcast weights, take gradient steps over their share of the
 texts, and their changes are averaged block by block.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +32,53 @@ FLUSH_WORDS = 1 << 18
 TOKENS_PER_STEP = 1 << 14
 TOKENS_PER_SCORE = 1 << 15
 BLOCK_ROWS = 512
+KNOWN_SHARE = 64  # at least every such part of the different training words is in a class of its own, up to the head
 
 
 @dataclass(frozen=True)
 class Settings:
-    classes: int = 32  # the last one holds all words outside the head of classes * members
-    members: int = 64
+    classes: int = 48  # the last one holds all words outside the head of classes * parts * members
+    members: int = 96
     pair_rows: int = 1 << 14
-    member_rows: int = 1 << 13
+    member_rows: int = 1 << 14
     head_words: int = 1 << 17  # words with a broadcast count
     rounds: int = 2
     tokens_per_task: int = 2_000_000  # at least so many on average: each task sends its changed weights once a round
     rate: float = 0.2
+    parts: int = 1  # of a class
 
     @property
     def words(self) -> int:
-        return (self.classes - 1) * self.members
+        return (self.classes - 1) * self.parts * self.members
+
+    def grown(self, distinct: int) -> Settings:
+        """For so many different training words; never smaller. Tasks read more where they send more weights."""
+        words = min(distinct // KNOWN_SHARE, self.head_words)
+        if words <= self.words:
+            return self
+        more, each = words / self.words, words / (self.classes - 1)
+        parts = math.ceil(math.sqrt(each))
+        return replace(
+            self,
+            parts=parts,
+            members=math.ceil(each / parts),
+            pair_rows=int(self.pair_rows * math.sqrt(more)),
+            member_rows=int(self.member_rows * math.sqrt(more)),
+            tokens_per_task=int(self.tokens_per_task * more),
+        )
+
+    @property
+    def inner(self) -> list[tuple[int, int, int]]:
+        """(nodes, width, words under each answer) of the softmaxes below the classes."""
+        last = (self.classes * self.parts, self.members, 1)
+        return [last] if self.parts == 1 else [(self.classes, self.parts, self.members), last]
 
     @property
     def shapes(self) -> tuple[tuple[int, int], ...]:
-        """Weights: class bias, class by word before, by skipped word, by pair; member bias, member by hashed features."""
-        c, m, w = self.classes, self.members, self.words + 2
-        return ((1, c), (w, c), (w, c), (self.pair_rows, c), (c, m), (self.member_rows, m), (self.member_rows, m))
+        """Weights: class bias, class by word before, by skipped word, by pair; of each inner softmax bias and by hashed features."""
+        c, w = self.classes, self.words + 2
+        below = [shape for nodes, m, _ in self.inner for shape in ((nodes, m), (self.member_rows, m), (self.member_rows, m))]
+        return ((1, c), (w, c), (w, c), (self.pair_rows, c), *below)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -112,9 +138,9 @@ class Net:
         two[first] = start
         return one, two
 
-    def contexts(self, ids: np.ndarray, first: np.ndarray) -> tuple[list, list, np.ndarray]:
-        """What the softmaxes share. For classes and for members: rows of each feature by different history (the skip
-        feature's in order), the history of each token, and the answer; then which tokens have a member softmax.
+    def contexts(self, ids: np.ndarray, first: np.ndarray) -> tuple[list, list[list], np.ndarray]:
+        """What the softmaxes share. For classes and for each inner softmax: rows of each feature by different history (the
+        skip feature's in order), the history of each token, and the answer; then which tokens have inner softmaxes.
 
         Many tokens have the same history, so everything but the answers is done once for each different one.
         """
@@ -122,21 +148,25 @@ class Net:
         one, two = self.history(ids, first)
         inside = np.flatnonzero(ids < s.words)
         cls = np.full(len(ids), s.classes - 1)
-        cls[inside] = ids[inside] // s.members
+        cls[inside] = ids[inside] // (s.parts * s.members)
 
         key, which = np.unique(two * span + one, return_inverse=True)
         k_one, k_two = key % span, key // span
         pair = (k_one.astype(np.uint64) * np.uint64(0x9E3779B1) + k_two.astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(7)
         by_class = [[k_two, k_one, (pair % np.uint64(s.pair_rows)).astype(np.int64)], which, cls]
 
-        key, which = np.unique((cls[inside] * span + two[inside]) * span + one[inside], return_inverse=True)
-        k_cls = key // (span * span)
+        below = []
+        for nodes, width, under in s.inner:
+            node = ids[inside] // (width * under)
+            key, which = np.unique((node * span + two[inside]) * span + one[inside], return_inverse=True)
+            k_node = key // (span * span)
 
-        def hashed(word: np.ndarray, salt: int) -> np.ndarray:
-            return (((word * s.classes + k_cls).astype(np.uint64) * np.uint64(salt) >> np.uint64(9)) % np.uint64(s.member_rows)).astype(np.int64)
+            def hashed(word: np.ndarray, salt: int) -> np.ndarray:
+                return (((word * nodes + k_node).astype(np.uint64) * np.uint64(salt) >> np.uint64(9)) % np.uint64(s.member_rows)).astype(np.int64)
 
-        features = [k_cls, hashed(key % span, 0x9E3779B1), hashed(key // span % span, 0xC2B2AE35)]
-        return by_class, [features, which, ids[inside] % s.members], inside
+            features = [k_node, hashed(key % span, 0x9E3779B1), hashed(key // span % span, 0xC2B2AE35)]
+            below.append([features, which, ids[inside] // under % width])
+        return by_class, below, inside
 
     def softmax(self, tables: list[int], rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
         out = self.weights[tables[0]][rows[0]]
@@ -151,22 +181,24 @@ class Net:
 
     def log_probs(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural logarithms: of class and member, or of the class alone for a word outside the head."""
-        (c_rows, c_of, cls), (m_rows, m_of, member), inside = self.contexts(ids, first)
+        (c_rows, c_of, cls), below, inside = self.contexts(ids, first)
         p = self.softmax([2, 1, 3], c_rows, self.weights[0])
         out = np.log(np.maximum(p[c_of, cls], 1e-30)).astype(float)
         if len(inside):
-            q = self.softmax([4, 5, 6], m_rows)
-            out[inside] += np.log(np.maximum(q[m_of, member], 1e-30))
+            for i, (rows, of, answer) in enumerate(below):
+                q = self.softmax([4 + 3 * i, 5 + 3 * i, 6 + 3 * i], rows)
+                out[inside] += np.log(np.maximum(q[of, answer], 1e-30))
         return out
 
     def step(self, ids: np.ndarray, first: np.ndarray) -> None:
-        (c_rows, c_of, cls), (m_rows, m_of, member), inside = self.contexts(ids, first)
+        (c_rows, c_of, cls), below, inside = self.contexts(ids, first)
         p = self.gradient(self.softmax([2, 1, 3], c_rows, self.weights[0]), c_of, cls)
         self.move(0, np.zeros(1, np.int64), p.sum(0, keepdims=True))
         self.descend([2, 1, 3], c_rows, p)
         if len(inside):
-            q = self.gradient(self.softmax([4, 5, 6], m_rows), m_of, member)
-            self.descend([4, 5, 6], m_rows, q)
+            for i, (rows, of, answer) in enumerate(below):
+                tables = [4 + 3 * i, 5 + 3 * i, 6 + 3 * i]
+                self.descend(tables, rows, self.gradient(self.softmax(tables, rows), of, answer))
 
     def gradient(self, p: np.ndarray, history: np.ndarray, answer: np.ndarray) -> np.ndarray:
         """Expected minus seen answers of each different history, in p's place."""
@@ -209,9 +241,10 @@ def first_weights(s: Settings, head: list[tuple[bytes, int]], total: int) -> lis
     counts = np.zeros(s.words)
     top = [n for _, n in head[: s.words]]
     counts[: len(top)] = top
-    by_class = counts.reshape(s.classes - 1, s.members)
-    weights[0][0] = np.log(np.concatenate((by_class.sum(1), [total - counts.sum()])) + 1)
-    weights[4][:-1] = np.where(by_class > 0, np.log(np.maximum(by_class, 1)), -20.0)
+    weights[0][0] = np.log(np.concatenate((counts.reshape(s.classes - 1, -1).sum(1), [total - counts.sum()])) + 1)
+    for i, (_, width, under) in enumerate(s.inner):
+        n = counts.reshape(-1, width, under).sum(2)
+        weights[4 + 3 * i][: len(n)] = np.where(n > 0, np.log(np.maximum(n, 1)), -20.0)
     return weights
 
 
@@ -305,6 +338,7 @@ def fit(docs: DataFrame, held_out_mod: int = 7, held_out_is: int = 2, s: Setting
     texts = docs.filter(side != held_out_is).select(F.col("text").cast("binary").alias("text"), slice_of.alias("slice"))
     counts = stored(count_words(texts.select("text")), "maxent-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    s = s.grown(distinct)
     head = head_of(counts, s.head_words)
     return Model(s, head, counts, tokens, distinct, train(texts, head, tokens, s))
 

@@ -294,6 +294,31 @@ def test_language_model_adds_up_to_one():
         assert p == pytest.approx(1, abs=1e-5)
 
 
+def test_language_model_grows_with_its_words():
+    s = maxent.Settings()
+    assert s.words >= 47 * 96 and s.member_rows >= 16384
+    small, large = s.grown(10_000), s.grown(1_000_000)
+    assert small == s and large.words >= 1_000_000 // maxent.KNOWN_SHARE > s.words and large.parts > 1
+    assert large.member_rows > s.member_rows and large.pair_rows > s.pair_rows
+    # A class that is factored once more adds up to one as well, and learns.
+    s = maxent.Settings(classes=4, members=5, pair_rows=32, member_rows=32).grown(maxent.KNOWN_SHARE * 58)
+    assert s.parts > 1 and s.words >= 58
+    pick = np.random.default_rng(1)
+    net = maxent.Net(s, maxent.first_weights(s, [(f"w{i}".encode(), 90 - i) for i in range(s.words)], 4000))
+    ids = pick.integers(0, 2, 400).cumsum() % (s.words + 1)
+    first = np.arange(400) % 20 == 0
+    before = net.log_probs(ids, first).sum()
+    for _ in range(30):
+        net.step(ids, first)
+    assert net.log_probs(ids, first).sum() > before
+    for history in ([], [3], [s.words, 2]):
+        p = 0.0
+        for w in range(s.words + 1):
+            own = np.array([*history, w])
+            p += math.exp(net.log_probs(own, np.arange(len(own)) == 0)[-1])
+        assert p == pytest.approx(1, abs=1e-5)
+
+
 def test_quality_model_equals_plain_kneser_ney(spark):
     pick = random.Random(6)
     texts = [" ".join(pick.choices("a b c d e f".split(), weights=[9, 5, 3, 2, 1, 1], k=pick.randrange(12))) for _ in range(60)]
