@@ -121,6 +121,43 @@ def test_stages(spark, folder):
     assert again == Counter((r.doc_id, r.ids_sha256) for r in got)
 
 
+def test_near_copies_go(spark, folder):
+    pick = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    rows, copies = [], 0
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    for i in range(60):
+        words = pick.choices(vocabulary, k=pick.randrange(80, 200))
+        rows.append((1000 + i, " ".join(words)))
+        for k in range(3):
+            other = list(words)
+            for _ in range(pick.randrange(1, 5)):
+                other[pick.randrange(len(other))] = "edited"
+            rows.append((5000 + 10 * i + k, " ".join(other)))
+    sets = {d: shingles(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+                copies += 1
+    assert copies > 100
+    table = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, table, folder).collect()}
+    assert left == {d for d in sets if top(d) == d}
+
+
 def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
