@@ -20,6 +20,7 @@ from localexplain.llm.common import forget, remainder, stored
 TRAIN_ROWS = 24_000  # bound of the labelled sample; the rows with the smallest hashes of doc_id
 REMEMBERED_WORDS = 1 << 17
 SIEVE_BITS = 20
+BLOCK = 1 << 18  # features whose states are averaged together
 
 
 @dataclass(frozen=True)
@@ -30,8 +31,7 @@ class Settings:
     l2: float = 0.0
     passes: int = 8
     shards: int = 4
-    min_texts: int = 4  # a feature of the dictionary is in so many texts of the sample,
-    min_share: float = 0.0005  # and in this share of them
+    min_texts: int = 4  # a feature of the dictionary is in so many texts of the sample, whatever its size
 
 
 class WordHashes(dict):
@@ -105,9 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, s: Setting
     sample = stored(
         training_rows(docs, labels, rows).mapInArrow(extract, "doc_id string, toxic int, found array<int>"), "toxic-sample"
     )
-    least = max(s.min_texts, int(s.min_share * sample.count()))
-    common = sample.select(F.explode("found").alias("f")).groupBy("f").count().filter(F.col("count") >= least)
-    # The dictionary is bounded by the sample: its features' texts make up at most the sample's features / least.
+    common = sample.select(F.explode("found").alias("f")).groupBy("f").count().filter(F.col("count") >= s.min_texts)
+    # The dictionary is bounded by the sample: its features are at most the sample's features / min_texts.
     dictionary = np.sort(common.select("f").toArrow().column("f").to_numpy().view(np.uint32))
     shared = sample.sparkSession.sparkContext.broadcast(dictionary.tobytes())
     z, n = np.zeros(len(dictionary) + 1), np.zeros(len(dictionary) + 1)
@@ -139,12 +138,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, s: Setting
             texts = [at.values.to_numpy() for at in table.column("at")]
             labels_of = table.column("toxic").to_numpy()
             ftrl_pass([texts[i] for i in order], labels_of[order].astype(float), own_z, own_n, s)
-            return pa.table({"z": [own_z.astype(np.float32).tobytes()], "n": [own_n.astype(np.float32).tobytes()]})
-
-        got = dealt.groupBy("shard").applyInArrow(learn, "z binary, n binary").collect()
-        if got:
-            z = np.mean([np.frombuffer(r.z, np.float32) for r in got], axis=0, dtype=float)
-            n = np.mean([np.frombuffer(r.n, np.float32) for r in got], axis=0, dtype=float)
+            blocks = range(0, len(own_z), BLOCK)
+            columns = {x: [own[lo : lo + BLOCK].astype(np.float32).tobytes() for lo in blocks] for x, own in (("z", own_z), ("n", own_n))}
+            return pa.table({"block": pa.array(blocks, pa.int64()), "shard": pa.array([table.column("shard")[0].as_py()] * len(blocks), pa.int32()), **columns})
+
+        def mean(table: pa.Table) -> pa.Table:
+            order = np.argsort(table.column("shard").to_numpy())
+            means = {x: np.mean([np.frombuffer(table.column(x)[i].as_py(), np.float32) for i in order.tolist()], axis=0, dtype=float) for x in ("z", "n")}
+            return pa.table({"block": table.column("block")[:1], **{x: [m.tobytes()] for x, m in means.items()}})
+
+        moved = dealt.groupBy("shard").applyInArrow(learn, "block bigint, shard int, z binary, n binary")
+        # The driver gets the shards' mean, block by block, not each shard's state.
+        for r in moved.groupBy("block").applyInArrow(mean, "block bigint, z binary, n binary").toLocalIterator():
+            z[r.block : r.block + BLOCK], n[r.block : r.block + BLOCK] = np.frombuffer(r.z), np.frombuffer(r.n)
         state.destroy()
     w = weights_of(z[:-1], n[:-1], s)
     bias = float(-z[-1] / ((s.beta + np.sqrt(n[-1])) / s.alpha + s.l2))

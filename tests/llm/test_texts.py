@@ -251,6 +251,16 @@ def test_toxicity(spark, docs, none):
     assert kept.columns == docs.columns and kept.filter("size = 7 and c0 = 7").count() == sum(r.score < 0.5 for r in odd)
 
 
+def test_toxicity_learns_rare_words_from_large_samples(spark):
+    ids = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 5][:12_000]
+    rare = set(ids[100:9700:1920])  # five texts: under the former floor of 12 000 * 0.0005 = 6
+    table = spark.createDataFrame([(i, f"w{i % 7} w{i % 11}" + " scum" * (i in rare)) for i in ids], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i in rare)) for i in ids], "doc_id long, quality int, toxic int")
+    hashes = toxicity.WordHashes()
+    keys, _, _ = toxicity.train(table, marks, s=toxicity.Settings(l1=0.01, passes=2))
+    assert toxicity.features(b"scum", hashes)[0] in keys
+
+
 def test_language_model(spark, docs, rows, none):
     settings = maxent.Settings(classes=6, members=8, pair_rows=64, member_rows=64, head_words=100, tokens_per_task=1000)
     model = maxent.fit(docs, s=settings)
