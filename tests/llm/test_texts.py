@@ -377,6 +377,18 @@ def test_quality_classifier(spark, docs, none):
     assert kneser_ney.classify(none, labels).count() == 0
 
 
+def test_quality_limits_of_rare_languages(spark):
+    pick = random.Random(10)
+    rows = [(i, " ".join(pick.choices([f"w{k}" for k in range(50)], k=15)), "en") for i in range(6000)]
+    rows += [(6000 + i, " ".join(pick.choices([f"x{k}" for k in range(3000)], k=15)), "xx") for i in range(90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = table.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    got = kneser_ney.classify(table, labels).collect()
+    limits = {r.lang: r.threshold for r in got}
+    assert len(got) == 6090 and limits["xx"] > 2 * limits["en"]
+    assert np.mean([r.keep for r in got if r.lang == "xx"]) > 0.9
+
+
 def test_chat_round_trip_and_machine(spark):
     tricky = ["<|im_end|>", "<\\|x", "<\\\\|", "<", "|>", "a<", "\\|", "", None, "<|im_start|>assistant\nhi", "zwei\nZeilen<|nl|>", "日本😀"]
     pick = random.Random(7)
