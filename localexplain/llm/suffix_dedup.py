@@ -8,7 +8,8 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
    runs whose hash occurs in two documents are cut out and sent to their group.
 3. A group's suffixes are put in order by a mergesort that compares by hash: prefix polynomial hashes and a binary search
    find how far two suffixes agree. Neighbours that agree over the whole length are one class. The order is checked
-   against the bytes, and made again with another base if hashes collided.
+   against the bytes, and made again with another base if hashes collided. A group of more than GROUP_BYTES is passed on
+   row by row instead: its windows are grouped by their bytes in Spark, so no task holds it.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from localexplain.llm.common import forget, stored
 
 GRAM = 20  # long enough that unrelated texts seldom share one, short enough for runs of many windows
 BATCH_BYTES = 1 << 18  # text of groups that are sorted together: its hashes stay in the processor's cache
+GROUP_BYTES = 1 << 22  # text of one group that a task holds at most
 CUT_BYTES = 1 << 21
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 TEXT_PART = 1 << 22
+SALTS = 16
 
 
 class Collision(Exception):
@@ -265,26 +268,60 @@ def repeats(rows: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[
     return found
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc_id, tag, place, run) in order of h: whole groups, many small ones at a time."""
+def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, group_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (h, doc_id, tag, place, run) in order of h: whole groups, many small ones at a time. Gives stretches to remove
+    (run null), and the rows of groups over group_bytes as they are (end null)."""
     rows: list = []
-    size, last = 0, None
+    passed: list = []
+    size, last, begin, own, held, large = 0, None, 0, 0, 0, False
 
-    def out() -> pa.RecordBatch:
-        found = repeats(rows, length)
-        columns = list(zip(*found)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "tag", "start", "end"])
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found)) or [()] * 5
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "tag", "start", "end", "run"])
+
+    def marks() -> pa.RecordBatch:
+        return out([(*r, None) for r in repeats(rows, length)])
 
     for batch in batches:
-        for h, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if h != last and size > BATCH_BYTES:
-                yield out()
-                rows, size = [], 0
-            rows.append(tuple(row))
-            size += len(row[3])
-            last = h
+        for h, doc, tag, place, run in zip(*batch.columns):
+            h, row = h.as_py(), (doc.as_py(), tag.as_py(), place.as_py(), run.as_py())
+            if h != last:
+                if size > BATCH_BYTES:
+                    yield marks()
+                    rows, size = [], 0
+                last, begin, own, large = h, len(rows), 0, False
+            if not large:
+                rows.append(row)
+                own += len(row[3])
+                size += len(row[3])
+                if own > group_bytes:
+                    large, size, held = True, size - own, held + own
+                    passed += [(d, t, a, None, r) for d, t, a, r in rows[begin:]]
+                    del rows[begin:]
+            else:
+                passed.append((*row[:3], None, row[3]))
+                held += len(row[3])
+            if held > CUT_BYTES:
+                yield out(passed)
+                passed, held = [], 0
+    if passed:
+        yield out(passed)
     if rows:
-        yield out()
+        yield marks()
+
+
+def _by_window(large: DataFrame, length: int) -> DataFrame:
+    """Stretches to remove, from the rows of groups that no task should hold: every window's smallest document, by partial
+    aggregation, joined back to its places in SALTS parts."""
+    at = F.explode(F.sequence(F.lit(0), F.length("run") - length))
+    windows = large.select("doc_id", "tag", "start", "run", at.alias("at"))
+    windows = windows.select("doc_id", "tag", (F.col("start") + F.col("at")).alias("start"), F.substring("run", F.col("at") + 1, F.lit(length)).alias("window"))
+    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    least = least.select("window", "least", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    gone = dealt.join(least, ["window", "salt"]).filter("doc_id > least")
+    return gone.select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -302,7 +339,7 @@ def _tag(text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(text), 32)
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, text (binary), spans: array<struct<start, end>> of maximal runs of bytes to remove, in order; and kept, a
     struct k0, k1, .. of the columns that `keep` names.
 
@@ -343,8 +380,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
     )
     marks = (
         cut.repartition("h").sortWithinPartitions("h", "doc_id")
-        .mapInArrow(lambda b: _sorted_groups(b, length), "doc_id bigint, tag bigint, start bigint, end bigint")
+        .mapInArrow(lambda b: _sorted_groups(b, length, group_bytes), "doc_id bigint, tag bigint, start bigint, end bigint, run binary")
     )
+    marks = stored(marks, "marks")
+    large = marks.filter(F.col("run").isNotNull())
+    marks = marks.filter(F.col("run").isNull()).drop("run").unionByName(_by_window(large, length))
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "end")).alias("marks"))
     found = with_copies.join(marks, "doc_id", "left")
     found = found.select("doc_id", "text", "tag", is_copy.alias("copy"), "marks", "kept")
@@ -377,9 +417,9 @@ def kept_bytes(text: Column, spans: Column) -> Column:
     return F.unhex(F.array_join(pieces, ""))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary): repeated_spans() applied."""
-    found = repeated_spans(docs, length)
+    found = repeated_spans(docs, length, group_bytes=group_bytes)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
         "doc_id",

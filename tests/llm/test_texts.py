@@ -175,6 +175,11 @@ def test_suffix_dedup_equals_brute_force(docs, rows, none):
     assert cut == Counter((d, t, s, None if t is None else len(t), 7) for d, t, s in texts)
 
 
+def test_large_groups_are_not_held(docs, rows):
+    got = Counter(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in suffix_dedup.remove_repeats(docs, group_bytes=300).collect())
+    assert got == Counter(r[:5] for r in removed(rows))
+
+
 def test_suffix_order_is_right_even_when_hashes_collide():
     pick = np.random.default_rng(4)
     buffer = pick.integers(97, 99, 3000).astype(np.uint8)
