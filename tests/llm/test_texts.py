@@ -382,6 +382,14 @@ def test_quality_classifier(spark, docs, none):
     assert kneser_ney.classify(none, labels).count() == 0
 
 
+def test_quality_sample_goes_on_after_long_texts(spark):
+    rows = [(i, "long " * 100 if i % 4 == 0 else "short", "en") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = kneser_ney.trusted_ids(table.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    expected = {r.doc_id for r in trusted.filter("not held").collect() if r.doc_id % 4}
+    assert {r.doc_id for r in kneser_ney.fitted_rows(table, trusted, words=60).collect()} == expected
+
+
 def test_quality_limits_of_rare_languages(spark):
     pick = random.Random(10)
     rows = [(i, " ".join(pick.choices([f"w{k}" for k in range(50)], k=15)), "en") for i in range(6000)]
