@@ -20,13 +20,14 @@ BUILD_BEAM = 40
 QUERY_BEAM = 80
 RELAX = 1.2
 BATCH = 256
+SINGLE_LIMIT = 1e15  # larger components than this need double precision, or their squares are infinite
 
 
 class Graph:
     """Edges of each point, -1 where there are fewer than the width (twice the degree; longer lists are pruned)."""
 
-    def __init__(self, points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX, seed: int = 11):
-        self.x = points.astype(np.float32)
+    def __init__(self, points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX, seed: int = 11, kind: type = np.float32):
+        self.x = points.astype(kind)
         self.norms = np.einsum("ij,ij->i", self.x, self.x)
         n = len(points)
         self.degree, self.width = degree, 2 * degree
@@ -50,10 +51,10 @@ class Graph:
     def walk(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Greedy beam search of many vectors at once: (ids, squared distances) of the beam, nearest first, -1 at its end."""
         b, rows = len(vectors), np.arange(len(vectors))
-        vectors = vectors.astype(np.float32)
+        vectors = vectors.astype(self.x.dtype)
         norms = np.einsum("ij,ij->i", vectors, vectors)
         ids = np.full((b, beam), -1, np.int64)
-        far = np.full((b, beam), np.inf, np.float32)
+        far = np.full((b, beam), np.inf, self.x.dtype)
         done = np.zeros((b, beam), bool)
         seen = np.zeros((b, len(self.x)), bool)
         ids[:, 0] = self.start
@@ -153,7 +154,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SH
         if len(p) <= beam:
             at = np.broadcast_to(np.arange(len(p)), (len(q), len(p)))
         else:
-            graph = Graph(p)
+            graph = Graph(p, kind=np.float64 if max(np.abs(p).max(), np.abs(q).max()) > SINGLE_LIMIT else np.float32)
             at = np.concatenate([graph.walk(q[lo : lo + BATCH], beam)[0] for lo in range(0, len(q), BATCH)])
         scores = np.stack([np.sqrt(((p[a] - v) ** 2).sum(1)) for a, v in zip(at, q)])
         scores = np.where(at < 0, np.inf, scores)

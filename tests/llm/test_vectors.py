@@ -39,6 +39,20 @@ def plain(table, every, k, score, zero):
     return out
 
 
+def test_graph_finds_huge_vectors(spark):
+    pick = np.random.default_rng(5)
+    x = pick.normal(size=(300, 4))
+    x[100] *= 1e25
+    x[101:106] = x[100] * (1 + 0.01 * pick.normal(size=(5, 4)))
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = by_query(graph_ann.nearest(made, 100, 5).collect())
+    expected = plain(rows, 100, 5, lambda a, b: math.sqrt(((a - b) ** 2).sum()), False)
+    # A huge query has all its huge neighbours, and ordinary ones still have theirs.
+    assert {i for _, i in got[100]} == {101, 102, 103, 104, 105}
+    assert len({i for _, i in got[0] + got[200]} & {i for _, i in expected[0] + expected[200]}) >= 8
+
+
 def by_query(rows):
     out = {}
     for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
