@@ -52,3 +52,20 @@ def forget(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def join_by_share(rows: DataFrame, table: DataFrame, key: str, n_rows: int, most: int = 1000) -> DataFrame:
+    """rows with the columns of table that its key finds, null where there is none; no key makes a task of many rows.
+
+    table has each key once, with the number n of rows that hold it. Keys of at least n_rows / most rows are `most` at
+    most: they are broadcast. All others meet in a shuffle, rows without a key in neither.
+    """
+    heavy = F.broadcast(table.filter(F.col("n") * most >= n_rows).drop("n"))
+    light = table.filter(F.col("n") * most < n_rows).drop("n")
+    keyed = rows.filter(F.col(key).isNotNull())
+    none = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns if c not in (key, "n")]
+    return (
+        keyed.join(heavy, key)
+        .unionByName(keyed.join(heavy, key, "left_anti").join(light, key, "left"))
+        .unionByName(rows.filter(F.col(key).isNull()).select("*", *none))
+    )

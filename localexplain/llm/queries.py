@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from localexplain.llm import bpe, chat, cover_tree, graph_ann, kneser_ney, maxent, mixing, simhash, suffix_dedup, toxicity
+from localexplain.llm import (
+    bpe,
+    chat,
+    cover_tree,
+    graph_ann,
+    hard_negatives,
+    host_rules,
+    kneser_ney,
+    maxent,
+    mixing,
+    prefix_trie,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 from localexplain.llm.common import read
 
 
@@ -59,6 +73,19 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.verdicts(read(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digests(read(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +99,9 @@ LLM_QUERIES = {
         op8_graph_ann,
         op9_chat,
         op10_cover_tree,
+        op11_host_rules,
+        op12_prefix_trie,
+        op13_hard_negatives,
     )
 }
 
@@ -161,4 +191,104 @@ pairs AS (
   WHERE q.vec_id % 50 = 0)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
 FROM pairs QUALIFY rank <= 5""",
+    "op11_host_rules": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, source AS host, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT row, p, words[p:p + 4] AS w FROM (SELECT row, words, unnest(range(1, greatest(len(words) - 3, 1))) AS p FROM texts)),
+twice AS (SELECT row, w FROM windows GROUP BY row, w HAVING count(*) > 1),
+covered AS (
+  SELECT row, count(DISTINCT p + i) AS n
+  FROM (SELECT row, p, unnest([0, 1, 2, 3, 4]) AS i FROM windows JOIN twice USING (row, w)) GROUP BY row),
+counted AS (
+  SELECT doc_id, host, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(lines)::BIGINT AS n_lines
+  FROM texts LEFT JOIN covered USING (row)),
+failed AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS f0, 10 * n_symbols > n_words AS f1,
+         10 * n_dup_lines > 3 * n_lines AS f2, word_chars < 3 * n_words OR word_chars > 10 * n_words AS f3
+  FROM counted),
+hosts AS (
+  SELECT host, count(*) AS n, unnest([0, 1, 2, 3]) AS rule,
+         unnest([count(*) FILTER (f0), count(*) FILTER (f1), count(*) FILTER (f2), count(*) FILTER (f3)]) AS f
+  FROM failed WHERE host IS NOT NULL GROUP BY host),
+sums AS (
+  SELECT rule, count(*)::DOUBLE AS k, sum(n)::DOUBLE AS n, sum(n::DOUBLE * n) AS squares, sum(f)::DOUBLE AS f,
+         sum((f::DOUBLE * f / n)::DECIMAL(28, 10))::DOUBLE AS spread
+  FROM hosts GROUP BY rule),
+parts AS (SELECT *, f / n * (1 - f / n) AS within, n - squares / n - (k - 1) AS room FROM sums),
+prior AS (
+  SELECT rule, (f + 1) / (n + 2) AS rate,
+         1 / least(greatest(CASE WHEN within > 0 AND room > 0 THEN ((spread - f * f / n) / within - (k - 1)) / room ELSE 0 END,
+                            1 / (n + 1)), 0.99::DOUBLE) - 1 AS strength
+  FROM parts),
+shrunk AS (SELECT host, rule, (hosts.f + rate * strength) / (n + strength) AS rate FROM hosts JOIN prior USING (rule)),
+verdict AS (
+  SELECT host, CASE WHEN max(rate) > 0.5 THEN -1
+                    ELSE sum(CASE WHEN rule > 0 AND rate > 0.2 THEN 1 << rule ELSE 0 END) END::BIGINT AS host_verdict
+  FROM shrunk GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 AS base_failed,
+       NOT f0 AND (host_verdict IS NULL
+         OR host_verdict >= 0 AND host_verdict & (2 * f1::BIGINT + 4 * f2::BIGINT + 8 * f3::BIGINT) = 0) AS kept,
+       n_lines, host_verdict
+FROM failed LEFT JOIN verdict USING (host)""",
+    "op12_prefix_trie": r"""
+WITH said AS (
+  SELECT conv_id, turn, strlen(role) || ' ' || role || text AS said,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(said)) AS n FROM said),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         (4294967295 - list_reduce(
+            list_concat([4294967295::BIGINT], flatten([[((ord(c) >> b) & 1)::BIGINT FOR b IN range(8)]
+                                                       FOR c IN string_split(conv_id::VARCHAR, '')])),
+            lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1)))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM placed)),
+rows AS (
+  SELECT convs.conv_id, 0 AS place, n, said, words FROM convs JOIN placed ON placed.conv_id = base AND n <= h
+  UNION ALL SELECT conv_id, 1, n, said, words FROM convs JOIN placed USING (conv_id) WHERE n > h),
+rebuilt AS (
+  SELECT conv_id, list(said ORDER BY place, n) AS said, list(words ORDER BY place, n) AS words FROM rows GROUP BY conv_id
+  UNION ALL SELECT conv_id, [], [] FROM convs WHERE conv_id NOT IN (SELECT conv_id FROM rows)),
+paths AS (
+  SELECT conv_id, d, said[1:d] AS node, len(said) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE words[d] END AS words
+  FROM (SELECT *, unnest(range(0, len(said) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saving,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM paths GROUP BY d, node),
+children AS (SELECT d - 1 AS d, node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+counted AS (SELECT nodes.*, coalesce(n_children, 0)::BIGINT AS n_children FROM nodes LEFT JOIN children USING (d, node)),
+under AS (SELECT *, unnest(range(0, d + 1)) AS top FROM counted),
+sums AS (
+  SELECT top AS d, node[1:top] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saving)::BIGINT AS saved_tokens
+  FROM under GROUP BY 1, 2)
+SELECT c.conv_id, c.d::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN sums s ON s.d = c.d AND s.node = c.node LEFT JOIN nodes p ON p.d = c.d - 1 AND p.node = c.node[1:c.d - 1]""",
+    "op13_hard_negatives": """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(x::DOUBLE * 256) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, x.vec_id, x.label, list_inner_product(a.v, x.v)::BIGINT AS score
+  FROM vectors a JOIN vectors x ON a.vec_id <> x.vec_id AND len(a.v) = len(x.v)
+  WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s USING (anchor_id)
+WHERE s.label <> p.anchor_label AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10""",
 }

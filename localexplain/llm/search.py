@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 Matcher = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id bigint, v array<double>) without null ids and vectors that are null or hold null or non-finite components."""
+def usable(rows: DataFrame, *more: Column) -> DataFrame:
+    """(vec_id bigint, v array<double>, more) without null ids and vectors that are null or hold null or non-finite components."""
     v = F.col("embedding").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is larger than infinity in Spark
-    return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).filter(
+    return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"), *more).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite
     )
 
