@@ -37,8 +37,9 @@ def double(value: float) -> str:
     return f"{value!r}D"
 
 
-def sample_key(seed: int, instance_id: str = "instance_id", sample_id: str = "sample_id") -> str:
-    return f"hash({check_seed(seed)}, {instance_id}, {sample_id})"
+def sample_key(seed: int | str, instance_id: str = "instance_id", sample_id: str = "sample_id") -> str:
+    """``seed`` is a number or the name of an INT column that holds one."""
+    return f"hash({seed if isinstance(seed, str) else check_seed(seed)}, {instance_id}, {sample_id})"
 
 
 def mask_test(key: str, draw: str | int, mask_prob: float) -> str:
@@ -65,15 +66,15 @@ def _word(pair: str | int, k: int) -> str | int:
 
 
 def pair_columns(d: int, key: str = "sample_key") -> list[str]:
-    """Columns r0, a0, r1, a1, ..: radius and angle of every pair of features."""
+    """Columns _r0, _a0, _r1, _a1, ..: radius and angle of every pair of features, apart from what rows may carry (r2)."""
     return [
-        f"{draw(key, p)} AS {name}{p}" for p in range((d + 1) // 2) for draw, name in ((radius, "r"), (angle, "a"))
+        f"{draw(key, p)} AS {name}{p}" for p in range((d + 1) // 2) for draw, name in ((radius, "_r"), (angle, "_a"))
     ]
 
 
 def normal(f: int) -> str:
     """The normal of feature ``f`` from the columns of its pair."""
-    return f"r{f // 2} * {'sin' if f % 2 else 'cos'}(a{f // 2})"
+    return f"_r{f // 2} * {'sin' if f % 2 else 'cos'}(_a{f // 2})"
 
 
 def cell_mask(f: str, mask_prob: float, key: str = "sample_key") -> str:

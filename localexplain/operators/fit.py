@@ -7,6 +7,7 @@ solves the instances of an Arrow batch together, as stacked matrices.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +147,53 @@ class System:
         return np.where(usable, 1.0 - self.ss_res(beta) / np.where(usable, ss_tot, 1.0), 0.0)
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a solver is told besides the system."""
+
+    ridge: float = 1e-3
+    gd_iters: int = 500
+    gd_lr: float = 1e-2
+    epochs: int = 300
+    adam_lr: float = 0.01
+    pivot_floor: float = 1e-24
+
+
+@dataclass
+class Solution:
+    """Fits of a stack of instances: arrays with one row for each."""
+
+    used: np.ndarray
+    iters: np.ndarray
+    coeff: np.ndarray
+    intercept: np.ndarray
+    surr_x0: np.ndarray
+    r2: np.ndarray
+    loss: np.ndarray | None = None
+
+
+def solved(system: System, x0: np.ndarray, name: str, settings: Settings) -> Solution:
+    """The stack's fits by one solver; a closed form that is not finite is repeated by gradient descent."""
+    used = np.full(len(x0), name, dtype=object)
+    iters, loss = np.zeros(len(x0), np.int32), None
+    if name == "adam":
+        beta, loss = system.adam(settings.epochs, settings.adam_lr)
+        iters[:] = settings.epochs
+    elif name == "gd":
+        beta = system.descend(settings.ridge, settings.gd_iters, settings.gd_lr)
+        iters[:] = settings.gd_iters
+    else:
+        beta = system.cholesky(settings.ridge, settings.pivot_floor)
+        failed = ~np.isfinite(beta).all(axis=1)
+        if failed.any():
+            beta[failed] = system.descend(settings.ridge, settings.gd_iters, settings.gd_lr, np.flatnonzero(failed))
+            used[failed], iters[failed] = "gd", settings.gd_iters
+    coeff = beta[:, 1:] / system.std
+    intercept = beta[:, 0] - (coeff * (x0 + system.shift)).sum(1)
+    surr_x0 = beta[:, 0] - (coeff * system.shift).sum(1)
+    return Solution(used, iters, coeff, intercept, surr_x0, system.r2(beta, normalized=name == "adam"), loss)
+
+
 def fit(
     moments: DataFrame,
     solver: str | Sequence[str] = "cholesky",
@@ -161,7 +209,7 @@ def fit(
     A closed-form fit with a non-finite coefficient is repeated by gradient descent and reported as
     ``gd``.  Several solvers share one pass over the moments.
     """
-    solvers = check_solvers(solver)
+    solvers, settings = check_solvers(solver), Settings(ridge, gd_iters, gd_lr, epochs, adam_lr, pivot_floor)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,37 +226,22 @@ def fit(
         system = System(arrow.matrix(batch["s"]), bb, d)
         mean = x0 + system.shift
         for name in solvers:
-            used = np.full(len(bb), name, dtype=object)
-            iters, loss = np.zeros(len(bb), np.int32), None
-            if name == "adam":
-                beta, loss = system.adam(epochs, adam_lr)
-                iters[:] = epochs
-            elif name == "gd":
-                beta = system.descend(ridge, gd_iters, gd_lr)
-                iters[:] = gd_iters
-            else:
-                beta = system.cholesky(ridge, pivot_floor)
-                failed = ~np.isfinite(beta).all(axis=1)
-                if failed.any():
-                    beta[failed] = system.descend(ridge, gd_iters, gd_lr, np.flatnonzero(failed))
-                    used[failed], iters[failed] = "gd", gd_iters
-            coeff = beta[:, 1:] / system.std
-            intercept = beta[:, 0] - (coeff * mean).sum(1)
+            found = solved(system, x0, name, settings)
             columns = {
                 "instance_id": batch["instance_id"],
-                "solver": pa.array(used, pa.string()),
+                "solver": pa.array(found.used, pa.string()),
                 "ridge": pa.array(np.full(len(bb), 0.0 if name == "adam" else ridge)),
-                "coeff": arrow.vectors(coeff),
-                "intercept": pa.array(intercept),
-                "surr_x0": pa.array(beta[:, 0] - (coeff * system.shift).sum(1)),
+                "coeff": arrow.vectors(found.coeff),
+                "intercept": pa.array(found.intercept),
+                "surr_x0": pa.array(found.surr_x0),
                 "bb_x0": pa.array(bb),
-                "r2": pa.array(system.r2(beta, normalized=name == "adam")),
-                "num_iters": pa.array(iters),
+                "r2": pa.array(found.r2),
+                "num_iters": pa.array(found.iters),
                 "n_samples": pa.array(system.n.astype(np.int64)),
                 "sum_weights": pa.array(system.sw),
                 "x0": batch["x0"],
                 "x_mean": arrow.vectors(mean),
-                "loss": pa.nulls(len(bb), pa.list_(pa.float64())) if loss is None else arrow.vectors(loss),
+                "loss": pa.nulls(len(bb), pa.list_(pa.float64())) if found.loss is None else arrow.vectors(found.loss),
             }
             yield pa.RecordBatch.from_pydict(columns)
 

@@ -11,7 +11,7 @@ small, so nothing is lost by making a single pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -23,9 +23,9 @@ from localexplain.functions import draws
 from localexplain.functions.arrow import blocks, matrix, numbers, vectors
 from localexplain.functions.draws import double
 from localexplain.functions.sizes import salted_join
-from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, spread
+from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, predictor, spread
 from localexplain.operators.score import check_width, score_at_x0
-from localexplain.sources.models import Model
+from localexplain.sources.models import BatchModel, Model
 
 # Up to here the sums are columns in generated code; beyond, their number grows as D^2 / 2 and the
 # generated methods pass the JIT limit, so NumPy forms the Gram matrix of each Arrow batch.
@@ -57,18 +57,18 @@ def _sums(d: int, off: list[str], w: str, y: str) -> list[str]:
     )
 
 
-def _grouped(df: DataFrame, d: int, off: list[str], base: list[str]) -> DataFrame:
+def _grouped(df: DataFrame, d: int, off: list[str], base: list[str], keys: tuple[str, ...] = ("instance_id",)) -> DataFrame:
     df = df.selectExpr(
-        "instance_id", *base, "bb_x0", *off, "weight", "y",
+        *keys, *base, "bb_x0", *off, "weight", "y",
         *[f"weight * {o} AS w{o}" for o in off], "weight * y AS wy",
     )
     named = [f"{e} AS s{i}" for i, e in enumerate(_sums(d, off, "weight", "y"))]
     carried = [f"max({b}) AS {b}" for b in [*base, "bb_x0"]]
     return (
-        df.groupBy("instance_id")
+        df.groupBy(*keys)
         .agg(*[F.expr(e) for e in carried + named])
         .selectExpr(
-            "instance_id",
+            *keys,
             f"array({', '.join(base)}) AS x0",
             "bb_x0",
             f"array({', '.join(f's{i}' for i in range(len(named)))}) AS s",
@@ -77,29 +77,37 @@ def _grouped(df: DataFrame, d: int, off: list[str], base: list[str]) -> DataFram
 
 
 def perturbed_moments(
-    instances: DataFrame, model: Model, background, n_samples: int, mask_prob: float, noise_std: float,
-    kernel_width: float, seed: int, partitions: int | None = None, chunk: int = SAMPLES_PER_TASK_ROW,
+    instances: DataFrame, model: Model | BatchModel, background, n_samples: int, mask_prob: float, noise_std: float,
+    kernel_width: float, seed: int | Sequence[int], partitions: int | None = None, chunk: int = SAMPLES_PER_TASK_ROW,
 ) -> DataFrame:
-    """Moments of the samples that ``perturb`` would make, without writing any sample down."""
+    """Moments of the samples that ``perturb`` would make, without writing any sample down.
+
+    Several seeds give several sets of samples of every instance: ``s`` then holds their sums one after the other.
+    """
     check_width(kernel_width)
     d = len(background)
     if d != model.d:
         raise ValueError(f"the model has {model.d} features, the background {d}")
     df = score_at_x0(spread(instances, d, n_samples, partitions, chunk), model)
-    if d > UNROLLED_GRAM:
+    if d > UNROLLED_GRAM or isinstance(model, BatchModel):
         return _blocked(df, model, background, n_samples, mask_prob, noise_std, kernel_width, seed, chunk)
+    many = not isinstance(seed, int)
+    if many:  # a row for each seed while rows are narrow; they stay in the task of their instance
+        seeds = ", ".join(f"named_struct('source', {i}, 'seed', {draws.check_seed(s)})" for i, s in enumerate(seed))
+        df = df.selectExpr("*", f"inline(array({seeds}))")
     base, off = [f"b{f}" for f in range(d)], [f"d{f}" for f in range(d)]
     # coalesce marks the columns as never null, which halves the generated code
     df = df.selectExpr(
         "instance_id",
         *[f"coalesce(x0[{f}], 0D) AS {b}" for f, b in enumerate(base)],
-        "coalesce(bb_x0, 0D) AS bb_x0", "first_sample", "last_sample",
+        "coalesce(bb_x0, 0D) AS bb_x0", "first_sample", "last_sample", *(["source", "seed"] if many else []),
     ).selectExpr(
         "*", " + ".join([double(model.bias), *[f"{double(w)} * {b}" for w, b in zip(model.w, base)]]) + " AS logit0"
     ).selectExpr(
         "* EXCEPT (first_sample, last_sample)", "explode(sequence(first_sample, last_sample)) AS sample_id"
-    ).selectExpr("* EXCEPT (sample_id)", f"{draws.sample_key(seed)} AS sample_key")
-    kept = ["instance_id", *base, "bb_x0", "logit0"]
+    ).selectExpr("* EXCEPT (sample_id)", f"{draws.sample_key('seed' if many else seed)} AS sample_key")
+    keys = ("instance_id", "source") if many else ("instance_id",)
+    kept = [*keys, *base, "bb_x0", "logit0"]
     cells = [
         f"if({draws.mask_test('sample_key', draws.mask_word(f), mask_prob)}, {double(m)} - {base[f]}, "
         f"{double(noise_std)} * {draws.normal(f)}) AS {off[f]}"
@@ -110,7 +118,12 @@ def perturbed_moments(
         f"exp(({' + '.join(f'{o} * {o}' for o in off)}) * {double(-1 / kernel_width**2)}) AS weight",
         "logit0 + " + " + ".join(f"{double(w)} * {o}" for w, o in zip(model.w, off)) + " AS logit",
     ).selectExpr("* EXCEPT (logit)", "coalesce(1D / (1D + exp(-logit)), 0D) - bb_x0 AS y")
-    return _grouped(df, d, off, base)
+    sums = _grouped(df, d, off, base, keys)
+    if not many:
+        return sums
+    # One entry for each given seed, in their order: the number of seeds bounds the list.
+    nested = sums.groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("source", "x0", "bb_x0", "s"))).alias("held"))
+    return nested.select("instance_id", F.expr("held[0].x0 AS x0"), F.expr("held[0].bb_x0 AS bb_x0"), F.flatten("held.s").alias("s"))
 
 
 def sample_moments(samples: DataFrame, d: int) -> DataFrame:
@@ -206,26 +219,30 @@ def block_sums(off: np.ndarray, w: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _blocked(df, model, background, n_samples, mask_prob, noise_std, kernel_width, seed, chunk) -> DataFrame:
-    w_bb, means = np.array(model.w), np.array(background, dtype=float)
-    bias, width, d = float(model.bias), float(kernel_width) ** 2, len(background)
+    means, width, d = np.array(background, dtype=float), float(kernel_width) ** 2, len(background)
+    predict = predictor(model, df.sparkSession, background)
+    seeds = [seed] if isinstance(seed, int) else list(seed)
 
-    def block(ids, x0, bb, lo, hi):
+    def block(ids, x0, bb, lo, hi, seed):
         keys = draws.sample_keys(seed, ids, np.arange(lo, hi + 1))
-        off, _ = draws.draw_offsets(keys, x0, means, mask_prob, noise_std)
-        y = 1.0 / (1.0 + np.exp(-((x0 @ w_bb + bias)[:, None] + off @ w_bb))) - bb[:, None]
+        off, masked = draws.draw_offsets(keys, x0, means, mask_prob, noise_std)
+        y = predict(x0, off, masked) - bb[:, None]
         return block_sums(off, np.exp(-(off * off).sum(2) / width), y)
 
     def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), rows_per_batch(d)):
-                yield sums_of(batch.slice(at, rows_per_batch(d)))
+            step = max(1, rows_per_batch(d) // len(seeds))
+            for at in range(0, len(batch), step):
+                yield sums_of(batch.slice(at, step))
 
     def sums_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, bb, x0 = numbers(batch["instance_id"]), numbers(batch["bb_x0"]), matrix(batch["x0"])
         first, last = numbers(batch["first_sample"]), numbers(batch["last_sample"])
-        s = np.zeros((len(ids), size_of(d)))
+        s = np.zeros((len(ids), len(seeds), size_of(d)))
         for r, lo, hi in blocks(first, last, d):
-            s[r] += block(ids[r], x0[r], bb[r], lo, hi)
+            for k, one in enumerate(seeds):
+                s[r, k] += block(ids[r], x0[r], bb[r], lo, hi, one)
+        s = s.reshape(len(ids), -1)
         return _batch(ids, x0, bb, s, salt=(first // chunk) % MERGE_SALTS)
 
     parts = df.select("instance_id", "x0", "bb_x0", "first_sample", "last_sample").mapInArrow(

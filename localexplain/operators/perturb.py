@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from localexplain.functions import arrow, draws
 from localexplain.functions.draws import double
+from localexplain.sources.models import BatchModel, Model, scores_of
 
 SAMPLES_PER_TASK_ROW = 16384
 UNROLLED_VECTOR = 12
@@ -47,7 +48,7 @@ def unique_ids(df: DataFrame, *keys: str) -> DataFrame:
 
 def spread(
     instances: DataFrame, d: int, n_samples: int, partitions: int | None = None,
-    chunk: int = SAMPLES_PER_TASK_ROW,
+    chunk: int = SAMPLES_PER_TASK_ROW, keys: tuple[str, ...] = ("instance_id",),
 ) -> DataFrame:
     """Instances with (first_sample, last_sample), shuffled while they are still narrow.
 
@@ -57,7 +58,7 @@ def spread(
     partition count is explicit because adaptive coalescing looks at bytes, and these few bytes
     stand for B times the work.  ``partitions=0`` keeps the input's own partitioning, for tables that
     arrive in enough even splits: wide instances then need no shuffle at all, narrow ones shuffle
-    their sums. Repeated instance ids are an error on all paths but that one: there the caller vouches for them.
+    their sums. Repeated ``keys`` are an error on all paths but that one: there the caller vouches for them.
     """
     if n_samples < 1:
         raise ValueError("n_samples must be at least 1")
@@ -67,7 +68,7 @@ def spread(
     if n_samples <= chunk:
         rows = df.selectExpr("*", "0 AS first_sample", f"{n_samples - 1} AS last_sample")
         rows = _shuffle(rows, partitions, "instance_id")
-        return rows if partitions == 0 else unique_ids(rows, "instance_id")
+        return rows if partitions == 0 else unique_ids(rows, *keys)
     last_range = math.ceil(n_samples / chunk) - 1
     ranges = df.selectExpr("*", f"explode(sequence(0, {last_range})) AS range_id").selectExpr(
         "* EXCEPT (range_id)",
@@ -80,7 +81,7 @@ def spread(
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = ranges.withColumn("_slot", F.expr(f"int(pmod(hash(instance_id) + bigint(first_sample / {chunk}), {n}))"))
     dealt = slots.repartitionById(n, F.col("_slot"))
-    return unique_ids(dealt, "_slot", "instance_id", "first_sample").drop("_slot")
+    return unique_ids(dealt, "_slot", *keys, "first_sample").drop("_slot")
 
 
 def perturb(
@@ -93,6 +94,7 @@ def perturb(
     layout: str = "array",
     partitions: int | None = None,
     chunk: int = SAMPLES_PER_TASK_ROW,
+    keys: tuple[str, ...] = ("instance_id",),
 ) -> DataFrame:
     """B perturbed copies of every instance.
 
@@ -104,7 +106,7 @@ def perturb(
     if layout not in ("array", "long"):
         raise ValueError(f"samples are laid out as 'array' or 'long', not {layout!r}")
     d = len(background)
-    ranges = spread(instances, d, n_samples, partitions, chunk)
+    ranges = spread(instances, d, n_samples, partitions, chunk, keys)
     if layout == "array" and d > UNROLLED_VECTOR:
         return wide_samples(ranges, background, mask_prob, noise_std, seed)
     df = ranges.selectExpr(
@@ -128,6 +130,16 @@ def perturb(
     )
 
 
+def predictor(model: Model | BatchModel, spark, background=None):
+    """A function (x0, offsets, masked) -> scores for blocks of samples, shapes (m, D), (m, b, D), (m, b, D) -> (m, b)."""
+    if isinstance(model, Model):
+        w, bias = np.array(model.w), float(model.bias)
+        return lambda x0, off, masked: 1.0 / (1.0 + np.exp(-((x0 @ w + bias)[:, None] + off @ w)))
+    shared, means = model.shipped(spark), np.array(background, dtype=float)
+    # masked cells hold the background value itself, not x0 plus the rounded way to it
+    return lambda x0, off, masked: scores_of(shared, np.where(masked, means, x0[:, None, :] + off))
+
+
 def wide_samples(
     ranges: DataFrame, background, mask_prob: float, noise_std: float, seed: int, model=None,
     kernel_width: float = 1.0, keep_vectors: bool = True,
@@ -148,7 +160,7 @@ def wide_samples(
     if keep_vectors:
         schema = schema.add("x", T.ArrayType(T.DoubleType())).add("z", T.ArrayType(T.IntegerType()))
     if model is not None:
-        w_bb, bias = np.array(model.w), float(model.bias)
+        predict = predictor(model, ranges.sparkSession, background)
         for name in ("pred", "dist", "weight"):
             schema = schema.add(name, T.DoubleType())
 
@@ -163,8 +175,7 @@ def wide_samples(
             columns["z"] = arrow.vectors((~masked).astype(np.int32).reshape(-1, d))
         if model is not None:
             dist = (off * off).sum(2).ravel()
-            logit = ((x0[r] @ w_bb + bias)[:, None] + off @ w_bb).ravel()
-            columns["pred"] = pa.array(1.0 / (1.0 + np.exp(-logit)))
+            columns["pred"] = pa.array(predict(x0[r], off, masked).ravel())
             columns["dist"] = pa.array(dist)
             columns["weight"] = pa.array(np.exp(-dist / kernel_width**2))
         return pa.RecordBatch.from_pydict(columns)

@@ -7,67 +7,74 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from localexplain.functions.draws import TWO_31, check_seed
+from localexplain.operators.newton import train_logistic
 from localexplain.operators.score import logit
 from localexplain.sources.models import Model, by_feature
 
 BUCKET_BITS = 16
+MOST_CLASSES = 10000
 WIDE = 32
 
 
+def _order(key: str, seed: int) -> Column:
+    return F.hash(F.lit(check_seed(seed)), F.col(key)).cast("bigint") + TWO_31
+
+
 def _shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """A fixed random order (h, key) with 2^16 even buckets of it; ``key`` must be unique."""
-    h = F.hash(F.lit(check_seed(seed)), F.col(key)).cast("bigint") + TWO_31
-    return df.withColumn("_h", h).withColumn(
+    return df.withColumn("_h", _order(key, seed)).withColumn(
         "_bucket", F.shiftright("_h", 32 - BUCKET_BITS).cast("int")
     )
 
 
-def stratified_split(
+def split_points(
     df: DataFrame, label: str = "label", key: str = "row_id", test: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """Add ``split``: exactly ``round(test * count)`` rows of every class are 'test'.
+    """(label, quota, _cut_h, _cut_key): the last row of every class, in its random order, that is a test row.
 
-    Ranking a whole class in one window would put it in one task.  Counts per (class, bucket) tell in
-    which bucket the quota ends; only that bucket, 1/65536 of a class, is ranked.
+    Found by radix: counts per (class, 2^16 buckets of the hash) say in which bucket the quota ends, and only the keys of
+    that bucket, 1/65536 of a class, are put in order.  Rows themselves are never moved. Classes without a test row have
+    nulls.
     """
-    rows = _shuffled(df, key, seed)
-    by_class = Window.partitionBy(label)
+    rows = _shuffled(df.select(F.col(label).alias("label"), F.col(key).alias("key")), "key", seed)
+    by_class = Window.partitionBy("label")
     upto = by_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("c"))
+    counts = rows.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("c"))
     counts = counts.withColumn("after", F.sum("c").over(upto)).withColumn(
         "quota", F.round(F.sum("c").over(by_class) * F.lit(test)).cast("bigint")
     )
-    cuts = (
-        counts.where(F.col("after") > F.col("quota"))
-        .groupBy(label)
-        .agg(
-            F.min("_bucket").alias("_cut"),
-            F.min(F.struct("_bucket", (F.col("quota") - F.col("after") + F.col("c")).alias("need")))["need"].alias("_need"),
-        )
-    )
-    cuts = cuts.withColumnRenamed(label, "_label")
-    # One class may hold most rows: the bucket is part of the key, so they meet their cut spread over all buckets.
-    spread_cuts = counts.select(F.col(label).alias("_of"), F.col("_bucket").alias("_in")).join(
-        cuts, F.col("_of").eqNullSafe(F.col("_label"))
-    )
-    placed = rows.join(spread_cuts, F.col(label).eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in")), "left")
-    whole = placed.where(F.coalesce(F.col("_bucket") != F.col("_cut"), F.lit(True))).withColumn(
-        "split", F.when(F.col("_bucket") > F.col("_cut"), "train").otherwise("test")
+    # the quota ends in the one bucket where the count passes from below it to it or beyond
+    ends = counts.where((F.col("after") >= F.col("quota")) & (F.col("after") - F.col("c") < F.col("quota")))
+    ends = ends.select(
+        F.col("label").alias("of"), F.col("_bucket").alias("at"), "quota", (F.col("quota") - F.col("after") + F.col("c")).alias("need")
     )
-    in_bucket = Window.partitionBy("_label", "_bucket").orderBy("_h", key)
-    cut = (
-        placed.where(F.col("_bucket") == F.col("_cut"))
-        .withColumn("_rank", F.row_number().over(in_bucket))
-        .withColumn("split", F.when(F.col("_rank") <= F.col("_need"), "test").otherwise("train"))
-    )
-    keep = [*df.columns, "split"]
-    return whole.select(*keep).unionAll(cut.select(*keep))
+    found = rows.join(ends, F.col("label").eqNullSafe(F.col("of")) & (F.col("_bucket") == F.col("at")))
+    rank = F.row_number().over(Window.partitionBy("of").orderBy("_h", "key"))
+    last = found.withColumn("rank", rank).where(F.col("rank") == F.col("need"))
+    return last.select("label", "quota", F.col("_h").alias("_cut_h"), F.col("key").alias("_cut_key"))
+
+
+def stratified_split(
+    df: DataFrame, label: str = "label", key: str = "row_id", test: float = 0.2, seed: int = 42
+) -> DataFrame:
+    """Add ``split``: exactly ``round(test * count)`` rows of every class are 'test'.
+
+    The cut of each class is found first, by two narrow jobs over (label, key); then every row is compared with the cut of
+    its class where it stands.  Up to MOST_CLASSES cuts come to the driver and travel with the plan; a label with more
+    different values is joined by the planner's choice.  ``key`` must be unique.
+    """
+    cuts = split_points(df, label, key, test, seed).select(F.col("label").alias("_of"), "_cut_h", "_cut_key")
+    few = cuts.limit(MOST_CLASSES + 1).collect()
+    if len(few) <= MOST_CLASSES:
+        cuts = F.broadcast(df.sparkSession.createDataFrame(few, cuts.schema))
+    rows = df.withColumn("_h", _order(key, seed)).join(cuts, F.col(label).eqNullSafe(F.col("_of")), "left")
+    before = (F.col("_h") < F.col("_cut_h")) | ((F.col("_h") == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_key")))
+    split = F.when(F.coalesce(before, F.lit(False)), "test").otherwise("train")
+    return rows.withColumn("split", split).select(*df.columns, "split")
 
 
 def select_instances(df: DataFrame, positions: Sequence[int], key: str = "row_id", seed: int = 42) -> DataFrame:
@@ -80,7 +87,7 @@ def select_instances(df: DataFrame, positions: Sequence[int], key: str = "row_id
     total = df.count()
     bad = [p for p in positions if not 0 <= p < total]
     if bad:
-        raise ValueError(f"position {bad[0]} out of range (table has {total} rows)")
+        raise ValueError(f"no row stands at position {bad[0]}: the table ends at {total - 1}")
     # at most 2^BUCKET_BITS rows, whatever the table
     upto = Window.partitionBy(F.lit(1)).orderBy("_bucket")
     wanted = F.array(*[F.lit(int(p)).cast("bigint") for p in positions])
@@ -98,22 +105,17 @@ def select_instances(df: DataFrame, positions: Sequence[int], key: str = "row_id
 
 
 def train_black_box(
-    train: DataFrame, c: float = 1.0, max_iter: int = 10000, model_id: str = "logistic",
-    dataset: str | None = None,
+    train: DataFrame, c: float = 1.0, max_iter: int = 100, model_id: str = "logistic",
+    dataset: str | None = None, d: int | None = None,
 ) -> Model:
-    """L2 logistic regression on (x ARRAY<DOUBLE>, label).
-
-    ``regParam = 1 / (c n)`` turns "c * sum of losses + |w|^2 / 2" into Spark's mean-loss form.
-    """
-    n = train.count()
-    if n == 0:
-        raise ValueError("no training rows")
-    rows = train.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
-    fitted = LogisticRegression(
-        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, fitIntercept=True,
-        maxIter=max_iter, tol=1e-8, family="binomial",
-    ).fit(rows)
-    return Model(tuple(float(v) for v in fitted.coefficients), float(fitted.intercept), model_id, dataset)
+    """L2 logistic regression on (x ARRAY<DOUBLE>, label) by Newton's method; ``d`` is read from a row if not given."""
+    if d is None:
+        first = train.select(F.size("x").alias("d")).first()
+        if first is None:
+            raise ValueError("no training rows")
+        d = first.d
+    beta, _ = train_logistic(train, d, c, max_iter)
+    return Model(tuple(float(v) for v in beta[1:]), float(beta[0]), model_id, dataset)
 
 
 def accuracy(test: DataFrame, model: Model) -> DataFrame:

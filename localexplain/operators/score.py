@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from localexplain.functions import vectors
+from localexplain.functions.arrow import matrix
 from localexplain.functions.draws import double
-from localexplain.sources.models import Model
+from localexplain.sources.models import BatchModel, Model, scores_of
+
 
 def logit(vec: str, model: Model) -> Column:
     """``bias + w.vec``; short vectors are written out so that they stay in generated code."""
@@ -37,8 +39,23 @@ def batched_logit(vec: str, model: Model) -> Column:
     return matvec(F.col(vec))
 
 
-def score(samples: DataFrame, model: Model | Callable[[DataFrame], DataFrame], method: str = "custom") -> DataFrame:
-    """Add ``pred``.  ``model`` is a logistic Model or any function that adds the column itself."""
+def batch_score(vec: str, model: BatchModel, spark) -> Column:
+    """The scores of a black box that takes arrays, one call per Arrow batch."""
+    shared = model.shipped(spark)
+
+    @F.arrow_udf("double")
+    def predict(x: pa.Array) -> pa.Array:
+        return pa.array(scores_of(shared, matrix(x)) if len(x) else [], pa.float64())
+
+    return predict(F.col(vec))
+
+
+def score(
+    samples: DataFrame, model: Model | BatchModel | Callable[[DataFrame], DataFrame], method: str = "custom"
+) -> DataFrame:
+    """Add ``pred``.  ``model`` is a logistic Model, a BatchModel or any function that adds the column itself."""
+    if isinstance(model, BatchModel):
+        return samples.withColumn("pred", batch_score("x", model, samples.sparkSession))
     if not isinstance(model, Model):
         scored = model(samples)
         if "pred" not in scored.columns:
@@ -53,10 +70,12 @@ def score(samples: DataFrame, model: Model | Callable[[DataFrame], DataFrame], m
     return samples.withColumn("pred", logistic_link(value))
 
 
-def score_at_x0(instances: DataFrame, model: Model | Callable[[DataFrame], DataFrame]) -> DataFrame:
+def score_at_x0(instances: DataFrame, model: Model | BatchModel | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Add ``bb_x0``, the black-box score of the instance itself."""
     if isinstance(model, Model):
         return instances.withColumn("bb_x0", logistic_link(logit("x0", model)))
+    if isinstance(model, BatchModel):
+        return instances.withColumn("bb_x0", batch_score("x0", model, instances.sparkSession))
     return score(instances.withColumn("x", F.col("x0")), model).drop("x").withColumnRenamed("pred", "bb_x0")
 
 

@@ -12,16 +12,16 @@ from localexplain.operators.fit import fit
 from localexplain.operators.moments import perturbed_moments, sample_moments
 from localexplain.operators.perturb import SAMPLES_PER_TASK_ROW, UNROLLED_VECTOR, perturb, spread, unique_ids, wide_samples
 from localexplain.operators.score import check_width, score, score_at_x0, weigh
-from localexplain.sources.models import Model
+from localexplain.sources.models import BatchModel, Model
 
-BlackBox = Model | Callable[[DataFrame], DataFrame]
+BlackBox = Model | BatchModel | Callable[[DataFrame], DataFrame]
 REPLAY_SALTS = 16
 
 
 def check_setup(model: BlackBox, background, kernel_width: float) -> None:
     """What every plan asks of its parameters, whatever D, B and the kind of black box are."""
     check_width(kernel_width)
-    if isinstance(model, Model) and background is not None and len(background) != model.d:
+    if isinstance(model, Model | BatchModel) and background is not None and len(background) != model.d:
         raise ValueError(f"the model has {model.d} features, the background {len(background)}")
 
 
@@ -39,23 +39,24 @@ def scored_samples(
     partitions: int | None = None,
     chunk: int = SAMPLES_PER_TASK_ROW,
     keep_vectors: bool = True,
+    keys: tuple[str, ...] = ("instance_id",),
 ) -> DataFrame:
     """Samples with pred, dist and weight: perturbed here, or replayed when ``samples`` is given.
 
     ``keep_vectors=False`` leaves out x, z and x0 when only the scores are wanted.
     """
     check_setup(model, background, kernel_width)
-    if samples is None and isinstance(model, Model) and model.d > UNROLLED_VECTOR and method == "custom":
-        ranges = spread(instances, model.d, n_samples, partitions, chunk)
+    if samples is None and isinstance(model, Model | BatchModel) and model.d > UNROLLED_VECTOR and method == "custom":
+        ranges = spread(instances, model.d, n_samples, partitions, chunk, keys)
         return wide_samples(ranges, background, mask_prob, noise_std, seed, model, kernel_width, keep_vectors)
     if samples is None:
         samples = perturb(
             instances, background, n_samples, mask_prob, noise_std, seed,
-            partitions=partitions, chunk=chunk,
+            partitions=partitions, chunk=chunk, keys=keys,
         )
     else:
         samples = matched(with_instances(samples, instances))
-    d = model.d if isinstance(model, Model) else None if background is None else len(background)
+    d = model.d if isinstance(model, Model | BatchModel) else None if background is None else len(background)
     scored = weigh(score(samples, model, method), kernel_width, d)
     return scored if keep_vectors else scored.drop("x", "z", "x0")
 
@@ -97,12 +98,12 @@ def explain(
 ) -> DataFrame:
     """Attributions of every instance: one ``FITS`` row per instance and solver.
 
-    ``instance_id`` must be unique.  The built-in logistic model and generated samples take the
-    one-pass plan, which writes no sample down; any other black box, or replayed samples, go through
-    ``scored_samples``.
+    ``instance_id`` must be unique.  The built-in logistic model, black boxes that take arrays (``BatchModel``) and
+    generated samples take the one-pass plan, which writes no sample down; a black box on DataFrames, or replayed samples,
+    go through ``scored_samples``.
     """
     check_setup(model, background, kernel_width)
-    if samples is None and isinstance(model, Model):
+    if samples is None and isinstance(model, Model | BatchModel):
         sums = perturbed_moments(
             instances, model, background, n_samples, mask_prob, noise_std, kernel_width, seed,
             partitions, chunk,
@@ -113,7 +114,7 @@ def explain(
             at_x0, model, background, n_samples, mask_prob, noise_std, kernel_width, seed,
             samples=samples, partitions=partitions, chunk=chunk,
         )
-        if isinstance(model, Model):
+        if isinstance(model, Model | BatchModel):
             d = model.d
         elif background is not None:
             d = len(background)
@@ -132,6 +133,7 @@ def refit_samples(
     The draws are a function of the ids, so the samples are made again from the fit rows instead of
     being stored and joined.
     """
+    keys = ("instance_id", "solver") if "solver" in fits.columns else ("instance_id",)
     return scored_samples(
-        fits, model, background, n_samples, mask_prob, noise_std, kernel_width, seed, **spread
+        fits, model, background, n_samples, mask_prob, noise_std, kernel_width, seed, keys=keys, **spread
     )

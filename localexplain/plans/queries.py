@@ -8,14 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from localexplain.functions import names as nm
+from localexplain.functions import vectors
 from localexplain.functions.vectors import tidy
-from localexplain.operators import agree, fit, moments, perturb, prep, report, score, timings, validate
+from localexplain.operators import agree, fit, moments, perturb, prep, report, score, second_pass, timings, validate
+from localexplain.plans import compare
 from localexplain.plans import explain as ex
 from localexplain.plans.sweep import sweep_fidelity
+from localexplain.plans.workflow import evaluate, long_report
 from localexplain.sources import logs, models, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +204,20 @@ def explain_network(spark, sf):
     return rounded(rows, "coefficient", "intercept", "r2")
 
 
+def three_units(x: np.ndarray) -> np.ndarray:
+    """A shallow network on arrays: three tanh units with small whole weights, then a logistic one."""
+    i = np.arange(x.shape[1])
+    hidden = [np.tanh(x @ (((i * (j + 2)) % 7 - 3) / 20) + 0.1 * j) for j in range(3)]
+    return 1 / (1 + np.exp(-(hidden[0] - 0.5 * hidden[1] + 0.25 * hidden[2])))
+
+
+@query
+def explain_batch_network(spark, sf):
+    """A black box that takes arrays, on 64 features, in the one-pass plan."""
+    inst, _, bg = embeddings(spark, sf)
+    return long_coefficients(ex.explain(inst, models.BatchModel(three_units, 64, "network"), bg, n_samples=200))
+
+
 @query
 def replay_scores(spark, sf):
     inst, model, bg = parts(spark, sf)
@@ -381,6 +399,15 @@ def weighted_r2_norm(spark, sf):
     return _predicted(spark, sf, True)
 
 
+@query
+def weighted_r2_wide(spark, sf):
+    """The same figure for 64 features, from samples that are never columns."""
+    inst, model, bg = embeddings(spark, sf)
+    fits = ex.explain(inst, model, bg, n_samples=200)
+    out = second_pass.refit_r2(fits, model, bg, n_samples=200)
+    return rounded(out.drop("solver"), "r2", "sum_weights")
+
+
 @query
 def surrogate_predictions(spark, sf):
     inst, model, bg = parts(spark, sf)
@@ -421,9 +448,15 @@ def ablation_curve(spark, sf):
     return rounded(out.drop("solver"), "wmae")
 
 
-# --- agreement --------------------------------------------------------------------------------
+@query
+def ablation_wide(spark, sf):
+    inst, model, bg = embeddings(spark, sf)
+    fits = ex.explain(inst, model, bg, n_samples=200)
+    out = report.ablation_curve(fits, model, bg, 20, include_intercept=True, n_samples=200)
+    return rounded(out.drop("solver"), "wmae")
 
 
+# --- agreement --------------------------------------------------------------------------------
 
 
 AGREEMENT = ["cosine", "spearman", "overlap", "max_abs_delta", "intercept_delta", "r2_delta", "x0_delta"]
@@ -442,8 +475,16 @@ def compare_solvers(spark, sf):
 def compare_seeds(spark, sf):
     """Do two sample draws rank the features of an order line alike?"""
     inst, model, bg = lines(spark, sf)
-    fits = {f"seed {s}": ex.explain(inst, model, bg, n_samples=32, seed=s) for s in (1234, 42)}
-    return rounded(agree.compare_pairs(tables.load_fits(fits), list(fits), k=2), *AGREEMENT)
+    seeds = {f"seed {s}": s for s in (1234, 42)}
+    return rounded(compare.compare_seeds(inst, model, bg, seeds, k=2, n_samples=32), *AGREEMENT)
+
+
+@query
+def compare_seeds_wide(spark, sf):
+    """Three draws of 64 features."""
+    inst, model, bg = embeddings(spark, sf)
+    seeds = {f"seed {s}": s for s in (1234, 42, 7)}
+    return rounded(compare.compare_seeds(inst, model, bg, seeds, n_samples=200), *AGREEMENT)
 
 
 @query
@@ -629,15 +670,40 @@ def vector_summary(spark, sf):
     return rounded(out, "min", "max", "mean")
 
 
-def _trained(spark, sf):
-    rows = read(spark, sf, "embeddings").selectExpr(
-        "vec_id AS row_id", "transform(embedding, v -> double(v)) AS x", "int(label = 0) AS label"
-    )
+def _divided(spark, sf, vector="transform(embedding, v -> double(v))"):
+    """Training and test rows (row_id, x, label): the first class against the rest."""
+    rows = read(spark, sf, "embeddings").selectExpr("vec_id AS row_id", f"{vector} AS x", "int(label = 0) AS label")
     split = prep.stratified_split(rows)
-    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    return split.where("split = 'train'"), split.where("split = 'test'")
+
+
+def _trained(spark, sf):
+    train, test = _divided(spark, sf)
     return prep.train_black_box(train.select("x", "label")), train, test
 
 
+FEW = "transform(slice(embedding, 1, 4), v -> double(v))"
+
+
+@query
+def trained_weights(spark, sf):
+    """Intercept (feature -1) and weights of the black box on four features, at a weak and a strong penalty."""
+    train, _ = _divided(spark, sf, FEW)
+    parts = []
+    for c in (1.0, 0.01):
+        model = prep.train_black_box(train, c)
+        cells = spark.range(1).select(F.posexplode(vectors.literal([model.bias, *model.w])).alias("i", "weight"))
+        parts.append(cells.select(F.lit(c).alias("c"), (F.col("i") - 1).alias("feature_idx"), "weight"))
+    return rounded(parts[0].unionAll(parts[1]), "weight")
+
+
+@query
+def evaluate_trained(spark, sf):
+    """The whole workflow on a trained model: three solvers from one set of sums, pairs, consistency, ablation."""
+    train, test = _divided(spark, sf, FEW)
+    return rounded(long_report(evaluate(train, test, k=2, limit=0.001, n_samples=64)), "value")
+
+
 @query
 def black_box_accuracy(spark, sf):
     model, _, test = _trained(spark, sf)

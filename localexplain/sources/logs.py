@@ -51,7 +51,7 @@ def number_lines(lines: DataFrame, order: str = "line_no", per_chunk: int = LINE
 def write_timings(merged: DataFrame, path: str) -> None:
     """CSV with header, sorted by (D, B); blanks where a device is missing; nothing to write is an error."""
     if merged.isEmpty():
-        raise ValueError("no timing entries found")
+        raise ValueError("the table of timings is empty")
     merged.orderBy("D", "B").write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark import Broadcast
+from pyspark.serializers import CPickleSerializer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,55 @@ class Model:
         return len(self.w)
 
 
+MOST_MODEL_BYTES = 64 << 20
+
+
+@dataclass(frozen=True)
+class BatchModel:
+    """Any black box as a function from an array of rows (n, D) to n scores.
+
+    It runs on Arrow blocks inside the tasks that draw the samples, so explanations keep their one-pass plan.  What the
+    function carries (a network's weights, a forest) is broadcast once; it must stay below ``MOST_MODEL_BYTES``.
+    """
+
+    predict: Callable[[np.ndarray], np.ndarray]
+    d: int
+    model_id: str = "batch"
+
+    def shipped(self, spark: SparkSession) -> Shipped:
+        packed = CPickleSerializer().dumps(self.predict)
+        if len(packed) > MOST_MODEL_BYTES:
+            raise ValueError(f"{self.model_id} takes {len(packed)} bytes, more than the {MOST_MODEL_BYTES} that are broadcast")
+        return Shipped(spark.sparkContext.broadcast(packed))
+
+
+class Shipped:
+    """A broadcast function, unpacked once in each task that calls it."""
+
+    def __init__(self, packed: Broadcast):
+        self.packed, self.function = packed, None
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        if self.function is None:
+            self.function = CPickleSerializer().loads(self.packed.value)
+        return self.function(rows)
+
+    def __getstate__(self) -> Broadcast:
+        return self.packed
+
+    def __setstate__(self, packed: Broadcast) -> None:
+        self.packed, self.function = packed, None
+
+
+def scores_of(predict: Callable[[np.ndarray], np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The scores of the last axis of x, one finite or non-finite number for each row; another shape is an error."""
+    rows = x.reshape(-1, x.shape[-1])
+    y = np.asarray(predict(rows), dtype=float)
+    if y.shape != (len(rows),):
+        raise ValueError(f"the black box gave an array of shape {y.shape} for {len(rows)} rows")
+    return y.reshape(x.shape[:-1])
+
+
 def synthetic_model(d: int) -> Model:
     # Fixed values of the synthetic parameters: W[i] = 0.02 (i + 1), bias = -1.
     return Model(tuple(0.02 * (i + 1) for i in range(d)), -1.0, "synthetic")

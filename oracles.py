@@ -219,10 +219,10 @@ def solved(d, ridge=1e-3, pre="") -> str:
     )
 
 
-def conjugate(d, ridge=1e-3, steps=200, pre="") -> str:
-    """CTEs for beta by conjugate gradients, which only carry vectors; for many features."""
+def conjugate(d, ridge=1e-3, steps=200, pre="", free=0) -> str:
+    """CTEs for beta by conjugate gradients, which only carry vectors; for many features. ``free``: entry without ridge."""
     n = d + 1
-    ap = f"list_transform(a, lambda r, i: list_inner_product(r, p) + {ridge!r} * p[i])"
+    ap = f"list_transform(a, lambda r, i: list_inner_product(r, p) + CASE WHEN i = {free} THEN 0 ELSE {ridge!r} * p[i] END)"
     return (
         f"{pre}eli AS (SELECT id, 0 AS k, {_list(['0.0::DOUBLE'] * n)} AS beta, b AS r, b AS p, list_inner_product(b, b) AS rr "
         f"FROM {pre}sys UNION ALL SELECT id, k + 1, beta, r, list_transform(r, lambda v, i: v + nn / rr * p[i]), nn FROM ("
@@ -306,6 +306,35 @@ def rnd(expr, digits=6):
     return f"round({expr}, {digits}) + 0.0"
 
 
+def trained(d, c=1.0, steps=12, pre="") -> str:
+    """CTE tra (b: intercept and weights) of the logistic model on the rows trn (row_id, y, x), by reweighted least squares."""
+    start = (
+        f"{pre}xte AS MATERIALIZED (SELECT row_id, y, list_prepend(1.0::DOUBLE, x) AS xt FROM trn), "
+        f"{pre}n0_bet AS (SELECT 1 AS id, {_list(['0.0::DOUBLE'] * (d + 1))} AS beta)"
+    )
+    parts = [start]
+    for k in range(1, steps + 1):
+        p = f"{pre}n{k}_"
+        parts += [
+            f"{p}zed AS MATERIALIZED (SELECT 1 AS id, row_id AS s, xt, 0 AS bb, v * (1 - v) AS weight, z + (y - v) / (v * (1 - v)) AS pred "
+            f"FROM (SELECT *, 1 / (1 + exp(-z)) AS v FROM (SELECT *, list_inner_product(xt, beta) AS z FROM {pre}xte, {pre}n{k - 1}_bet)))",
+            wide_system(d, p), wide_rows(p), conjugate(d, 1.0 / c, pre=p, free=1),
+        ]
+    return ", ".join([*parts, f"{pre}tra AS MATERIALIZED (SELECT beta AS b FROM {pre}n{steps}_bet)"])
+
+
+def ablated(d, points, intercept=False, pre="") -> str:
+    """CTEs for the ablation curve of ``fit``: rows (id, k, wmae) in abl."""
+    first = _sum("coeff[{i}] * x[{i}]", d) + (" + intercept" if intercept else "")
+    return (
+        f"{pre}rnk AS MATERIALIZED (SELECT id, list(idx ORDER BY rank) AS ord FROM ({ranked(pre + 'fit', d)}) GROUP BY id), "
+        f"{pre}abr AS (SELECT {pre}prd.*, ord, {first} AS p0 FROM {pre}prd JOIN {pre}rnk USING (id)), "
+        f"{pre}stp AS (SELECT id, weight, pred, unnest(range(0, {points + 1})) AS k, p0, list_prepend(0.0::DOUBLE, list_transform(ord, "
+        f"lambda i: coeff[i + 1] * (mean[i + 1] - x[i + 1]))) AS d FROM {pre}abr), "
+        f"{pre}abl AS (SELECT id, k, sum(weight * abs(p0 + list_sum(d[1:k + 1]) - pred)) / sum(weight) AS wmae FROM {pre}stp GROUP BY id, k)"
+    )
+
+
 def ranked(source="fit", d=4, extra=""):
     """Features of every fit with their rank by falling |coefficient|."""
     return (
@@ -794,3 +823,78 @@ _made = "SELECT p_partkey, ['mean ', 'worst ', '', 'mean '][p_partkey % 4 + 1] |
 ORACLES["display_names"] = (
     f"SELECT p_partkey, feature, {group_of('feature')} AS \"group\", {label_of('feature')} AS label FROM ({_made})"
 )
+
+
+# the trained black box
+def divided(vector: str) -> str:
+    """CTEs trn and tst (row_id, x, y): the first class against the rest."""
+    table = f"SELECT vec_id AS row_id, {vector} AS x, (label = 0)::INTEGER AS label FROM embeddings"
+    return (
+        f"spl AS MATERIALIZED ({split_sql(table)}), trn AS (SELECT row_id, x, label AS y FROM spl WHERE split = 'train'), "
+        "tst AS (SELECT row_id, x, label AS y FROM spl WHERE split = 'test')"
+    )
+
+
+_ALL, _FEW = "embedding::DOUBLE[]", "embedding[1:4]::DOUBLE[]"
+_SCORE = "1 / (1 + exp(-((SELECT b[1] FROM tra) + list_inner_product({v}, (SELECT b[2:] FROM tra)))))"
+INSTANCES["tested"] = (64, "SELECT row_id AS id, x AS x0 FROM tst")
+INSTANCES["tested_few"] = (4, "SELECT row_id AS id, x AS x0 FROM tst")
+
+
+def _means(d):
+    return "SELECT " + _list(f"round(avg(x[{i}]), 9)" for i in range(1, d + 1)) + " AS m FROM trn"
+
+
+ORACLES["trained_weights"] = (
+    W + divided(_FEW) + ", " + trained(4) + ", " + trained(4, 0.01, pre="q_") + " " + " UNION ALL ".join(
+        f"SELECT {c!r}::DOUBLE AS c, (f - 2)::INTEGER AS feature_idx, {rnd('b[f]')} AS weight FROM (SELECT *, unnest(range(1, 6)) AS f FROM {pre}tra)"
+        for c, pre in ((1.0, ""), (0.01, "q_"))
+    )
+)
+ORACLES["black_box_accuracy"] = (
+    W + divided(_ALL) + ", " + trained(64) + " SELECT avg((((SELECT b[1] FROM tra) + list_inner_product(x, (SELECT b[2:] FROM tra)) > 0)"
+    "::INTEGER = y)::INTEGER)::DOUBLE AS accuracy, count(*) AS n FROM tst"
+)
+ORACLES["explain_trained"] = (
+    W + divided(_ALL) + ", " + trained(64) + ", " + explained("tested", 200, wide=True, pred=_SCORE, background=_means(64))
+    + f" SELECT id AS instance_id, rank::INTEGER AS rank, idx::INTEGER AS feature_idx, 'feature_' || idx AS feature, {rnd('c')} AS coefficient "
+    f"FROM ({ranked(d=64)}) WHERE rank <= 10"
+)
+_parts = [divided(_FEW), trained(4), samples("tested_few", 64, pred=_SCORE, background=_means(4)), standardized(4), system(4)]
+for _tag, _solve in (("c_", solved), ("g_", descended), ("a_", adam)):
+    _parts += [f"{_tag}{t} AS (SELECT * FROM {t})" for t in ("smp", "sta", "sys")]
+    _parts += [_solve(4, pre=_tag), fitted(4, _tag, _tag == "a_"), ablated(4, 4, pre=_tag)]
+_solvers = {"c_": "cholesky", "g_": "gd", "a_": "adam"}
+_rows = []
+for _tag, _name in _solvers.items():
+    for _part, _value in (("r2", "r2"), ("delta", "abs(surr_x0 - bb)"), ("pass", "(abs(surr_x0 - bb) < 0.001)::INTEGER::DOUBLE")):
+        _rows.append(f"SELECT id AS instance_id, '{_part}' AS part, '{_name}' AS subject, NULL::INTEGER AS k, {rnd(_value)} AS value FROM {_tag}fit")
+    _rows.append(f"SELECT id, 'wmae', '{_name}', k::INTEGER, {rnd('wmae')} FROM {_tag}abl")
+for _p, _q in (("c_", "g_"), ("c_", "a_"), ("g_", "a_")):
+    _two = pair(f"{_p}fit", f"{_q}fit", 4, 2, _solvers[_p], _solvers[_q])
+    for _part in ("cosine", "spearman", "overlap"):
+        _rows.append(f"SELECT instance_id, '{_part}', source_a || '-' || source_b, NULL::INTEGER, {_part} FROM ({_two})")
+ORACLES["evaluate_trained"] = W + ", ".join(_parts) + " " + " UNION ALL ".join(_rows)
+
+# wide second pass, black boxes on arrays
+ORACLES["weighted_r2_wide"] = (
+    W + explained("embeddings", 200, wide=True) + f" SELECT id AS instance_id, {rnd('r2')} AS r2, {rnd('sw')} AS sum_weights FROM fit"
+)
+ORACLES["ablation_wide"] = (
+    W + explained("embeddings", 200, wide=True) + ", " + ablated(64, 20, intercept=True)
+    + f" SELECT id AS instance_id, k::INTEGER AS k, {rnd('wmae')} AS wmae FROM abl"
+)
+_hidden = [
+    "tanh(list_inner_product({v}, " + _list(f"{((i * (j + 2)) % 7 - 3) / 20!r}::DOUBLE" for i in range(64)) + f") + {0.1 * j!r})" for j in range(3)
+]
+ORACLES["explain_batch_network"] = (
+    W + explained("embeddings", 200, wide=True, pred=f"1 / (1 + exp(-({_hidden[0]} - 0.5 * {_hidden[1]} + 0.25 * {_hidden[2]})))")
+    + coefficients(64, "cholesky")
+)
+_tags = {"seed 1234": ("p_", 1234), "seed 42": ("q_", 42), "seed 7": ("r_", 7)}
+ORACLES["compare_seeds_wide"] = (
+    W + ", ".join(explained("embeddings", 200, wide=True, seed=seed, pre=pre) for pre, seed in _tags.values()) + " " + " UNION ALL ".join(
+        pair(f"{_tags[a][0]}fit", f"{_tags[b][0]}fit", 64, 10, a, b)
+        for a, b in (("seed 1234", "seed 42"), ("seed 1234", "seed 7"), ("seed 42", "seed 7"))
+    )
+)

@@ -17,7 +17,7 @@ from localexplain.plans import queries as q
 from localexplain.sources import models
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-WITHOUT_SQL = {"black_box_accuracy", "explain_trained"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")

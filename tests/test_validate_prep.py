@@ -96,7 +96,7 @@ def test_select_instances(spark):
     some = {r.position: r.row_id for r in prep.select_instances(rows, [0, 30, 999]).collect()}
     assert some == {p: at[p] for p in (0, 30, 999)}
     for bad in (1000, -1):
-        with pytest.raises(ValueError, match="out of range"):
+        with pytest.raises(ValueError, match="no row stands at"):
             prep.select_instances(rows, [bad])
 
 
