@@ -434,9 +434,12 @@ def cut_texts(docs: DataFrame, length: int = 50) -> DataFrame:
     """The rows of docs with repeated_spans() cut out of text, and n_chars (if there) of the new text.
 
     A cut may split a character; the bytes that are left of it are dropped. Rows without cuts keep their text, null too.
+    Rows without a doc_id are not cut. Columns may have any name; an empty table stays empty.
     """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    null = "text is null"  # not among the columns of any sane table
+    null = "text is null"
+    while null in docs.columns:
+        null += "?"
     found = repeated_spans(docs.withColumn(null, F.col("text").isNull()), length, (*rest, null))
     names = ["c0", *(f"c{i + 1}" for i in range(len(rest)))]
 
