@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from localexplain.llm import exact
+from localexplain.llm.exact import bounded
 from localexplain.llm.search import best, distinct_vectors, search, usable
 
 SHARD_ROWS = 4096
@@ -74,20 +76,20 @@ class CoverTree:
             at += len(group)
 
 
-def dual_top_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-    """(positions, scores) of the k best points for each query, best first, ties to smaller ids; and work done.
+def dual_top_k(queries: np.ndarray, p_tree: CoverTree, k: int) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """(positions, scores) of the k best points of a tree for each query, best first, ties to earlier points; and work done.
 
-    points must stand in order of their ids. Positions are -1 where there are fewer than k points.
+    Scores are whole numbers without rounding: int64, or Python's integers where products are too large for it. Positions
+    are -1 where there are fewer than k points.
     """
-    q_tree, p_tree = CoverTree(queries, QUERY_LEAF_ROWS), CoverTree(points)
+    q_tree, points = CoverTree(queries, QUERY_LEAF_ROWS), p_tree.points
     positions = np.full((len(queries), k), -1, np.int64)
-    scores = np.full((len(queries), k), -np.inf)
     work = {"pairs": len(queries) * len(points), "products": 0}
+    # Lower than any product of vectors whose components are finite doubles.
+    none = -(2**62) if bounded(queries, points) else -(2**2100)
+    scores = np.full((len(queries), k), none, np.int64 if none == -(2**62) else object)
     if not len(queries) or not len(points):
         return positions, scores, work
-    # Products of whole numbers are exact in doubles up to 2^53; beyond, Python's integers do the sums.
-    limit = np.abs(queries).max(initial=0) * np.abs(points).max(initial=0) * max(1, points.shape[1])
-    exact = limit < 2**53
 
     def most(a: Node, b: Node) -> float:
         value = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
@@ -95,7 +97,8 @@ def dual_top_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int)
 
     def products(a: Node, b: Node) -> None:
         q, p = q_tree.sorted[a.lo : a.hi], p_tree.sorted[b.lo : b.hi]
-        new = q @ p.T if exact else (q.astype(object) @ p.T.astype(object)).astype(float)
+        new = exact.products(q, p)
+        new = new if new.dtype == scores.dtype else new.astype(scores.dtype)
         work["products"] += new.size
         mine = slice(a.lo, a.hi)
         rows = np.flatnonzero(new.max(1) >= scores[mine, -1])
@@ -104,7 +107,9 @@ def dual_top_k(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int)
         where = np.broadcast_to(p_tree.order[b.lo : b.hi], new.shape)[rows]
         all_scores = np.concatenate((scores[mine][rows], new[rows]), axis=1)
         all_places = np.concatenate((positions[mine][rows], where), axis=1)
-        first = np.lexsort((np.where(all_places < 0, len(points), all_places), -all_scores))[:, :k]
+        by_place = np.argsort(np.where(all_places < 0, len(points), all_places), axis=1, kind="stable")
+        by_score = np.argsort(-np.take_along_axis(all_scores, by_place, 1), axis=1, kind="stable")[:, :k]
+        first = np.take_along_axis(by_place, by_score, 1)
         scores[a.lo + rows] = np.take_along_axis(all_scores, first, 1)
         positions[a.lo + rows] = np.take_along_axis(all_places, first, 1)
 
@@ -128,17 +133,13 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, shard_rows: int = SHARD_
     """query_id, rank, vec_id, score: for rows whose vec_id is divisible by `every`, the k rows with the largest integer
     inner product, among all rows with another vec_id; ties go to the smaller vec_id, all rows if there are fewer.
 
-    Components become floor(256 * x). Vectors that are null or hold null or non-finite components, and null ids, take no
+    Components become floor(256 * x), scores are exact at any size; one that a long can't hold is an error. Vectors that are null or hold null or non-finite components, and null ids, take no
     part. Equal rows count once; rows of one vec_id with different vectors are candidates each, but never for each other.
     Vectors of different lengths are not compared. Extra columns are ignored; empty tables give no rows.
     """
-    whole = usable(rows).withColumn("v", F.transform("v", lambda x: F.floor(x * 256).cast("double")))
+    whole = usable(rows).withColumn("v", exact.whole(F.col("v")))
     queries = whole.filter(F.col("vec_id") % every == 0).distinct()
 
-    def match(q: np.ndarray, p: np.ndarray, ids: np.ndarray):
-        at, scores, _ = dual_top_k(q, p, ids, k + 1)
-        return at, np.where(at < 0, 0, scores).astype(np.int64)
-
     index = distinct_vectors(whole, k + 1)
-    found = search(index, queries, k, shard_rows, shard_rows, match, "bigint", True)
+    found = search(index, queries, k, shard_rows, shard_rows, CoverTree, lambda tree, q: dual_top_k(q, tree, k + 1)[:2], "bigint", True)
     return best(found.distinct(), k, F.col("score").desc())

@@ -15,6 +15,11 @@ def whole(v: Column, factor: int = 256) -> Column:
     return F.transform(v, lambda x: F.when(F.abs(x) < 2.0**44, F.floor(x * factor).cast("double")).otherwise(x * factor))
 
 
+def bounded(q: np.ndarray, p: np.ndarray) -> bool:
+    """Whether no sum of products of these vectors leaves 62 bits."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * max(1, q.shape[1]) < 2**62
+
+
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """q @ p.T of whole doubles, exact: as int64 where no partial sum can leave 62 bits, else as Python's integers."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * max(1, q.shape[1])

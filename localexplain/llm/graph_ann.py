@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from localexplain.llm.search import best, distinct_vectors, search, usable
+from localexplain.llm.search import best, distinct_vectors, magnitude, search, usable
 
 SHARD_ROWS = 8192
 DEGREE = 24
@@ -20,14 +20,29 @@ BUILD_BEAM = 40
 QUERY_BEAM = 80
 RELAX = 1.2
 BATCH = 256
-SINGLE_LIMIT = 1e15  # larger components than this need double precision, or their squares are infinite
+
+
+def distances(p: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of p from v in double precision, from differences, without overflow of squares."""
+    far = p - v
+    top = float(np.abs(far).max(initial=0))
+    if top < 1e150 and (top > 1e-140 or top == 0):
+        return np.sqrt((far * far).sum(1))
+    power = 2.0 ** -np.frexp(top)[1]  # exact
+    return np.sqrt(((far * power) ** 2).sum(1)) / power
 
 
 class Graph:
-    """Edges of each point, -1 where there are fewer than the width (twice the degree; longer lists are pruned)."""
+    """Edges of each point, -1 where there are fewer than the width (twice the degree; longer lists are pruned).
+
+    Points are seen from their median and in units of the farthest component from it, so squared norms neither cancel nor
+    overflow wherever the points lie.
+    """
 
-    def __init__(self, points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX, seed: int = 11, kind: type = np.float32):
-        self.x = points.astype(kind)
+    def __init__(self, points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX, seed: int = 11):
+        self.centre = np.median(points, axis=0) if len(points) else np.zeros(points.shape[1])
+        self.unit = float(np.abs(points / 2 - self.centre / 2).max(initial=0)) or 1.0
+        self.x = self.seen_from_centre(points)
         self.norms = np.einsum("ij,ij->i", self.x, self.x)
         n = len(points)
         self.degree, self.width = degree, 2 * degree
@@ -43,6 +58,10 @@ class Graph:
             for lo in range(0, n, BATCH):
                 self._improve(order[lo : lo + BATCH], beam, a)
 
+    def seen_from_centre(self, vectors: np.ndarray) -> np.ndarray:
+        """Halves, as a difference may be twice the largest double; a far query is cut off at a distance no point has."""
+        return np.clip((vectors / 2 - self.centre / 2) / self.unit, -1e100, 1e100)
+
     def _squares(self, vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of vectors (b, d) to points ids (b, m)."""
         dots = np.matmul(self.x[ids], vectors[:, :, None])[:, :, 0]
@@ -51,7 +70,6 @@ class Graph:
     def walk(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Greedy beam search of many vectors at once: (ids, squared distances) of the beam, nearest first, -1 at its end."""
         b, rows = len(vectors), np.arange(len(vectors))
-        vectors = vectors.astype(self.x.dtype)
         norms = np.einsum("ij,ij->i", vectors, vectors)
         ids = np.full((b, beam), -1, np.int64)
         far = np.full((b, beam), np.inf, self.x.dtype)
@@ -142,7 +160,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SH
     """query_id, rank, vec_id, score: for rows whose vec_id is divisible by `every` the k nearest rows found, by Euclidean
     distance in double precision, among all rows with another vec_id; ties go to the smaller vec_id.
 
-    Every row is in the graph of its shard. Vectors that are null, zero or hold null or non-finite components, and null
+    Every row is in the graph of its shard; a shard holds vectors of like magnitude, and its graph is built once. Vectors that are null, zero or hold null or non-finite components, and null
     ids, take no part. Equal vectors are one point of the graph with all the ids that a result can need. Vectors of
     different lengths are not compared. A shard with at most `beam` points is searched whole, so results are complete
     where there are few rows. Extra columns are ignored; empty tables give no rows.
@@ -150,17 +168,20 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SH
     whole = usable(rows).filter(F.exists("v", lambda x: x != 0))
     queries = whole.filter(F.col("vec_id") % every == 0).distinct()
 
-    def match(q: np.ndarray, p: np.ndarray, ids: np.ndarray):
-        if len(p) <= beam:
+    def prepare(p: np.ndarray) -> tuple[np.ndarray, Graph | None]:
+        return p, Graph(p) if len(p) > beam else None
+
+    def match(prepared: tuple[np.ndarray, Graph | None], q: np.ndarray):
+        p, graph = prepared
+        if graph is None:
             at = np.broadcast_to(np.arange(len(p)), (len(q), len(p)))
         else:
-            graph = Graph(p, kind=np.float64 if max(np.abs(p).max(), np.abs(q).max()) > SINGLE_LIMIT else np.float32)
-            at = np.concatenate([graph.walk(q[lo : lo + BATCH], beam)[0] for lo in range(0, len(q), BATCH)])
-        scores = np.stack([np.sqrt(((p[a] - v) ** 2).sum(1)) for a, v in zip(at, q)])
+            at = np.concatenate([graph.walk(graph.seen_from_centre(q[lo : lo + BATCH]), beam)[0] for lo in range(0, len(q), BATCH)])
+        scores = np.stack([distances(p[a], v) for a, v in zip(at, q)])
         scores = np.where(at < 0, np.inf, scores)
         order = np.lexsort((np.where(at < 0, len(p), at), scores))[:, : k + 1]
         return np.take_along_axis(at, order, 1), np.take_along_axis(scores, order, 1)
 
     index = distinct_vectors(whole, k + 1)
-    found = search(index, queries, k, shard_rows, shard_rows, match, "double", False)
+    found = search(index, queries, k, shard_rows, shard_rows, prepare, match, "double", False, magnitude(F.col("v")))
     return best(found.distinct(), k, F.col("score"))

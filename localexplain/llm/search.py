@@ -1,16 +1,21 @@
-"""What the vector searches share: usable vectors, distinct vectors, shards against blocks of queries, best rows."""
+"""What the vector searches share: usable vectors, distinct vectors, shards that read queries block by block, best rows."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Matcher = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+from localexplain.llm.exact import as_long
+
+Prepare = Callable[[np.ndarray], Any]
+Match = Callable[[Any, np.ndarray], tuple[np.ndarray, np.ndarray]]
+BLOCKS_PER_TASK = 64
 
 
 def usable(rows: DataFrame, *more: Column) -> DataFrame:
@@ -42,53 +47,85 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return whole.flatten().to_numpy().reshape(len(whole), -1)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, shard_rows: int, block_rows: int, match: Matcher, score: str, first_is_high: bool) -> DataFrame:
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each run of rows with equal keys, in the order they come; one run is held at a time."""
+    current, pieces = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+        for begin, end in zip(cuts, cuts[1:]):
+            key = tuple(at[begin].tolist())
+            if pieces and key != current:
+                yield current, pa.Table.from_batches(pieces)
+                pieces = []
+            current = key
+            pieces.append(batch.slice(begin, end - begin))
+    if pieces:
+        yield current, pa.Table.from_batches(pieces)
+
+
+def magnitude(v: Column) -> Column:
+    """A number that vectors share whose largest components are within a factor of 2^32 or so; there are some 70 of them."""
+    return F.coalesce(F.floor(F.log2(F.array_max(F.transform(v, F.abs))) / 32), F.lit(0)).cast("int")
+
+
+def search(
+    index: DataFrame, queries: DataFrame, k: int, shard_rows: int, block_rows: int, prepare: Prepare, match: Match, score: str,
+    first_is_high: bool, band: Column | None = None,
+) -> DataFrame:
     """(query_id, vec_id, score): in every shard of the index the best k rows of every query.
 
-    index is (v, ids) as distinct_vectors() makes it, queries (vec_id, v). Shards and blocks of queries hold a bounded
-    number of rows each, all pairs of shard and block are tasks of their own, and vectors only meet vectors of their
-    length. match(query vectors, index vectors, smallest ids) gives for a block of queries the positions and scores of
-    the k + 1 best index vectors each (position -1: none), best first.
+    index is (v, ids) as distinct_vectors() makes it, queries (vec_id, v). Shards hold shard_rows vectors of one length and
+    one band (an int of the vector with few values) each. A task reads a shard, prepares it once and then takes the queries
+    in blocks of block_rows, one block at a time; index rows are moved again only for each BLOCKS_PER_TASK blocks.
+    match(prepared, query vectors) gives for a block of queries the positions and scores of the k + 1 best index vectors
+    each (position -1: none), best first; positions are in order of the vectors' smallest ids.
     """
     rows, asked = index.count(), queries.count()
     shards, blocks = max(1, math.ceil(rows / shard_rows)), max(1, math.ceil(asked / block_rows))
+    groups = math.ceil(blocks / BLOCKS_PER_TASK)
 
     def dealt(column: Column, n: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     size = F.size("v").alias("size")
-    left = index.select("v", "ids", size, dealt(F.col("v"), shards).alias("shard"), numbers(blocks).alias("block"))
-    right = queries.select("vec_id", "v", size, dealt(F.col("vec_id"), blocks).alias("block"), numbers(shards).alias("shard"))
+    left = index.select("v", "ids", size, (F.lit(0) if band is None else band).alias("band"), dealt(F.col("v"), shards).alias("shard"))
+    bands = [r.band for r in left.select("band").distinct().collect()] if band is not None else [0]
+    left = left.select("*", numbers(groups).alias("group"), F.lit(0).alias("tag"), F.lit(-1).alias("block"), F.lit(0).cast("bigint").alias("id"))
+    right = queries.select("vec_id", "v", size, dealt(F.col("vec_id"), blocks).alias("block"))
+    right = right.select("*", F.explode(F.array(*map(F.lit, bands or [0]))).alias("band"), (F.col("block") % groups).alias("group"))
+    right = right.select("*", numbers(shards).alias("shard"))
+    columns = ["size", "band", "shard", "group", "tag", "block", "id", "ids", "v"]
+    right = right.withColumns({"tag": F.lit(1), "id": F.col("vec_id"), "ids": F.lit(None).cast("array<bigint>")})
     kind = pa.int64() if score == "bigint" else pa.float64()
-
-    def cell(points: pa.Table, asks: pa.Table) -> pa.Table:
-        empty = [[], [], []]
-        if points.num_rows and asks.num_rows:
-            ids = points.column("ids").combine_chunks()
-            begin, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            order = np.argsort(flat[begin[:-1]], kind="stable")
-            vectors, least = matrix(points.column("v"))[order], flat[begin[:-1]][order]
-            queries_of = asks.column("vec_id").to_numpy()
-            at, scores = match(matrix(asks.column("v")), vectors, least)[:2]
+    keys = columns[:6]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, members, prepared = None, [], None
+        for key, table in runs(batches, keys):
+            if key[4] == 0:
+                ids = table.column("ids").to_pylist()
+                order = np.argsort(np.array([i[0] for i in ids], np.int64), kind="stable")
+                shard, members = key[:4], [ids[o] for o in order.tolist()]
+                prepared = prepare(matrix(table.column("v"))[order])
+                continue
+            if key[:4] != shard:
+                continue  # no vector of this length, band and shard
             out: list[list] = [[], [], []]
-            for q, positions, values in zip(queries_of.tolist(), at, scores):
-                members = [
-                    (value, member)
-                    for p, value in zip(positions.tolist(), values.tolist())
-                    if p >= 0
-                    for member in flat[begin[order[p]] : begin[order[p] + 1]].tolist()
-                    if member != q
-                ]
-                members.sort(key=lambda m: (-m[0] if first_is_high else m[0], m[1]))
-                for value, member in members[:k]:
+            for q, positions, values in zip(table.column("id").to_pylist(), *match(prepared, matrix(table.column("v")))):
+                found = [(v, m) for p, v in zip(positions.tolist(), values.tolist()) if p >= 0 for m in members[p] if m != q]
+                found.sort(key=lambda m: (-m[0] if first_is_high else m[0], m[1]))
+                for value, member in found[:k]:
                     out[0].append(q)
                     out[1].append(member)
                     out[2].append(value)
-            empty = out
-        return pa.table(
-            {"query_id": pa.array(empty[0], pa.int64()), "vec_id": pa.array(empty[1], pa.int64()), "score": pa.array(empty[2], kind)}
-        )
+            scores = as_long(out[2]) if score == "bigint" else out[2]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(scores, kind)], names=["query_id", "vec_id", "score"]
+            )
 
-    keys = ["size", "shard", "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, f"query_id bigint, vec_id bigint, score {score}")
+    both = left.select(*columns).unionByName(right.select(*columns)).repartition(*keys[:4]).sortWithinPartitions(*keys)
+    return both.mapInArrow(run, f"query_id bigint, vec_id bigint, score {score}")
