@@ -263,3 +263,8 @@ def sweep_grid(spark, d_values: Sequence[int], b_values: Sequence[int], runs: in
         .select("D", listed(b_values).alias("B"))
         .select("D", "B", listed(range(1, runs + 1)).alias("run"))
     )
+
+
+def grid_values(merged: DataFrame) -> DataFrame:
+    """One row (d_values, b_values): the different D and B that a table of timings holds, in order; nulls are left out."""
+    return merged.agg(F.sort_array(F.collect_set("D")).alias("d_values"), F.sort_array(F.collect_set("B")).alias("b_values"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,38 +113,45 @@ def mask_checks(samples: DataFrame, background) -> DataFrame:
     )
 
 
-def diff_histogram(values: DataFrame, column: str, bins: int = 8, width: int = 40) -> DataFrame:
-    """Equal-width histogram of one column on [min, max], last bin closed, empty bins kept.
+def diff_histograms(values: DataFrame, columns: Sequence[str], bins: int = 8, width: int = 40) -> DataFrame:
+    """(name, bin, lo, hi, n, bar): an equal-width histogram of each column on its [min, max], last bin closed, empty bins kept.
 
-    A constant column is widened by 0.5 on both sides.  The range is one row, joined once; the counts are at most
-    ``bins`` rows per task before they are shuffled.
+    A constant column is widened by 0.5 on both sides, a column without values has no rows.  All ranges come from one pass
+    and all counts from another; a range is one row for each column, and counts are ``bins`` rows per column and task before
+    they are shuffled.
     """
-    span = values.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    ranges = values.agg(*[F.struct(F.lit(c).alias("name"), F.min(c).alias("low"), F.max(c).alias("high")).alias(f"_{i}") for i, c in enumerate(columns)])
+    ranges = ranges.select(F.explode(F.array(*ranges.columns)).alias("r")).select("r.*").where("low IS NOT NULL")
     half = F.when(F.col("low") == F.col("high"), 0.5).otherwise(0.0)
-    span = span.select((F.col("low") - half).alias("low"), (F.col("high") + half).alias("high"))  # one row
+    ranges = ranges.select("name", (F.col("low") - half).alias("low"), (F.col("high") + half).alias("high"))
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
     place = F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins).cast("int")
     counts = (
-        values.select(F.col(column).alias("value"))
-        .where(F.col("value").isNotNull())
-        .join(F.broadcast(span), F.col("value").between(F.col("low"), F.col("high")))
-        .select(F.least(place, F.lit(bins - 1)).alias("bin"))
-        .groupBy("bin")
+        values.select(F.explode(cells).alias("c")).select("c.*").where(F.col("value").isNotNull())
+        .join(F.broadcast(ranges), "name")
+        .select("name", F.least(place, F.lit(bins - 1)).alias("bin"))
+        .groupBy("name", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    every = span.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "low", "high")
+    every = ranges.select("name", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "low", "high")
     n = F.coalesce("n", F.lit(0)).cast("bigint")
-    most = F.max("n").over(Window.partitionBy(F.lit(1)))
+    most = F.max("n").over(Window.partitionBy("name"))
     width_of = (F.col("high") - F.col("low")) / bins
     return (
-        every.join(counts, "bin", "left")
+        every.join(counts, ["name", "bin"], "left")
         .select(
-            "bin", (F.col("low") + F.col("bin") * width_of).alias("lo"),
+            "name", "bin", (F.col("low") + F.col("bin") * width_of).alias("lo"),
             (F.col("low") + (F.col("bin") + 1) * width_of).alias("hi"), n.alias("n"),
         )
         .withColumn("bar", F.coalesce(F.floor(F.try_divide(F.lit(width) * F.col("n"), most)), F.lit(0)).cast("int"))
     )
 
 
+def diff_histogram(values: DataFrame, column: str, bins: int = 8, width: int = 40) -> DataFrame:
+    """``diff_histograms`` of one column, without its name."""
+    return diff_histograms(values, [column], bins, width).drop("name")
+
+
 def verdict(report: DataFrame, shapes: DataFrame, masks: DataFrame | None = None) -> DataFrame:
     """One row: do all checks pass?"""
     parts = [("tolerance", report), ("shape", shapes)] + ([("mask", masks)] if masks is not None else [])

@@ -77,6 +77,15 @@ def matched(samples: DataFrame) -> DataFrame:
     return samples.withColumn("x0", x0)
 
 
+def with_stored_scores(samples: DataFrame, instances: DataFrame) -> DataFrame:
+    """Stored samples with their instances, their own pred and weight kept."""
+    message = F.concat(F.lit("a sample without pred or weight, instance "), F.coalesce(F.col("instance_id").cast("string"), F.lit("NULL")))
+    missing = F.col("pred").isNull() | F.col("weight").isNull()
+    pred = F.when(missing, F.raise_error(message).cast("double")).otherwise(F.col("pred"))
+    rows = matched(with_instances(samples.select("instance_id", "sample_id", "x", "pred", "weight"), instances))
+    return rows.withColumn("pred", pred)
+
+
 def explain(
     instances: DataFrame,
     model: BlackBox,
@@ -95,14 +104,18 @@ def explain(
     samples: DataFrame | None = None,
     partitions: int | None = None,
     chunk: int = SAMPLES_PER_TASK_ROW,
+    stored_scores: bool = False,
 ) -> DataFrame:
     """Attributions of every instance: one ``FITS`` row per instance and solver.
 
     ``instance_id`` must be unique.  The built-in logistic model, black boxes that take arrays (``BatchModel``) and
     generated samples take the one-pass plan, which writes no sample down; a black box on DataFrames, or replayed samples,
-    go through ``scored_samples``.
+    go through ``scored_samples``.  With ``stored_scores`` the ``pred`` and ``weight`` of ``samples`` are taken as they
+    are, and only the instances themselves are scored; a null one is an error.
     """
     check_setup(model, background, kernel_width)
+    if stored_scores and (samples is None or not {"pred", "weight"} <= set(samples.columns)):
+        raise ValueError("stored scores need samples with columns pred and weight")
     if samples is None and isinstance(model, Model | BatchModel):
         sums = perturbed_moments(
             instances, model, background, n_samples, mask_prob, noise_std, kernel_width, seed,
@@ -110,7 +123,7 @@ def explain(
         )
     else:
         at_x0 = score_at_x0(instances, model)
-        rows = scored_samples(
+        rows = with_stored_scores(samples, at_x0) if stored_scores else scored_samples(
             at_x0, model, background, n_samples, mask_prob, noise_std, kernel_width, seed,
             samples=samples, partitions=partitions, chunk=chunk,
         )

@@ -359,6 +359,23 @@ def fit_replayed_wide(spark, sf):
     return long_coefficients(ex.explain(inst, model, bg, samples=stored))
 
 
+@query
+def fit_stored(spark, sf):
+    """The fit of stored samples with their stored scores and weights, here with four decimals; only x0 is scored."""
+    stored, inst, model, bg = _stored(spark, sf)
+    return long_coefficients(ex.explain(inst, model, bg, samples=stored, stored_scores=True))
+
+
+@query
+def fit_singular(spark, sf):
+    """The same feature twice and no ridge: the second pivot is nothing but rounding, and the floor takes its place."""
+    inst, model, bg = parts(spark, sf)
+    samples = perturb.perturb(inst, bg, 32).selectExpr("instance_id", "sample_id", "array(x[0], x[0]) AS x")
+    twice = inst.selectExpr("instance_id", "array(x0[0], x0[0]) AS x0")
+    rows = ex.scored_samples(score.score_at_x0(twice, model), model, samples=samples)
+    return long_coefficients(fit.fit(moments.sample_moments(rows, 2), ridge=0.0, pivot_floor=1e-2))
+
+
 @query
 def fit_fallback(spark, sf):
     """A black box without a value for some parts: their closed form is not finite, so GD reports."""
@@ -548,10 +565,8 @@ def tolerance_report(spark, sf):
 def diff_histogram(spark, sf):
     stored, inst, model, _ = _stored(spark, sf)
     replayed = validate.replay_check(stored, inst, model)
-    both = [
-        validate.diff_histogram(replayed, f"{c}_diff").withColumn("name", F.lit(f"{c}s")) for c in ("pred", "weight")
-    ]
-    return rounded(both[0].unionAll(both[1]), "lo", "hi", digits=9)
+    both = validate.diff_histograms(replayed, ["pred_diff", "weight_diff"])
+    return rounded(both.withColumn("name", F.regexp_replace("name", "_diff$", "s")), "lo", "hi", digits=9)
 
 
 @query
@@ -822,6 +837,13 @@ def stage_breakdown(spark, sf):
     return rounded(timings.stage_breakdown(_both(spark, sf)), "value", "bottom")
 
 
+@query
+def timing_grid(spark, sf):
+    """The different D and B of a merged table, in order."""
+    values = timings.grid_values(_merged(spark, sf))
+    return values.select(F.array_join("d_values", ",").alias("d_values"), F.array_join("b_values", ",").alias("b_values"))
+
+
 @query
 def total_series(spark, sf):
     return timings.total_series(_both(spark, sf))

@@ -898,3 +898,25 @@ ORACLES["compare_seeds_wide"] = (
         for a, b in (("seed 1234", "seed 42"), ("seed 1234", "seed 7"), ("seed 42", "seed 7"))
     )
 )
+
+# stored scores, equal features, the values of a grid
+ORACLES["fit_stored"] = (
+    W + samples("parts", 32, pre="raw_") + ", smp AS MATERIALIZED (SELECT * REPLACE (round(pred, 4) AS pred, round(weight, 4) AS weight) FROM raw_smp), "
+    + ", ".join([standardized(2), system(2), solved(2), fitted(2)]) + coefficients(2, "cholesky")
+)
+_at = "1 / (1 + exp(-(-1.0::DOUBLE + 0.02::DOUBLE * {v}[1] + 0.04::DOUBLE * {v}[1])))"
+_low = "sqrt(greatest({}, 0.01::DOUBLE))".format
+ORACLES["fit_singular"] = (
+    W + samples("parts", 32, pre="raw_") + ", smp AS MATERIALIZED (SELECT id, s, z, [x0[1], x0[1]] AS x0, [x[1], x[1]] AS x, "
+    f"{_at.format(v='x')} AS pred, {_at.format(v='x0')} AS bb, exp(-2 * (x[1] - x0[1]) * (x[1] - x0[1])) AS weight FROM raw_smp), "
+    + standardized(2) + ", " + system(2)
+    + f", l1 AS (SELECT *, {_low('a[1][1]')} AS p, a[2][1] / {_low('a[1][1]')} AS q, a[3][1] / {_low('a[1][1]')} AS r FROM sys), "
+    f"l2 AS (SELECT *, {_low('a[2][2] - q * q')} AS t, (a[3][2] - r * q) / {_low('a[2][2] - q * q')} AS u FROM l1), "
+    f"l3 AS (SELECT *, {_low('a[3][3] - r * r - u * u')} AS v, b[1] / p AS y1 FROM l2), "
+    "f2 AS (SELECT *, (b[2] - q * y1) / t AS y2 FROM l3), f3 AS (SELECT *, (b[3] - r * y1 - u * y2) / v AS y3 FROM f2), "
+    "g3 AS (SELECT *, y3 / v AS e3 FROM f3), g2 AS (SELECT *, (y2 - u * e3) / t AS e2 FROM g3), "
+    "bet AS (SELECT id, [(y1 - q * e2 - r * e3) / p, e2, e3] AS beta FROM g2), " + fitted(2) + coefficients(2, "cholesky")
+)
+ORACLES["timing_grid"] = MERGED + " SELECT " + ", ".join(
+    f"(SELECT string_agg(v::VARCHAR, ',' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM mrg)) AS {c.lower()}_values" for c in "DB"
+)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from localexplain.operators import agree, prep
+from localexplain.operators import agree, prep, timings, validate
 from localexplain.operators.fit import local_delta
 from localexplain.plans import compare, sweep
 from localexplain.plans import explain as ex
@@ -13,6 +13,10 @@ from localexplain.sources import tables
 from localexplain.sources.models import Model
 
 
+def q_folder():
+    return "/root/testdata/sf0.001"
+
+
 def plan(df):
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
 
@@ -91,6 +95,50 @@ def test_seeds_compare_as_stored_fits_do(spark, sf, k):
         compare.compare_seeds(inst, model, bg, {"a": 1})
 
 
+def test_histograms_of_several_columns(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b) if i % 5 else None, 2.0, None) for i, (a, b) in enumerate(zip(rng.normal(size=400), rng.exponential(size=400)))]
+    df = spark.createDataFrame(rows, "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE").repartition(4)
+    got = validate.diff_histograms(df, ["a", "b", "c", "d"]).toPandas()
+    assert set(got.name) == {"a", "b", "c"}
+    for i, name in enumerate("abc"):
+        values = [r[i] for r in rows if r[i] is not None]
+        counts, edges = np.histogram(values, bins=8)
+        mine = got[got.name == name].sort_values("bin")
+        assert mine.n.tolist() == counts.tolist() and np.allclose(mine.lo, edges[:-1]) and np.allclose(mine.hi, edges[1:])
+        assert mine.bar.tolist() == [int(40 * c / counts.max()) for c in counts]
+    assert validate.diff_histograms(df.where("false"), ["a"]).count() == 0
+    # one pass for all ranges, one for all counts
+    assert plan(validate.diff_histograms(q.read(spark, q_folder(), "lineitem"), ["l_tax", "l_discount"])).count("FileScan") <= 3
+
+
+def test_stored_scores_are_not_made_again(spark, sf):
+    inst, model, bg = q.parts(spark, sf)
+    scored = ex.scored_samples(inst, model, bg, n_samples=20).select("instance_id", "sample_id", "x", "z", "pred", "weight")
+    same = ex.explain(inst, model, bg, samples=scored, stored_scores=True).orderBy("instance_id").toPandas()
+    want = ex.explain(inst, model, bg, n_samples=20).orderBy("instance_id").toPandas()
+    assert np.allclose(np.stack(same.coeff), np.stack(want.coeff), atol=1e-8) and np.allclose(same.r2, want.r2, atol=1e-8)
+    other = ex.explain(inst, model, bg, samples=scored.withColumn("pred", F.lit(0.5)), stored_scores=True)
+    assert np.allclose(np.stack(other.toPandas().coeff), 0, atol=1e-3)
+    with pytest.raises(ValueError, match="stored scores need"):
+        ex.explain(inst, model, bg, samples=scored.drop("weight"), stored_scores=True)
+    for column in ("pred", "weight"):
+        holes = scored.withColumn(column, F.when(F.col("sample_id") > 3, F.col(column)))
+        with pytest.raises(Exception, match="a sample without pred or weight"):
+            ex.explain(inst, model, bg, samples=holes, stored_scores=True).collect()
+
+
+def test_equal_features_and_no_ridge_have_a_fit(spark, sf):
+    got = q.QUERIES["fit_singular"](spark, sf).toPandas()
+    assert np.isfinite(got.coefficient).all() and np.isfinite(got.intercept).all() and set(got.solver) == {"cholesky"}
+
+
+def test_values_of_a_grid(spark):
+    df = spark.createDataFrame([(512, 9), (128, 10), (512, 9), (None, 4)], "D INT, B INT")
+    assert tuple(timings.grid_values(df).first()) == ([128, 512], [4, 9, 10])
+    assert tuple(timings.grid_values(df.where("false")).first()) == ([], [])
+
+
 def test_repeated_fits_of_a_source_are_an_error(spark):
     fit_row = ("array(1D, 2D) AS coeff", "0D AS intercept", "0D AS r2", "0D AS surr_x0")
     fits = spark.range(2).selectExpr("id AS instance_id", "'a' AS source", *fit_row)
