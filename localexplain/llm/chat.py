@@ -121,7 +121,10 @@ def loss_text(segments: Column) -> Column:
 
 
 def digests(chats: DataFrame, template: Template = CHATML) -> DataFrame:
-    """The contract's digest columns, read back from format_chat()'s output."""
+    """The contract's digest columns, read back from format_chat()'s output, then first_bad_turn as the machine found it.
+
+    One row for each row of chats; an empty table gives none. Texts and roles come back as they were, null as empty.
+    """
     turns = parse_chat(F.col("formatted"), template)
     lines = F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return (
@@ -134,5 +137,6 @@ def digests(chats: DataFrame, template: Template = CHATML) -> DataFrame:
             F.length("under_loss").cast("long").alias("loss_chars"),
             F.sha2(F.col("under_loss").cast("binary"), 256).alias("loss_sha256"),
             F.length("formatted").cast("long").alias("formatted_chars"),
+            "first_bad_turn",
         )
     )

@@ -439,3 +439,15 @@ def test_chat_round_trip_and_machine(spark):
     assert chat.format_chat(frame.limit(0)).count() == 0
     plan = chat.digests(chats)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_chat_query_runs_the_machine_without_python(spark, sf):
+    from localexplain.llm import queries
+
+    found = queries.op9_chat(spark, sf)
+    plan = found._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|ExistingRDD|LogicalRDD|MapPartitions", plan)
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "assistant\ntool" in optimized or "assistant\\ntool" in optimized  # the machine's edges
+    rows = {r.conv_id: r for r in found.collect()}
+    assert rows[-1].first_bad_turn == -1 and rows[-1].n_turns == 2
