@@ -168,7 +168,8 @@ class Net:
             below.append([features, which, ids[inside] // under % width])
         return by_class, below, inside
 
-    def softmax(self, tables: list[int], rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
+    def softmax(self, tables: list[int], rows: list[np.ndarray], bias: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of each history times a factor, and that factor."""
         out = self.weights[tables[0]][rows[0]]
         for t, r in zip(tables[1:], rows[1:]):
             out += self.weights[t][r]
@@ -176,35 +177,33 @@ class Net:
             out += bias
         out -= out.max(1, keepdims=True)
         np.exp(out, out=out)
-        out /= out.sum(1, keepdims=True)
-        return out
+        return out, out.sum(1)
 
     def log_probs(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural logarithms: of class and member, or of the class alone for a word outside the head."""
         (c_rows, c_of, cls), below, inside = self.contexts(ids, first)
-        p = self.softmax([2, 1, 3], c_rows, self.weights[0])
-        out = np.log(np.maximum(p[c_of, cls], 1e-30)).astype(float)
+        p, total = self.softmax([2, 1, 3], c_rows, self.weights[0])
+        out = np.log(np.maximum(p[c_of, cls] / total[c_of], 1e-30)).astype(float)
         if len(inside):
             for i, (rows, of, answer) in enumerate(below):
-                q = self.softmax([4 + 3 * i, 5 + 3 * i, 6 + 3 * i], rows)
-                out[inside] += np.log(np.maximum(q[of, answer], 1e-30))
+                q, total = self.softmax([4 + 3 * i, 5 + 3 * i, 6 + 3 * i], rows)
+                out[inside] += np.log(np.maximum(q[of, answer] / total[of], 1e-30))
         return out
 
     def step(self, ids: np.ndarray, first: np.ndarray) -> None:
         (c_rows, c_of, cls), below, inside = self.contexts(ids, first)
-        p = self.gradient(self.softmax([2, 1, 3], c_rows, self.weights[0]), c_of, cls)
+        p = self.gradient(*self.softmax([2, 1, 3], c_rows, self.weights[0]), c_of, cls)
         self.move(0, np.zeros(1, np.int64), p.sum(0, keepdims=True))
         self.descend([2, 1, 3], c_rows, p)
         if len(inside):
             for i, (rows, of, answer) in enumerate(below):
                 tables = [4 + 3 * i, 5 + 3 * i, 6 + 3 * i]
-                self.descend(tables, rows, self.gradient(self.softmax(tables, rows), of, answer))
+                self.descend(tables, rows, self.gradient(*self.softmax(tables, rows), of, answer))
 
-    def gradient(self, p: np.ndarray, history: np.ndarray, answer: np.ndarray) -> np.ndarray:
+    def gradient(self, p: np.ndarray, total: np.ndarray, history: np.ndarray, answer: np.ndarray) -> np.ndarray:
         """Expected minus seen answers of each different history, in p's place."""
-        p *= np.bincount(history, minlength=len(p))[:, None].astype(np.float32)
-        seen = np.bincount(history * p.shape[1] + answer, minlength=p.size)
-        p -= seen.reshape(p.shape)
+        p *= (np.bincount(history, minlength=len(p)) / total)[:, None].astype(np.float32)
+        np.subtract.at(p.reshape(-1), history * p.shape[1] + answer, np.float32(1))
         return p
 
     def descend(self, tables: list[int], rows: list[np.ndarray], gradient: np.ndarray) -> None:
@@ -216,12 +215,26 @@ class Net:
             else:
                 part = gradient
             starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-            self.move(t, r[starts], np.add.reduceat(part, starts, axis=0))
+            self.move(t, r[starts], run_sums(part, starts))
 
     def move(self, table: int, rows: np.ndarray, total: np.ndarray) -> None:
         """Each row at its own rate, which falls with the squares of its gradients."""
-        self.squares[table][rows] += np.square(total).mean(1)
-        self.weights[table][rows] -= (self.s.rate / np.sqrt(self.squares[table][rows]))[:, None] * total
+        squares = self.squares[table][rows] + np.einsum("ij,ij->i", total, total) / np.float32(total.shape[1])
+        self.squares[table][rows] = squares
+        total *= (self.s.rate / np.sqrt(squares))[:, None]
+        self.weights[table][rows] -= total
+
+
+def run_sums(part: np.ndarray, starts: np.ndarray, short: int = 16) -> np.ndarray:
+    """Sums of the rows of part from each start to the next: most runs are short and are added up side by side."""
+    ends = np.append(starts[1:], len(part))
+    total, left = part[starts], np.flatnonzero(ends - starts > 1)
+    for k in range(1, short):
+        total[left] += part[starts[left] + k]
+        left = left[ends[left] - starts[left] > k + 1]
+    for i in left.tolist():
+        total[i] += part[starts[i] + short : ends[i]].sum(0)
+    return total
 
 
 def numbered(texts: list[bytes | None], number: dict[bytes, int], other: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +327,7 @@ def train(texts: DataFrame, head: list[tuple[bytes, int]], total: int, s: Settin
         kind = "block int, seen double, change binary"
         # Each sum keeps one block of weights per key, however many tasks send one.
         moved = texts.filter(F.col("slice") == turn).select("text").coalesce(tasks).mapInArrow(run, kind)
-        for r in moved.repartition(min(len(blocks), 32), "block").mapInArrow(add, kind).collect():
+        for r in moved.repartition(min(len(blocks), 32), "block").mapInArrow(add, kind).toLocalIterator():
             t, lo, hi = blocks[r.block]
             weights[t][lo:hi] += np.frombuffer(r.change, np.float32).reshape(hi - lo, -1)
         now.unpersist()
