@@ -1,7 +1,8 @@
 """Seeded draws that depend only on (seed, instance, sample, feature, draw).
 
-Every random word is ``hash(hash(seed, instance_id, sample_id), k)`` with Spark's built-in ``hash``
-(32-bit Murmur3, published by A. Appleby).  A word therefore does not depend on partitioning, task
+Every random word is ``hash(k, key)`` with Spark's built-in ``hash`` (32-bit Murmur3, published by A. Appleby), where the
+BIGINT key is made of two hashes of (seed, instance_id, sample_id) with different seeds.  The number of the word comes
+first, so the words of two samples are all equal only if all 64 bits of their keys are: rows of draws do not recur.  A word therefore does not depend on partitioning, task
 retries or row order, which ``rand()`` would.  The built-in keeps the generated Java small: a
 hand-written mixer made of column arithmetic passes the JIT's 8000-byte method limit at four
 features and runs more than ten times slower.
@@ -37,14 +38,20 @@ def double(value: float) -> str:
     return f"{value!r}D"
 
 
+SECOND = 1540483477  # flips bits of the seed for the lower half of a key
+
+
 def sample_key(seed: int | str, instance_id: str = "instance_id", sample_id: str = "sample_id") -> str:
     """``seed`` is a number or the name of an INT column that holds one."""
-    return f"hash({seed if isinstance(seed, str) else check_seed(seed)}, {instance_id}, {sample_id})"
+    first = seed if isinstance(seed, str) else check_seed(seed)
+    second = f"({seed} ^ {SECOND})" if isinstance(seed, str) else check_seed(seed) ^ SECOND
+    halves = [f"bigint(hash({s}, {instance_id}, {sample_id}))" for s in (first, second)]
+    return f"(shiftleft({halves[0]}, 32) | ({halves[1]} & {TWO_32 - 1}L))"
 
 
 def mask_test(key: str, draw: str | int, mask_prob: float) -> str:
     """True where the uniform draw is below ``mask_prob``; the hash is compared unscaled."""
-    return f"hash({key}, {draw}) < {double(mask_prob * TWO_32 - TWO_31)}"
+    return f"hash({draw}, {key}) < {double(mask_prob * TWO_32 - TWO_31)}"
 
 
 def mask_word(f: int) -> int:
@@ -53,12 +60,12 @@ def mask_word(f: int) -> int:
 
 def radius(key: str, pair: str | int) -> str:
     """``ln`` is declared nullable, so ``coalesce`` keeps null checks out of the generated code."""
-    uniform = f"(hash({key}, {_word(pair, 2)}) + {TWO_31 + 1}D) * {double(1 / TWO_32)}"
+    uniform = f"(hash({_word(pair, 2)}, {key}) + {TWO_31 + 1}D) * {double(1 / TWO_32)}"
     return f"sqrt(-2D * coalesce(ln({uniform}), 0D))"
 
 
 def angle(key: str, pair: str | int) -> str:
-    return f"(hash({key}, {_word(pair, 3)}) + {TWO_31}D) * {double(2 * math.pi / TWO_32)}"
+    return f"(hash({_word(pair, 3)}, {key}) + {TWO_31}D) * {double(2 * math.pi / TWO_32)}"
 
 
 def _word(pair: str | int, k: int) -> str | int:
@@ -99,9 +106,16 @@ def _rotate(x, r):
     return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
 
 
+def _mix(word):
+    return _rotate(word * _C1, 15) * _C2
+
+
+def _absorb_mixed(h, mixed):
+    return _rotate(h ^ mixed, 13) * np.uint32(5) + _H5
+
+
 def _absorb(h, word):
-    h = h ^ (_rotate(word * _C1, 15) * _C2)
-    return _rotate(h, 13) * np.uint32(5) + _H5
+    return _absorb_mixed(h, _mix(word))
 
 
 def _finish(h, n_bytes):
@@ -123,27 +137,31 @@ def hash_long(value, h):
 
 
 def sample_keys(seed: int, instance_id: np.ndarray, sample_id: np.ndarray) -> np.ndarray:
-    """``hash(seed, instance_id, sample_id)`` for every pair, shape (instances, samples)."""
+    """The key of every pair as its two words (high, low), shape (2, instances, samples)."""
     start = np.full(1, SPARK_HASH_SEED, np.uint32)
-    h = hash_int(np.array([check_seed(seed)], np.int64).astype(np.uint32), start)
-    h = hash_long(instance_id, np.broadcast_to(h, instance_id.shape))
-    return hash_int(sample_id.astype(np.uint32)[None, :], h[:, None])
+    halves = []
+    for s in (check_seed(seed), check_seed(seed) ^ SECOND):
+        h = hash_int(np.array([s], np.int64).astype(np.uint32), start)
+        h = hash_long(instance_id, np.broadcast_to(h, instance_id.shape))
+        halves.append(hash_int(sample_id.astype(np.uint32)[None, :], h[:, None]))
+    return np.stack(halves)
 
 
 def words(keys: np.ndarray, indexes: np.ndarray) -> np.ndarray:
-    """``hash(key, index) + 2**31`` for every key and index, as unsigned words."""
-    h = hash_int(keys, np.full(1, SPARK_HASH_SEED, np.uint32))
-    return hash_int(indexes.astype(np.uint32), h[..., None]) ^ np.uint32(TWO_31)
+    """``hash(index, key) + 2**31`` for every key and index, as unsigned words."""
+    high, low = (_mix(k)[..., None] for k in keys)
+    h = hash_int(indexes.astype(np.uint32), np.full(1, SPARK_HASH_SEED, np.uint32))
+    return _finish(_absorb_mixed(_absorb_mixed(h, low), high), 8) ^ np.uint32(TWO_31)
 
 
 def draw_offsets(keys, x0, means, mask_prob, noise_std):
-    """Offsets ``x - x0`` and the 0/1 mask for keys (m, b) and instances (m, D)."""
+    """Offsets ``x - x0`` and the 0/1 mask for keys (2, m, b) and instances (m, D)."""
     d = x0.shape[-1]
     f, pairs = np.arange(d), np.arange((d + 1) // 2)
     masked = words(keys, WORDS_PER_PAIR * (f // 2) + f % 2).astype(np.float64) < mask_prob * TWO_32
     r = np.sqrt(-2.0 * np.log((words(keys, WORDS_PER_PAIR * pairs + 2) + 1.0) * (1 / TWO_32)))
     a = words(keys, WORDS_PER_PAIR * pairs + 3) * (2 * math.pi / TWO_32)
-    noise = np.empty((*keys.shape, d))
+    noise = np.empty((*keys.shape[1:], d))
     noise[..., ::2] = r * np.cos(a)
     noise[..., 1::2] = (r * np.sin(a))[..., : d // 2]
     return np.where(masked, (means - x0)[:, None, :], noise_std * noise), masked

@@ -118,20 +118,23 @@ def samples(
     d, inst = INSTANCES[name]
     if take:
         inst, d = f"SELECT id, x0[1:{take}] AS x0 FROM ({inst})", take
-    words = [_u(_mix_word(k)) for k in range(4 * ((d + 1) // 2))]
+    words = [_u(_hash_int(k, 42)) for k in range(4 * ((d + 1) // 2))]
     score = pred or f"1 / (1 + exp(-(-1.0::DOUBLE + list_inner_product({{v}}, {_weights(d)}))))"
     means = background or "SELECT " + _list(f"round(avg(x0[{i}]), 9)" for i in range(1, d + 1)) + f" AS m FROM {pre}inst"
-    keyed = hashed(
-        f"SELECT id, x0, {_u(_hash_int(seed & M32, 42))} AS h FROM {pre}inst",
-        [f"id & {M32}", f"(id >> 32) & {M32}"],
-    )
-    keyed = hashed(f"SELECT *, unnest(range({b})) AS s FROM ({keyed})", ["s"])
-    keyed = hashed(f"SELECT id, x0, s, {_u(42)} AS h, h AS hs FROM ({keyed})", ["hs"])
-    cells = f"SELECT id, x0, s, list_transform({_list(words)}, lambda w: xor(w, h)) AS c FROM ({keyed})"
-    for step in (
-        f"({_rot('w', 13)}) * 5::UBIGINT + {_u(0xE6546B64)} & {U32}",
-        *[f("t", "w") for _, f in _finish(4)],
-    ):
+    keyed = f"SELECT id, x0 FROM {pre}inst"
+    for half, start in (("hi", seed), ("lo", seed ^ 1540483477)):
+        keyed = hashed(f"SELECT *, {_u(_hash_int(start & M32, 42))} AS h FROM ({keyed})", [f"id & {M32}", f"(id >> 32) & {M32}"])
+        keyed = f"SELECT * EXCLUDE (h), h AS {half} FROM ({keyed})"
+    keyed = f"SELECT *, unnest(range({b})) AS s FROM ({keyed})"
+    for half in ("hi", "lo"):
+        keyed = f"SELECT * EXCLUDE (h), h AS {half} FROM ({hashed(f'SELECT * EXCLUDE ({half}), {half} AS h FROM ({keyed})', ['s'])})"
+    mixed = [f"({half} * {_u(0xCC9E2D51)}) & {U32} AS {half}" for half in ("hi", "lo")]
+    keyed = f"SELECT id, x0, s, {', '.join(mixed)} FROM ({keyed})"
+    mixed = [f"(({_rot(half, 15)}) * {_u(0x1B873593)}) & {U32} AS {half}" for half in ("hi", "lo")]
+    keyed = f"SELECT id, x0, s, {', '.join(mixed)} FROM ({keyed})"
+    cells = f"SELECT id, x0, s, hi, lo, {_list(words)} AS c FROM ({keyed})"
+    turn = f"({_rot('w', 13)}) * 5::UBIGINT + {_u(0xE6546B64)} & {U32}"
+    for step in ("xor(w, lo)", turn, "xor(w, hi)", turn, *[f("t", "w") for _, f in _finish(8)]):
         cells = f"SELECT * REPLACE (list_transform(c, lambda w: {step}) AS c) FROM ({cells})"
     cells = f"SELECT * REPLACE (list_transform(c, lambda w: xor(w, {TOP})::DOUBLE) AS c) FROM ({cells})"
     zed = f"list_transform(range(1, {d + 1}), lambda f: CASE WHEN c[f + 2 * ((f - 1) // 2)] < {mask_prob * 2**32!r} THEN 0 ELSE 1 END)"

@@ -12,16 +12,30 @@ def test_words_equal_the_builtin_hash(spark):
     rows = spark.createDataFrame([(int(i), s) for i in ids for s in range(5)], "instance_id BIGINT, sample_id INT")
     for seed in (1234, -17, 2**31 - 1):
         got = rows.selectExpr(
-            "instance_id", "sample_id", f"{draws.sample_key(seed)} AS k", f"hash({draws.sample_key(seed)}, 4) + {draws.TWO_31}L AS w"
+            "instance_id", "sample_id", f"{draws.sample_key(seed)} AS k", f"hash(4, {draws.sample_key(seed)}) + {draws.TWO_31}L AS w"
         ).collect()
         keys = draws.sample_keys(seed, ids, np.arange(5))
         words = draws.words(keys, np.array([0, 4]))
         at = {int(v): i for i, v in enumerate(ids)}
         for r in got:
-            assert keys[at[r.instance_id], r.sample_id] == r.k % 2**32
+            high, low = keys[:, at[r.instance_id], r.sample_id].tolist()
+            assert (high << 32 | low) == r.k % 2**64
             assert words[at[r.instance_id], r.sample_id, 1] == r.w
 
 
+def test_rows_of_draws_do_not_recur():
+    """Among ten million samples of a million instances all keys differ, and where one word is equal the others are not."""
+    keys = draws.sample_keys(1234, np.arange(1_000_000) * 10 + 3, np.arange(10)).reshape(2, -1)
+    whole = keys[0].astype(np.uint64) << np.uint64(32) | keys[1]
+    assert len(np.unique(whole)) == 10_000_000
+    first = draws.words(keys, np.array([0]))[:, 0]
+    order = np.argsort(first, kind="stable")
+    same = np.flatnonzero(first[order][1:] == first[order][:-1])
+    assert len(same) > 1000  # 32 bits do recur
+    a, b = (draws.words(keys[:, order[same + i]], np.array([2, 3])) for i in (0, 1))
+    assert not (a == b).all(1).any()
+
+
 def test_seed_must_fit():
     with pytest.raises(ValueError):
         draws.sample_key(2**31)
