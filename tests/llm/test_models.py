@@ -2,11 +2,13 @@
 
 import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from localexplain.llm import maxent
+from localexplain.llm import kneser_ney, maxent, toxicity
 
 SHAPES = [
     maxent.Settings(classes=5, members=3, pair_rows=7, member_rows=11),
@@ -90,3 +92,90 @@ def test_run_sums():
     starts = np.unique(np.concatenate(([0, 3, 4, 5, 300], pick.integers(0, 200, 30))))
     want = np.add.reduceat(part, starts, axis=0)
     assert np.allclose(maxent.run_sums(part, starts), want) and np.allclose(maxent.run_sums(part[:1], np.array([0])), part[:1])
+
+
+def plain_ftrl(texts, labels, z, n, s):
+    """One pass over lists of positions, number by number; the last position is the bias."""
+    last = len(z) - 1
+    for at, label in zip(texts, labels):
+        weights = {}
+        for i in [*at, last]:
+            l1 = 0.0 if i == last else s.l1
+            small = abs(z[i]) <= l1 and i != last
+            weights[i] = 0.0 if small else (math.copysign(l1, z[i]) - z[i]) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+        x = max(-35.0, min(35.0, sum(weights.values())))
+        g = 1 / (1 + math.exp(-x)) - label
+        for i, w in weights.items():
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha
+            z[i] += g - sigma * w
+            n[i] += g * g
+
+
+def test_toxicity_weights_equal_plain_ftrl(spark):
+    pick = random.Random(6)
+    rows = []
+    for i in range(160):
+        toxic = i % 3 == 0
+        words = pick.choices([f"w{k}" for k in range(30)], k=12) + (["scum"] if toxic else [])
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    s = toxicity.Settings(l1=0.3)
+    keys, weights, bias = toxicity.train(docs, labels, s=s)
+
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    shard_of = {r.d: r.h for r in spark.createDataFrame([(str(r[0]),) for r in learnt], "d string").selectExpr("d", f"int(pmod(xxhash64(d), {s.shards})) AS h").collect()}
+    found = {r[0]: np.unique(toxicity.features(r[1].encode(), toxicity.WordHashes())) for r in learnt}
+    texts_with = Counter(f for fs in found.values() for f in fs.tolist())
+    dictionary = sorted(f for f, c in texts_with.items() if c >= s.min_texts)
+    place = {f: i for i, f in enumerate(dictionary)}
+    shards = {}
+    for i, _, t in sorted(learnt, key=lambda r: str(r[0])):
+        shards.setdefault(shard_of[str(i)], []).append(([place[f] for f in found[i].tolist() if f in place], t))
+    z, n = [0.0] * (len(dictionary) + 1), [0.0] * (len(dictionary) + 1)
+    for _ in range(s.passes):
+        ends = []
+        for _, some in sorted(shards.items()):
+            own = [np.float32(z).astype(float).tolist(), np.float32(n).astype(float).tolist()]
+            plain_ftrl([a for a, _ in some], [t for _, t in some], *own, s)
+            ends.append(np.float32(own).astype(float))
+        z, n = (np.mean([e[k] for e in ends], axis=0).tolist() for k in (0, 1))
+    want = {}
+    for f, i in place.items():
+        if abs(z[i]) > s.l1:
+            want[f] = (math.copysign(s.l1, z[i]) - z[i]) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+    assert sorted(want) == keys.tolist() and len(want) > 20
+    assert np.allclose([want[f] for f in keys.tolist()], weights, atol=1e-5)
+    assert bias == pytest.approx(-z[-1] / ((s.beta + math.sqrt(n[-1])) / s.alpha + s.l2), abs=1e-5)
+
+
+def test_quality_limits_are_quantiles_by_language(spark):
+    pick = random.Random(8)
+    rows, labels = [], []
+    for i in range(420):
+        lang = "rare" if i % 30 == 0 else ("en", "de", None)[i % 3]
+        words = [f"{lang}{pick.randrange(40)}" for _ in range(pick.randrange(9, 40))]
+        rows.append((i, " ".join(words if i % 7 else [f"junk{pick.randrange(10**6)}" for _ in words]), lang))
+        if i % 7:
+            labels.append((i, 1, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fitted = {r.doc_id for r in kneser_ney.fitted_rows(docs, kneser_ney.trusted_ids(table)).select("doc_id").distinct().collect()}
+    found = kneser_ney.classify(docs, table).collect()
+    trusted = {r[0] for r in labels} & {r.doc_id for r in kneser_ney.trusted_ids(table).collect()}
+    logs = {}
+    for r in found:
+        if r.doc_id in trusted - fitted and r.n_tokens > kneser_ney.LEAST_WORDS:
+            logs.setdefault(r.lang, []).append(math.log10(r.perplexity))
+
+    def level(values):  # the smallest value that a share of `quantile` does not exceed
+        return sorted(values)[max(0, math.ceil(kneser_ney.QUANTILE * len(values)) - 1)]
+
+    everything = level([x for some in logs.values() for x in some])
+    assert len(logs.get("rare", [])) < 20 <= len(logs["en"])
+    for r in found:
+        some = logs.get(r.lang, [])
+        limit = (level(some) if len(some) >= 20 else everything) + kneser_ney.SLACK
+        assert math.log10(r.threshold) == pytest.approx(limit, abs=1e-9)
+        assert r.keep == (r.n_tokens <= kneser_ney.LEAST_WORDS or math.log10(r.perplexity) <= limit + 1e-12)
+    assert sum(not r.keep for r in found) > 10
