@@ -20,7 +20,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MAX_REMEMBERED = 1 << 17  # chunks, pairs
+REMEMBERED = 1 << 17  # chunks, words and pairs of tokens that a worker remembers unless told otherwise
 MAX_CHUNK = 64  # characters of a remembered chunk
 ROWS_PER_BATCH = 256
 
@@ -33,10 +33,10 @@ CHUNK = rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 class Encoder:
     """Encodes pieces of bytes by ranks (bytes -> id)."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], remembered: int = REMEMBERED):
         import ahocorasick
 
-        self.ranks = ranks
+        self.ranks, self.remembered = ranks, remembered
         self.tokens = [b""] * (max(ranks.values()) + 1) if ranks else []
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -92,7 +92,7 @@ class Encoder:
                     limit, a = a, undo_left[1]
                 else:
                     limit, b = b + 1, undo_right[0]
-            if len(self.pairs) >= MAX_REMEMBERED:
+            if len(self.pairs) >= self.remembered:
                 self.pairs.clear()
             self.pairs[left, right] = known
         return known
@@ -148,7 +148,7 @@ class Encoder:
         if got is None:
             got = self.encode(piece.encode())
             if len(piece) <= MAX_CHUNK:
-                if len(self.words) >= MAX_REMEMBERED:
+                if len(self.words) >= self.remembered:
                     self.words.clear()
                 self.words[piece] = got
         return got
@@ -164,7 +164,7 @@ class Encoder:
                 if got is None:
                     got = tuple(chain.from_iterable(map(self.word, pieces(chunk))))
                 if len(chunk) <= MAX_CHUNK:
-                    if len(known) >= MAX_REMEMBERED:  # frequent chunks come back from the older half
+                    if len(known) >= self.remembered:  # frequent chunks come back from the older half
                         self.older, self.known = known, {}
                         known = self.known
                     known[chunk] = got
@@ -180,14 +180,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def tokenize(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: str = CHUNK, with_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: str = CHUNK, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids: each whole text encoded and decoded again.
 
     ids_sha256 is over decimal ids joined by one space, decoded_sha256 over the decoded bytes, both in lowercase hex. A
     null text is the empty text, which has no ids. One row per row of docs, repeated rows included; extra columns are
     ignored. Texts of any length are encoded whole. `chunk` must cut a text into parts that `pattern` splits independently
     (CHUNK does for the public pattern). \\p{L} and \\p{N} follow the regex library's Unicode version. The ranks (one vocabulary file, of fixed size) go to every executor
-    once; what a worker remembers is bounded by MAX_REMEMBERED.
+    once; a worker remembers at most twice `remembered` chunks and as many words and pairs of tokens, which changes no result.
+    An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks})
     field = [("doc_id", docs.schema["doc_id"].dataType.simpleString())]
@@ -197,7 +198,7 @@ def tokenize(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         regex, state = importlib.import_module("regex"), shared.value
         if "encoder" not in state:  # a worker process keeps the broadcast value, so later tasks find it here
-            state["encoder"] = Encoder(state["ranks"])
+            state["encoder"] = Encoder(state["ranks"], remembered)
             state["names"] = [str(i) for i in range(len(state["encoder"].tokens))]
         encoder, name = state["encoder"], state["names"].__getitem__
         chunks, pieces = re.compile(chunk).findall, regex.compile(pattern).findall

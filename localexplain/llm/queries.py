@@ -39,7 +39,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.tokenize(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.tokenize(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, remembered=1 << 18)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
