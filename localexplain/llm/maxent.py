@@ -327,7 +327,7 @@ def train(texts: DataFrame, head: list[tuple[bytes, int]], total: int, s: Settin
         kind = "block int, seen double, change binary"
         # Each sum keeps one block of weights per key, however many tasks send one.
         moved = texts.filter(F.col("slice") == turn).select("text").coalesce(tasks).mapInArrow(run, kind)
-        for r in moved.repartition(min(len(blocks), 32), "block").mapInArrow(add, kind).toLocalIterator():
+        for r in moved.repartition(min(len(blocks), 32), "block").mapInArrow(add, kind).collect():  # ends the query, so its shuffle files go
             t, lo, hi = blocks[r.block]
             weights[t][lo:hi] += np.frombuffer(r.change, np.float32).reshape(hi - lo, -1)
         now.unpersist()
