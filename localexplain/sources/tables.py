@@ -102,10 +102,11 @@ def write_attribution_csv(table: DataFrame, path: str) -> None:
 def bundle_outputs(samples: DataFrame, scored: DataFrame, masks: DataFrame | None = None) -> DataFrame:
     """x, pred and weight of every sample side by side, with ``z`` where there is one.
 
-    ``sample_id`` is part of the join key, so a large instance spreads over all tasks.
+    ``sample_id`` is part of the join key, so a large instance spreads over all tasks.  Sort-merge joins: the three sides
+    have a row per sample, but their sizes are estimated from the instances they were made of.
     """
     keys = ["instance_id", "sample_id"]
-    out = samples.select(*keys, "x").join(scored.select(*keys, "pred", "weight"), keys)
+    out = samples.select(*keys, "x").join(scored.select(*keys, "pred", "weight").hint("merge"), keys)
     if masks is not None:
-        return out.join(masks.select(*keys, "z"), keys, "left")
+        return out.join(masks.select(*keys, "z").hint("merge"), keys, "left")
     return out.withColumn("z", F.lit(None).cast("array<int>"))
