@@ -1,14 +1,14 @@
-"""Replays, bundles, and z-scores at any number of instances: nothing broadcast, nothing moved twice."""
+"""Replays, bundles, z-scores and ranges at any number of instances: nothing broadcast, nothing moved twice."""
 
 import numpy as np
 import pytest
 
 from localexplain.operators import moments
-from localexplain.operators.perturb import perturb
+from localexplain.operators.perturb import INSTANCES_PER_TASK, perturb, range_size
 from localexplain.operators.score import score_at_x0
 from localexplain.plans import queries as q
-from localexplain.plans.explain import scored_samples
-from test_fit import setup
+from localexplain.plans.explain import explain, scored_samples
+from test_fit import by_key, setup
 from test_plans import plan
 
 REPLAYS = ["replay_check", "replay_scores", "bundle_outputs", "zscore_cells", "fit_replayed", "fit_singular", "fit_stored"]
@@ -44,3 +44,17 @@ def test_runs_of_samples_add_up_like_dealt_ones(spark, d):
 
 def sums(df):
     return {r.instance_id: np.array(r.s) for r in df.collect()}
+
+
+@pytest.mark.parametrize("d", [3, 11])
+def test_many_instances_stay_whole(spark, d):
+    inst, model, bg = setup(spark, d, n=2 * INSTANCES_PER_TASK)
+    assert range_size(inst, 50, 8, 2) == 50 and range_size(inst, 50, 8, 3) == 8 and range_size(inst, 8, 8, 2) == 8
+    whole, ranges = explain(inst, model, bg, n_samples=50, partitions=2), explain(inst, model, bg, n_samples=50, chunk=8, partitions=2)
+    assert plan(ranges).count("Exchange") == plan(whole).count("Exchange") == 1
+    few = explain(inst, model, bg, n_samples=50, chunk=8, partitions=3)
+    assert plan(few).count("Exchange") > 1
+    a, b, c = by_key(whole), by_key(ranges), by_key(few)
+    assert a.keys() == b.keys() == c.keys() and len(a) == 2 * INSTANCES_PER_TASK
+    for i in a:
+        assert np.allclose(a[i].coeff, b[i].coeff, atol=1e-9) and np.allclose(a[i].coeff, c[i].coeff, atol=1e-9)
