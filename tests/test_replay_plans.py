@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from localexplain.operators import moments
+from localexplain.operators import fit, moments
 from localexplain.operators.perturb import INSTANCES_PER_TASK, perturb, range_size
 from localexplain.operators.score import score_at_x0
 from localexplain.plans import queries as q
@@ -58,3 +58,9 @@ def test_many_instances_stay_whole(spark, d):
     assert a.keys() == b.keys() == c.keys() and len(a) == 2 * INSTANCES_PER_TASK
     for i in a:
         assert np.allclose(a[i].coeff, b[i].coeff, atol=1e-9) and np.allclose(a[i].coeff, c[i].coeff, atol=1e-9)
+
+
+def test_blocks_of_sums_and_systems_stay_small():
+    # a worker holds several arrays of a block at a time, and an executor several workers
+    assert 8 * moments.size_of(64) * moments.rows_per_batch(64) <= 8 << 20 and 8 * fit.FLOATS_PER_STACK <= 8 << 20
+    assert moments.rows_per_batch(64) >= 256
