@@ -8,6 +8,7 @@ from localexplain.operators.perturb import INSTANCES_PER_TASK, perturb, range_si
 from localexplain.operators.score import score_at_x0
 from localexplain.plans import queries as q
 from localexplain.plans.explain import explain, scored_samples
+from localexplain.sources.models import by_feature
 from test_fit import by_key, setup
 from test_plans import plan
 
@@ -64,3 +65,24 @@ def test_blocks_of_sums_and_systems_stay_small():
     # a worker holds several arrays of a block at a time, and an executor several workers
     assert 8 * moments.size_of(64) * moments.rows_per_batch(64) <= 8 << 20 and 8 * fit.FLOATS_PER_STACK <= 8 << 20
     assert moments.rows_per_batch(64) >= 256
+
+
+def test_background_is_read_once(spark, sf):
+    inst = q.line_instances(spark, sf)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    counted = inst.mapInArrow(count, inst.schema)
+    assert q.background_of(counted, 4) == q.background_of(inst, 4) and seen.value == inst.count()
+    means = spark.createDataFrame([(i, float(i)) for i in range(3)], "feature_idx INT, mean DOUBLE")
+    assert by_feature(means, "mean", 3, "it") == [0.0, 1.0, 2.0]
+    more = means.unionAll(means)
+    wrong = [means.where("feature_idx > 0"), more, means.selectExpr("feature_idx + 1 AS feature_idx", "mean")]
+    wrong += [means.selectExpr("feature_idx", "if(mean > 1, NULL, mean) AS mean"), means.selectExpr("if(mean > 1, NULL, feature_idx) AS feature_idx", "mean")]
+    for rows in wrong:
+        with pytest.raises(ValueError, match="does not hold features"):
+            by_feature(rows, "mean", 3, "it")
