@@ -86,3 +86,18 @@ def test_background_is_read_once(spark, sf):
     for rows in wrong:
         with pytest.raises(ValueError, match="does not hold features"):
             by_feature(rows, "mean", 3, "it")
+
+
+def test_sources_are_fitted_in_one_pass(spark, sf):
+    inst, model, bg = setup(spark, 3)
+    made = moments.perturbed_moments(inst, model, bg, 50, 0.2, 0.1, 1.0, 1234)
+    given = {"a": {}, "b": {"ridge": 10.0}, "c": {"solver": "gd", "gd_iters": 20}}
+    together = fit.fit_sources(made, given)
+    for name, arguments in given.items():
+        want, got = by_key(fit.fit(made, **arguments)), by_key(together.where(f"source = '{name}'").drop("source"))
+        assert want == got and len(want) == 4
+    with pytest.raises(ValueError):
+        fit.fit_sources(made, {})
+    # the table, the instances and the fits by instance: each is shuffled once
+    text = plan(q.QUERIES["side_by_side"](spark, sf))
+    assert text.count("FileScan parquet") == 1 and text.count("Exchange hashpartitioning") == 3
