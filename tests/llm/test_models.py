@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from localexplain.llm import kneser_ney, maxent, toxicity
 
@@ -179,3 +180,26 @@ def test_quality_limits_are_quantiles_by_language(spark):
         assert math.log10(r.threshold) == pytest.approx(limit, abs=1e-9)
         assert r.keep == (r.n_tokens <= kneser_ney.LEAST_WORDS or math.log10(r.perplexity) <= limit + 1e-12)
     assert sum(not r.keep for r in found) > 10
+
+
+def test_quality_counts_come_from_all_trusted_rows(spark):
+    pick = random.Random(9)
+    rows = [(i, " ".join(f"w{pick.randrange(300)}" for _ in range(pick.randrange(0, 14))) if i % 97 else None, "en") for i in range(5400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    trusted = kneser_ney.trusted_ids(docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    kept = {r.doc_id for r in trusted.filter("NOT held").collect()}
+    chosen = kneser_ney.fitted_rows(docs, trusted)
+    assert {r.doc_id for r in chosen.collect()} == kept and len(kept) > 3000
+
+    # Tables in shards, asked by blocks, say what one model on the driver says.
+    texts = chosen.select(F.col("text").cast("binary").alias("text"))
+    model, (orders, unknown) = kneser_ney.train(texts), kneser_ney.weights(texts)
+    shards = tuple([kneser_ney.Shard(*t) for t in part] for part in (model.adds, model.backs))
+    odd = docs.unionByName(spark.createDataFrame([(1, "nobody said this", None), (None, "", "de"), (None, "", "de")], docs.schema))
+    got = kneser_ney.perplexities(odd, orders, unknown, block_bytes=4000, shard_keys=1000).collect()
+    plain = {t: kneser_ney.log_probs(shards, model.unknown, kneser_ney.grams(t.encode(), kneser_ney.WordKeys())) for t in {t or "" for _, t, _ in rows} | {"nobody said this"}}
+    text_of = {i: t or "" for i, t, _ in rows} | {None: ""}
+    for r in got:
+        logs = plain["nobody said this" if r.doc_id == 1 and r.lang is None else text_of[r.doc_id]]
+        assert r.n_tokens == len(logs) and r.mean_log == pytest.approx(-logs.mean(), abs=1e-9)
+    assert len(got) == 5403
