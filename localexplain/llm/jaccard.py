@@ -31,6 +31,7 @@ BANDS = 20
 ROWS = 4  # minima of a band
 PART = 1 << 14
 ALL_PAIRS = 64
+SALTS = 8  # tasks that share the nodes of a band
 BLOCK = 256  # nodes that one task compares with one other at a time
 KEY = ["k1", "k2"]
 SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 16)]  # 16 times four bits in each
@@ -175,6 +176,17 @@ def fits(a: str, b: str, least: Share) -> Column:
     return (F.least(*size) * least[1] >= F.greatest(*size) * least[0]) & (different <= most)
 
 
+def in_shared_bands(places: DataFrame, several: DataFrame) -> DataFrame:
+    """places (node, band) with the columns of their band, as far as several has it.
+
+    The nodes of a band are dealt to SALTS tasks. Only rows of bands that several nodes share come out: nearly all bands
+    have one node, and any other way round would pass on their rows first, BANDS of them for each text.
+    """
+    dealt = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = places.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
+    return salted.join(dealt.hint("merge"), ["band", "salt"]).drop("salt", "n")
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share = (4, 5), seed: int = 42) -> DataFrame:
     """doc_id, k1, k2, component_id, first: every row of docs with the smallest doc_id reachable over links.
 
@@ -195,7 +207,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share =
 
     several = places.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("v")).filter("n > 1")
     several = several.join(of("v"), "v").withColumn("band_nodes", F.col("n"))
-    shared = stored(join_by_share(places, several, "band", found.count() * BANDS).filter("v IS NOT NULL"), "bands")
+    shared = stored(in_shared_bands(places, several), "bands")
     texts = stored(texts_of(rows, found, shared.select("node").distinct()), "candidates")
 
     def compared(pairs: DataFrame) -> DataFrame:

@@ -104,6 +104,18 @@ def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert {r.component_id for r in found} == {0} and sum(r.first for r in found) == 1 and sum(count) < 300 * 10
 
 
+def test_rows_of_bands_with_one_node_leave_no_join(spark):
+    # a band with a large share of the rows, others with two nodes, most with one
+    rows = [(i, 0) for i in range(500)] + [(i, 1 + i // 2) for i in range(100)] + [(i, -1 - i) for i in range(2000)]
+    places = spark.createDataFrame(rows, "node long, band long")
+    several = places.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("v")).filter("n > 1").withColumn("band_nodes", F.col("n"))
+    found = jaccard.in_shared_bands(places, several)
+    got = Counter((r.node, r.band, r.v, r.band_nodes) for r in found.collect())
+    assert got == Counter([(i, 0, 0, 500) for i in range(500)] + [(i, 1 + i // 2, i // 2 * 2, 2) for i in range(100)])
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in text and "LeftOuter" not in text and text.count("Inner") == text.count("SortMergeJoin") > 0
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.firsts(empty).columns == ["doc_id", "text"]
