@@ -25,6 +25,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8 or more) that with the smallest doc_id.
 
+    Candidates come from SimHash fingerprints, as in op2, and from MinHash bands for the pairs that fingerprints hold further
+    apart; all are checked by their exact similarity.
     A row is known by doc_id and text: what repeats both stays once, another text under the same doc_id is another document.
     Rows without an id come last in their group; null texts and texts without words are alike.
     """
@@ -58,7 +60,7 @@ STAGES = [
     ("byte_level_bpe", tokens),
 ]
 
-# Training and MinHash of the first two stages can't be said in SQL; tests compare with brute force.
+# Training, SimHash and MinHash of the first two stages can't be said in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -1,16 +1,19 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles; candidates meet by bands of MinHash values.
+"""Near-duplicates by SimHash, checked by exact Jaccard similarity of word shingles; bands of MinHash values find the rest.
 
-Texts with equal shingles are one node. Two nodes are candidates if all minima of one of BANDS bands agree, which at
-similarity 0.8 fails in all bands for 3 pairs in 100 000. Four bits of each minimum make a sketch: candidates whose sketches
+Texts with equal shingles are one node. Nodes whose SimHash fingerprints differ in up to RADIUS bits are candidates, as in
+simhash.py. At a similarity of 0.8 fingerprints differ in 3 to 11 bits, which no ball reaches, so two nodes are candidates as
+well if all minima of one of BANDS bands agree, which at that similarity fails in all bands for 3 pairs in 100 000. Four bits of each minimum make a sketch: candidates whose sketches
 differ in more places than one pair in a million at that similarity are no pairs, which is seen where they meet, before any
 text is moved. Only nodes, bands and sketches are stored, some 250 bytes a text; the texts of what is left are read once more
 and compared in blocks.
 
-Every node is compared with the smallest node of its bands first, which joins large groups without their pairs. What is
+Every node is compared first with that node of its bands which meets most others: around a text with many edited copies that
+is one of the least edited, which most of the others are near to, so large groups are joined without their pairs. What is
 left in a band of up to ALL_PAIRS nodes is compared pair by pair. Nodes of larger bands, texts around common boilerplate as
 a rule, are compared by their rarest shingles: of a pair with a Jaccard similarity of a / b or more, the rarest
 (1 - a / b) |set| + 1 of the larger set and the rarest (b - a) / (b + a) |set| + 1 of the smaller one have one in common,
-whatever the order of rareness is, so none is lost.
+whatever the order of rareness is, so none is lost. A pair comes out at the rarest of these only, and if WIDE times 64 one-bit
+minima say that it may be as similar: they are made for these nodes alone and rule out nearly all pairs below 0.7.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from localexplain.llm.common import forget, join_by_share, stored
 from localexplain.llm.components import components
-from localexplain.llm.simhash import shingle_hashes
+from localexplain.llm.simhash import ball_links, fingerprint, shingle_hashes
 
 BANDS = 20
 ROWS = 4  # minima of a band
@@ -35,16 +38,19 @@ SALTS = 8  # tasks that share the nodes of a band
 BLOCK = 256  # nodes that one task compares with one other at a time
 KEY = ["k1", "k2"]
 SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 16)]  # 16 times four bits in each
+WIDE = [f"w{i}" for i in range(24)]  # 64 times one bit in each
+RADIUS = 2
 Share = tuple[int, int]
 
 
-def minima(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """The BANDS * ROWS smallest values of differently mixed hashes."""
+def minima(hashes: np.ndarray, seed: int, n: int = BANDS * ROWS) -> np.ndarray:
+    """The n smallest values of differently mixed hashes."""
     pick = np.random.default_rng(seed)
-    odd, add = (pick.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), PART):
-        mixed = hashes[at : at + PART, None] * (odd * np.uint64(2) + np.uint64(1)) + add
+    odd, add = (pick.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(2))
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    part = max(1, PART * BANDS * ROWS // n)
+    for at in range(0, len(hashes), part):
+        mixed = hashes[at : at + part, None] * (odd * np.uint64(2) + np.uint64(1)) + add
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
@@ -54,10 +60,20 @@ def minima(hashes: np.ndarray, seed: int) -> np.ndarray:
 
 def shingle_set(text: bytes | None, words_per_shingle: int, seed: int) -> np.ndarray:
     """The different shingle hashes of a text in order; without words the set is {0}."""
-    found = np.unique(shingle_hashes(text or b"", words_per_shingle, seed))
+    return set_of(shingle_hashes(text or b"", words_per_shingle, seed))
+
+
+def set_of(hashes: np.ndarray) -> np.ndarray:
+    found = np.unique(hashes)
     return found if len(found) else np.zeros(1, np.uint64)
 
 
+def wide_sketch(found: np.ndarray, seed: int) -> np.ndarray:
+    """The lowest bits of 64 * len(WIDE) further minima of a set."""
+    bits = (minima(found, seed + 1, 64 * len(WIDE)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, k1, k2): 96 bits that stand for a row's doc_id and text; equal rows have equal keys."""
     text = F.col("text").cast("binary")
@@ -65,15 +81,20 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def signatures(rows: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
-    """(doc_id, k1, k2, node, size, bands, sketch columns): node is a hash of the set of shingles, size their number."""
+    """(doc_id, k1, k2, node, size, fp, bands, sketch columns): node is a hash of the set of shingles, size their number.
+
+    fp is the SimHash fingerprint of all shingles, repeats included.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, sizes, bands, sketches = [], [], [], []
+            nodes, sizes, prints, bands, sketches = [], [], [], [], []
             for text in batch.column("text"):
-                found = shingle_set(text.as_py(), words_per_shingle, seed)
+                hashes = shingle_hashes(text.as_py() or b"", words_per_shingle, seed)
+                found = set_of(hashes)
+                prints.append(fingerprint(hashes))
                 least = minima(found, seed).reshape(BANDS, ROWS)
                 sketches.append(((least.reshape(-1, 16) & np.uint64(15)) << np.arange(0, 64, 4, dtype=np.uint64)).sum(1, dtype=np.uint64))
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), seed))
@@ -82,12 +103,12 @@ def signatures(rows: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
             parts = np.array(sketches, np.uint64).reshape(-1, len(SKETCH)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", *KEY)), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                 pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(c.copy()) for c in parts.T)],
-                names=["doc_id", *KEY, "node", "size", "bands", *SKETCH],
+                 pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(c.copy()) for c in parts.T)],
+                names=["doc_id", *KEY, "node", "size", "fp", "bands", *SKETCH],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, k1 bigint, k2 int, node bigint, size bigint, bands array<bigint>"
+    schema = f"doc_id {kind}, k1 bigint, k2 int, node bigint, size bigint, fp bigint, bands array<bigint>"
     schema += "".join(f", {c} bigint" for c in SKETCH)
     return rows.select("doc_id", *KEY, "text").mapInArrow(run, schema)
 
@@ -131,7 +152,7 @@ def alike(pairs: DataFrame, texts: DataFrame, least: Share, words_per_shingle: i
 
 
 def by_rarest(nodes: DataFrame, texts: DataFrame, least: Share, words_per_shingle: int, seed: int) -> DataFrame:
-    """Distinct pairs (u, v), u > v, of the given (node, root, size, sketch) with different roots that share a rare shingle.
+    """Pairs (u, v), u > v, of the given (node, root, size) with different roots that share a rare shingle, each pair once.
 
     Holds every pair with a similarity of least or more. Shingles that only one of the nodes has count as the rarest and
     lead to no pair, so a text whose own words are a fifth of it is compared with nothing.
@@ -140,10 +161,14 @@ def by_rarest(nodes: DataFrame, texts: DataFrame, least: Share, words_per_shingl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, text in zip(batch.column("node"), batch.column("text")):
-                found = shingle_set(text.as_py(), words_per_shingle, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node.as_py())), pa.array(found)], names=["node", "shingle"])
+                found = shingle_set(text.as_py(), words_per_shingle, seed)
+                wide = (pa.array([w], pa.int64()) for w in wide_sketch(found, seed).tolist())
+                cells = pa.array([found.view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), cells, *wide], names=["node", "shingles", *WIDE])
 
-    cells = stored(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node bigint, shingle bigint"), "rare-cells")
+    schema = "node bigint, shingles array<bigint>" + "".join(f", {c} bigint" for c in WIDE)
+    held = stored(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, schema), "rare-cells")
+    cells = held.select("node", F.explode("shingles").alias("shingle"))
     common = cells.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     several = join_by_share(cells, common.withColumn("often", F.col("n")), "shingle", cells.count()).filter("often > 1")
     order = Window.partitionBy("node").orderBy("often", "shingle")
@@ -153,27 +178,51 @@ def by_rarest(nodes: DataFrame, texts: DataFrame, least: Share, words_per_shingl
     shown = F.floor((b - a) * F.col("size") / b) + 1
     kept_back = F.floor((b - a) * F.col("size") / (a + b)) + 1
     place = F.col("at") + F.col("size") - F.col("shared")
-    kept = ranked.join(nodes, "node").filter(place <= shown)
-    rare = stored(kept.select("shingle", "node", "root", "size", *SKETCH, (place <= kept_back).alias("early")), "rarest")
-    larger = rare.select("shingle", F.col("node").alias("u"), *(F.col(c).alias(f"u_{c}") for c in ("root", "size", *SKETCH)))
-    met = larger.join(rare.filter("early"), "shingle").filter(
-        (F.col("u_size") >= F.col("size")) & (F.col("u_root") != F.col("root")) & fits("u_", "", least)
+    kept = ranked.join(nodes.select("node", "size"), "node").filter(place <= shown)
+    listed = F.sort_array(F.collect_list(F.struct("at", "shingle", (place <= kept_back).alias("early"))))  # a part of one text
+    lists = kept.groupBy("node").agg(listed.alias("listed")).join(nodes.select("node", "root", "size"), "node")
+    rare = stored(lists.join(held.select("node", *WIDE), "node"), "rarest")
+    shingles = F.transform("listed", lambda x: x["shingle"])
+    first = F.transform(F.filter("listed", lambda x: x["early"]), lambda x: x["shingle"])
+    larger = rare.select(
+        F.col("node").alias("u"), *(F.col(c).alias(f"u_{c}") for c in ("root", "size", *WIDE)), shingles.alias("u_list"), F.explode(shingles).alias("shingle")
+    )
+    smaller = rare.select("node", "root", "size", *WIDE, first.alias("list"), F.explode(first).alias("shingle"))
+    above = (F.col("u_size") > F.col("size")) | ((F.col("u_size") == F.col("size")) & (F.col("u") > F.col("node")))
+    rarest = F.get(F.array_intersect("u_list", "list"), F.lit(0)) == F.col("shingle")  # both are in order of rareness
+    met = larger.join(smaller, "shingle").filter(
+        above & (F.col("u_root") != F.col("root")) & sizes_fit("u_", "", least) & wide_fit("u_", "", least) & rarest
     )
-    return met.select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v")).distinct()
+    return met.select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v"))
+
+
+def most_of(places: int, miss: float) -> int:
+    """In how many of its places a sketch may differ; at least's own similarity one pair in a million differs in more."""
+    return math.ceil(places * miss + 5.4 * math.sqrt(places * miss * (1 - miss)))
+
+
+def sizes_fit(a: str, b: str, least: Share) -> Column:
+    size = (F.col(f"{a}size"), F.col(f"{b}size"))
+    return F.least(*size) * least[1] >= F.greatest(*size) * least[0]
+
+
+def wide_fit(a: str, b: str, least: Share) -> Column:
+    """Whether two sets can be as similar, by their wide sketches."""
+    different = F.lit(0)
+    for c in WIDE:
+        different = different + F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
+    return different <= most_of(64 * len(WIDE), (1 - least[0] / least[1]) / 2)
 
 
 def fits(a: str, b: str, least: Share) -> Column:
     """Whether two sets can be as similar at all, by their sizes and sketches; a and b are the prefixes of their columns."""
-    size = (F.col(f"{a}size"), F.col(f"{b}size"))
-    places = 16 * len(SKETCH)
-    miss = (1 - least[0] / least[1]) * 15 / 16
-    most = math.ceil(places * miss + 5.4 * math.sqrt(places * miss * (1 - miss)))
+    most = most_of(16 * len(SKETCH), (1 - least[0] / least[1]) * 15 / 16)
     different = F.lit(0)
     for c in SKETCH:
         x = F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))
         low = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
         different = different + F.bit_count(low.bitwiseAND(F.lit(0x1111111111111111)))
-    return (F.least(*size) * least[1] >= F.greatest(*size) * least[0]) & (different <= most)
+    return sizes_fit(a, b, least) & (different <= most)
 
 
 def in_shared_bands(places: DataFrame, several: DataFrame) -> DataFrame:
@@ -187,6 +236,20 @@ def in_shared_bands(places: DataFrame, several: DataFrame) -> DataFrame:
     return salted.join(dealt.hint("merge"), ["band", "salt"]).drop("salt", "n")
 
 
+def near_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the given (node, fp): of nodes with one fingerprint, and of fingerprints within RADIUS bits.
+
+    The smallest node stands for its fingerprint.
+    """
+    prints = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("v"))
+    equal = join_by_share(nodes, prints.filter("n > 1"), "fp", nodes.count()).filter(F.col("node") > F.col("v"))
+    of = prints.select("fp", F.col("v").alias("node"))
+    near = ball_links(prints.select("fp"), RADIUS).withColumnsRenamed({"u": "fp", "v": "other"})
+    near = near.join(of, "fp").select(F.col("node").alias("a"), F.col("other").alias("fp")).join(of, "fp")
+    met = equal.select(F.col("node").alias("u"), "v").unionByName(near.select(F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v")))
+    return met.distinct()
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share = (4, 5), seed: int = 42) -> DataFrame:
     """doc_id, k1, k2, component_id, first: every row of docs with the smallest doc_id reachable over links.
 
@@ -199,16 +262,17 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share =
     rows = keyed(docs)
     found = stored(signatures(rows, words_per_shingle, seed), "signatures")
     places = found.select("node", F.explode("bands").alias("band")).distinct()
-    sketches = stored(found.groupBy("node").agg(F.first("size").alias("size"), *(F.first(c).alias(c) for c in SKETCH)), "sketches")
+    sketches = stored(found.groupBy("node").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in SKETCH)), "sketches")
 
     def of(prefix: str) -> DataFrame:
         """The sketches under other names: the node is the prefix."""
         return sketches.select(F.col("node").alias(prefix), *(F.col(c).alias(f"{prefix}_{c}") for c in ("size", *SKETCH)))
 
-    several = places.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("v")).filter("n > 1")
-    several = several.join(of("v"), "v").withColumn("band_nodes", F.col("n"))
+    prints = stored(near_prints(sketches.select("node", "fp")), "prints")
+    several = places.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("band_nodes", F.col("n"))
     shared = stored(in_shared_bands(places, several), "bands")
-    texts = stored(texts_of(rows, found, shared.select("node").distinct()), "candidates")
+    asked = shared.select("node").unionByName(prints.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    texts = stored(texts_of(rows, found, asked), "candidates")
 
     def compared(pairs: DataFrame) -> DataFrame:
         return stored(alike(pairs, texts, least, words_per_shingle, seed), "near")
@@ -217,15 +281,18 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share =
         named = links.select(F.col("node").alias(node), F.col("root").alias(root))
         return table.join(named, node, "left").withColumn(root, F.coalesce(root, node))
 
-    # The smallest node of a band, first the one with which a node shares most bands, then the others.
+    # The node of a band that meets most others in all its bands, first the one with which a node shares most bands, then the others.
     v_columns = [f"v_{c}" for c in ("size", *SKETCH)]
-    stars = shared.filter(F.col("node") > F.col("v")).groupBy(F.col("node").alias("u"), "v").agg(
+    met = shared.groupBy("node").agg(F.sum("band_nodes").alias("met"))
+    heads = shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("head"))
+    heads = heads.select("band", F.col("head.node").alias("v")).join(of("v"), "v")
+    stars = in_shared_bands(shared, heads).filter(F.col("node") != F.col("v")).groupBy(F.col("node").alias("u"), "v").agg(
         F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in v_columns)
     )
     stars = stars.join(of("u"), "u").filter(fits("u_", "v_", least)).select("u", "v", "n")
     order = Window.partitionBy("u").orderBy(F.col("n").desc(), "v")
     stars = stored(stars.withColumn("n", F.row_number().over(order)), "stars")
-    near = compared(stars.filter("n = 1").select("u", "v"))
+    near = compared(stars.filter("n = 1").select("u", "v").unionByName(prints).distinct())
     roots = components(near, "jaccard")
     others = rooted(roots, rooted(roots, stars.filter("n > 1"), "u", "u_root"), "v", "v_root").filter("u_root != v_root")
     near = near.unionByName(compared(others.select("u", "v")))
@@ -239,14 +306,15 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share =
     other = few.select("band", F.col("node").alias("u"), *(F.col(c).alias(f"u_{c}") for c in ("root", "size", *SKETCH)))
     pairs = other.join(few, "band").filter((F.col("u") > F.col("node")) & (F.col("u_root") != F.col("root")) & fits("u_", "", least))
     pairs = pairs.select("u", F.col("node").alias("v"))
-    many = stored(left.filter(F.col("band_nodes") > ALL_PAIRS).select("node", "root").distinct().join(sketches, "node"), "large-bands")
+    many = left.filter(F.col("band_nodes") > ALL_PAIRS).select("node", "root").distinct()
+    many = stored(many.join(sketches.select("node", "size"), "node"), "large-bands")
     if not many.isEmpty():
         pairs = pairs.unionByName(by_rarest(many, texts, least, words_per_shingle, seed))
     near = near.unionByName(compared(pairs.distinct()))
 
     ends = components(near, "jaccard")
     named = stored(rooted(ends, found.select("doc_id", *KEY, "node"), "node", "root"), "jaccard-roots")
-    for table in (shared, texts, sketches, stars, left, many):
+    for table in (shared, texts, sketches, prints, stars, left, many):
         forget(table)
     unnamed = F.col("doc_id").isNull()
     first = F.min(F.struct(unnamed.alias("unnamed"), "doc_id", *KEY)).alias("first")

@@ -103,6 +103,40 @@ def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
     found = jaccard.near_duplicates(spark.createDataFrame(texts, SCHEMA)).collect()
     assert {r.component_id for r in found} == {0} and sum(r.first for r in found) == 1 and sum(count) < 300 * 10
 
+def test_edited_copies_meet_around_the_least_edited(spark, monkeypatch):
+    pick = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = [(i, " ".join(edited(base, pick.randrange(25), pick))) for i in range(400)]
+    count = []
+    alike = jaccard.alike
+    monkeypatch.setattr(jaccard, "alike", lambda pairs, *rest: (count.append(pairs.count()), alike(pairs, *rest))[1])
+    found = jaccard.near_duplicates(spark.createDataFrame(texts, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == expected(texts)[0]
+    assert sum(count) < 400 * 25
+
+
+def test_rarest_shingles_name_a_pair_once(spark):
+    pick = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    texts = [(i, " ".join(edited(base, pick.randrange(12), pick))) for i in range(60)]
+    sets = {i: shingles(t) for i, t in texts}
+    nodes = spark.createDataFrame([(i, i, len(s)) for i, s in sets.items()], "node long, root long, size long")
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in texts], "node long, text binary")
+    pairs = jaccard.by_rarest(nodes, rows, (4, 5), 5, 42)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    met = Counter((r.u, r.v) for r in pairs.collect())
+    similar = {(u, v): len(sets[u] & sets[v]) / len(sets[u] | sets[v]) for u in sets for v in range(u) if u in sets}
+    assert set(met.values()) == {1} and "Aggregate" not in plan
+    assert {p for p, s in similar.items() if s >= 0.8} <= set(met) and min(similar[p] for p in met) > 0.6
+
+
+def test_simhash_finds_what_bands_would_not(spark, monkeypatch):
+    pick = random.Random(7)
+    words = [f"w{pick.randrange(10**6)}" for _ in range(4000)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words[5:] + words[:5])), (4, "something else altogether is said here")]
+    monkeypatch.setattr(jaccard, "in_shared_bands", lambda places, several: places.join(several, "band").drop("n").filter("false"))
+    found = jaccard.near_duplicates(spark.createDataFrame(texts, SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 def test_rows_of_bands_with_one_node_leave_no_join(spark):
     # a band with a large share of the rows, others with two nodes, most with one
