@@ -281,21 +281,16 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share =
         named = links.select(F.col("node").alias(node), F.col("root").alias(root))
         return table.join(named, node, "left").withColumn(root, F.coalesce(root, node))
 
-    # The node of a band that meets most others in all its bands, first the one with which a node shares most bands, then the others.
+    # Every node with the node of each of its bands that meets most others in all its bands.
     v_columns = [f"v_{c}" for c in ("size", *SKETCH)]
     met = shared.groupBy("node").agg(F.sum("band_nodes").alias("met"))
     heads = shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("head"))
     heads = heads.select("band", F.col("head.node").alias("v")).join(of("v"), "v")
     stars = in_shared_bands(shared, heads).filter(F.col("node") != F.col("v")).groupBy(F.col("node").alias("u"), "v").agg(
-        F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in v_columns)
+        *(F.first(c).alias(c) for c in v_columns)
     )
-    stars = stars.join(of("u"), "u").filter(fits("u_", "v_", least)).select("u", "v", "n")
-    order = Window.partitionBy("u").orderBy(F.col("n").desc(), "v")
-    stars = stored(stars.withColumn("n", F.row_number().over(order)), "stars")
-    near = compared(stars.filter("n = 1").select("u", "v").unionByName(prints).distinct())
-    roots = components(near, "jaccard")
-    others = rooted(roots, rooted(roots, stars.filter("n > 1"), "u", "u_root"), "v", "v_root").filter("u_root != v_root")
-    near = near.unionByName(compared(others.select("u", "v")))
+    stars = stars.join(of("u"), "u").filter(fits("u_", "v_", least)).select("u", "v")
+    near = compared(stars.unionByName(prints).distinct())
     roots = components(near, "jaccard")
 
     # What is left in bands that hold more than one root.
@@ -314,7 +309,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share =
 
     ends = components(near, "jaccard")
     named = stored(rooted(ends, found.select("doc_id", *KEY, "node"), "node", "root"), "jaccard-roots")
-    for table in (shared, texts, sketches, prints, stars, left, many):
+    for table in (shared, texts, sketches, prints, left, many):
         forget(table)
     unnamed = F.col("doc_id").isNull()
     first = F.min(F.struct(unnamed.alias("unnamed"), "doc_id", *KEY)).alias("first")
