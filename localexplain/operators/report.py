@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from localexplain.functions import vectors
 from localexplain.functions.names import direction, display_name, feature_group, feature_name
 from localexplain.operators.fit import local_delta
-from localexplain.operators.moments import UNROLLED_GRAM
 from localexplain.operators.second_pass import refit_curve
 from localexplain.plans.explain import refit_samples
-from localexplain.sources.models import BatchModel
+from localexplain.sources.models import BatchModel, Model
 
 
 def top_k(fits: DataFrame, k: int = 15, names: Sequence[str] | None = None) -> DataFrame:
@@ -91,10 +90,10 @@ def ablation_curve(
     their sample mean, k = 0..min(max_features, D).
 
     The samples are made again from the fit rows; each adds its whole curve at once, so the only
-    aggregation is one sum per k and fit.  Wide samples are drawn and summed in one fused pass.
+    aggregation is one sum per k and fit.  Black boxes on arrays are drawn, scored and summed in one fused pass.
     """
     d = len(background)
-    if d > UNROLLED_GRAM or isinstance(model, BatchModel):
+    if isinstance(model, Model | BatchModel):
         return refit_curve(fits, model, background, max_features, include_intercept, **sampling)
     n = min(max_features, d)
     order = F.transform(F.slice(vectors.by_strength(F.col("coeff")), 1, n), lambda s: s["idx"])

@@ -53,18 +53,18 @@ def refit_sums(
             keys = draws.sample_keys(seed, ids[r], np.arange(lo, hi + 1))
             off, masked = draws.draw_offsets(keys, x0[r], means, mask_prob, noise_std)
             pred = predict(x0[r], off, masked)
-            w = np.exp(-(off * off).sum(2) / width)
+            w = np.exp(-draws.squared(off) / width)
             y = pred - bb[r, None]
-            start = np.einsum("mbd,md->mb", off, coeff[r]) + at_x0[r, None]
+            start = draws.along(off, coeff[r]) + at_x0[r, None]
             miss = pred - start - intercept[r, None]
             for i, term in enumerate((w, w * y, w * y * y, w * miss * miss)):
                 total[r, i] += term.sum(1)
             curve = start + intercept[r, None] if include_intercept else start
             total[r, HEAD] += (w * np.abs(curve - pred)).sum(1)
             for k in range(n):
-                x = np.take_along_axis(off, order[r, None, k : k + 1], 2)[..., 0] + np.take_along_axis(x0[r], order[r, k : k + 1], 1)
+                x = np.moveaxis(off, 2, 0)[order[r, k], np.arange(len(r))] + np.take_along_axis(x0[r], order[r, k : k + 1], 1)
                 curve = curve + coeff_of[r, k, None] * (mean_of[r, k, None] - x)
-                total[r, HEAD + 1 + k] += (w * np.abs(curve - pred)).sum(1)
+                total[r, HEAD + 1 + k] += np.einsum("mb,mb->m", w, np.abs(curve - pred))
         return pa.RecordBatch.from_pydict({"instance_id": batch["instance_id"], "solver": batch["solver"], "s": vectors(total)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from localexplain.operators import agree, prep, timings, validate
+from localexplain.functions import draws
+from localexplain.operators import agree, moments, prep, report, timings, validate
 from localexplain.operators.fit import local_delta
 from localexplain.plans import compare, sweep
 from localexplain.plans import explain as ex
@@ -148,3 +149,37 @@ def test_repeated_fits_of_a_source_are_an_error(spark):
         agree.compare_pairs(fits.unionAll(other).unionAll(fits), ["a", "b"]).collect()
     text = plan(agree.by_source(fits, ["a", "b"]))
     assert "SortAggregate" not in text
+
+
+def test_narrow_fits_are_solved_where_their_sums_are_made(spark, sf):
+    """No aggregation over samples, and sums never leave the worker: one Arrow step, also for the second pass of a curve."""
+    inst, model, bg = q.lines(spark, sf)
+    table = plan(inst).count("HashAggregate")
+    text = plan(ex.explain(inst, model, bg, n_samples=16))
+    assert text.count("HashAggregate") == table and text.count("MapInArrow") == 1 and "Generate" not in text
+    fits = ex.explain(inst, model, bg, n_samples=16)
+    text = plan(report.ablation_curve(fits, model, bg, n_samples=16))
+    assert text.count("HashAggregate") == table and text.count("MapInArrow") == 2
+
+
+@pytest.mark.parametrize("d", [1, 2, 5, 8, 9])
+def test_blocks_of_narrow_samples_hold_the_same_draws_and_sums(d):
+    pick = np.random.default_rng(d)
+    x0, means, w = pick.normal(size=(6, d)), pick.normal(size=d), pick.random((6, 40))
+    keys = draws.sample_keys(-3, pick.integers(-(10**12), 10**12, 6), np.arange(40))
+    off, masked = draws.draw_offsets(keys, x0, means, 0.3, 0.1)
+    f = np.arange(d)
+    assert np.array_equal(masked, draws.words(keys, 4 * (f // 2) + f % 2) < 0.3 * 2.0**32) and masked.shape == (6, 40, d)
+    assert np.array_equal(off[masked], np.broadcast_to((means - x0)[:, None], off.shape)[masked])
+    r = np.sqrt(-2 * np.log((draws.words(keys, 4 * (f // 2) + 2) + 1.0) / 2**32))
+    a = draws.words(keys, 4 * (f // 2) + 3) * (2 * np.pi / 2**32)
+    assert np.allclose(off[~masked], (0.1 * r * np.where(f % 2, np.sin(a), np.cos(a)))[~masked], rtol=1e-12, atol=0)
+    assert np.allclose(draws.squared(off), (off * off).sum(2), rtol=1e-13)
+    assert np.allclose(draws.along(off, means), off @ means) and np.allclose(draws.along(off, x0), np.einsum("mbd,md->mb", off, x0))
+    y, s = pick.normal(size=(6, 40)), moments.HEAD
+    got = moments.block_sums(off, w, y)
+    assert got.shape == (6, moments.size_of(d)) and np.allclose(got[:, :s], np.stack([np.full(6, 40.0), w.sum(1), (w * y).sum(1), (w * y * y).sum(1)], 1))
+    gram = np.einsum("mb,mbi,mbj->mij", w, off, off)[:, *np.triu_indices(d)]
+    weighted = off * w[..., None]
+    parts = [off.sum(1), (off * off).sum(1), weighted.sum(1), (weighted * y[..., None]).sum(1), gram]
+    assert np.allclose(got[:, s:], np.concatenate(parts, 1))
