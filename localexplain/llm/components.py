@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from localexplain.llm.common import forget, stored
+from localexplain.llm.common import forget, settled
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -21,7 +21,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     shared folder, where they survive lost executors.
     """
     u, v = F.col("u"), F.col("v")
-    edges = stored(links.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), name)
+    edges = settled(links.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), name)
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
@@ -31,7 +31,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(v.alias("u"), F.col("m").alias("v")))
-        new = stored(small.filter(u != v).distinct(), name)
+        new = settled(small.filter(u != v).distinct(), name)
         before, mark = mark, _mark(new)
         forget(edges)
         edges = new

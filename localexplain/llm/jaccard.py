@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from localexplain.llm.common import forget, join_by_share, stored
+from localexplain.llm.common import forget, join_by_share, settled
 from localexplain.llm.components import components
 from localexplain.llm.simhash import ball_links, fingerprint, shingle_hashes
 
@@ -167,7 +167,7 @@ def by_rarest(nodes: DataFrame, texts: DataFrame, least: Share, words_per_shingl
                 yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), cells, *wide], names=["node", "shingles", *WIDE])
 
     schema = "node bigint, shingles array<bigint>" + "".join(f", {c} bigint" for c in WIDE)
-    held = stored(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, schema), "rare-cells")
+    held = settled(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, schema), "rare-cells")
     cells = held.select("node", F.explode("shingles").alias("shingle"))
     common = cells.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     several = join_by_share(cells, common.withColumn("often", F.col("n")), "shingle", cells.count()).filter("often > 1")
@@ -181,7 +181,7 @@ def by_rarest(nodes: DataFrame, texts: DataFrame, least: Share, words_per_shingl
     kept = ranked.join(nodes.select("node", "size"), "node").filter(place <= shown)
     listed = F.sort_array(F.collect_list(F.struct("at", "shingle", (place <= kept_back).alias("early"))))  # a part of one text
     lists = kept.groupBy("node").agg(listed.alias("listed")).join(nodes.select("node", "root", "size"), "node")
-    rare = stored(lists.join(held.select("node", *WIDE), "node"), "rarest")
+    rare = settled(lists.join(held.select("node", *WIDE), "node"), "rarest")
     shingles = F.transform("listed", lambda x: x["shingle"])
     first = F.transform(F.filter("listed", lambda x: x["early"]), lambda x: x["shingle"])
     larger = rare.select(
@@ -260,22 +260,22 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share =
     no rows.
     """
     rows = keyed(docs)
-    found = stored(signatures(rows, words_per_shingle, seed), "signatures")
+    found = settled(signatures(rows, words_per_shingle, seed), "signatures")
     places = found.select("node", F.explode("bands").alias("band")).distinct()
-    sketches = stored(found.groupBy("node").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in SKETCH)), "sketches")
+    sketches = settled(found.groupBy("node").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in SKETCH)), "sketches")
 
     def of(prefix: str) -> DataFrame:
         """The sketches under other names: the node is the prefix."""
         return sketches.select(F.col("node").alias(prefix), *(F.col(c).alias(f"{prefix}_{c}") for c in ("size", *SKETCH)))
 
-    prints = stored(near_prints(sketches.select("node", "fp")), "prints")
+    prints = settled(near_prints(sketches.select("node", "fp")), "prints")
     several = places.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("band_nodes", F.col("n"))
-    shared = stored(in_shared_bands(places, several), "bands")
+    shared = settled(in_shared_bands(places, several), "bands")
     asked = shared.select("node").unionByName(prints.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
-    texts = stored(texts_of(rows, found, asked), "candidates")
+    texts = settled(texts_of(rows, found, asked), "candidates")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return stored(alike(pairs, texts, least, words_per_shingle, seed), "near")
+        return settled(alike(pairs, texts, least, words_per_shingle, seed), "near")
 
     def rooted(links: DataFrame, table: DataFrame, node: str, root: str) -> DataFrame:
         named = links.select(F.col("node").alias(node), F.col("root").alias(root))
@@ -296,19 +296,19 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share =
     # What is left in bands that hold more than one root.
     placed = rooted(roots, shared, "node", "root").select("band", "node", "root", "band_nodes")
     split = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b")
-    left = stored(join_by_share(placed, split.withColumn("is_open", F.lit(True)), "band", shared.count()).filter("is_open"), "open-bands")
+    left = settled(join_by_share(placed, split.withColumn("is_open", F.lit(True)), "band", shared.count()).filter("is_open"), "open-bands")
     few = left.filter(F.col("band_nodes") <= ALL_PAIRS).select("band", "node", "root").join(sketches, "node")
     other = few.select("band", F.col("node").alias("u"), *(F.col(c).alias(f"u_{c}") for c in ("root", "size", *SKETCH)))
     pairs = other.join(few, "band").filter((F.col("u") > F.col("node")) & (F.col("u_root") != F.col("root")) & fits("u_", "", least))
     pairs = pairs.select("u", F.col("node").alias("v"))
     many = left.filter(F.col("band_nodes") > ALL_PAIRS).select("node", "root").distinct()
-    many = stored(many.join(sketches.select("node", "size"), "node"), "large-bands")
+    many = settled(many.join(sketches.select("node", "size"), "node"), "large-bands")
     if not many.isEmpty():
         pairs = pairs.unionByName(by_rarest(many, texts, least, words_per_shingle, seed))
     near = near.unionByName(compared(pairs.distinct()))
 
     ends = components(near, "jaccard")
-    named = stored(rooted(ends, found.select("doc_id", *KEY, "node"), "node", "root"), "jaccard-roots")
+    named = settled(rooted(ends, found.select("doc_id", *KEY, "node"), "node", "root"), "jaccard-roots")
     for table in (shared, texts, sketches, prints, left, many):
         forget(table)
     unnamed = F.col("doc_id").isNull()
@@ -325,7 +325,7 @@ def firsts(docs: DataFrame, words_per_shingle: int = 5, least: Share = (4, 5), s
     Rows that repeat a doc_id and a text are one document, of which one row stays. A group's row is found by its doc_id and
     text, so another text under the same doc_id stays if nothing else holds it. See near_duplicates() for odd input.
     """
-    found = stored(near_duplicates(docs, words_per_shingle, least, seed), "judged").filter("first")
+    found = settled(near_duplicates(docs, words_per_shingle, least, seed), "judged").filter("first")
     once = found.groupBy(*(F.col(c).alias(f"_{c}") for c in KEY)).agg(F.count(F.lit(1)).alias("_n"))
     text = F.col("text").cast("binary")
     here = docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row"), "doc_id", "text")

@@ -1,12 +1,14 @@
 """Near-duplicates by five-word shingles against brute force, and what boilerplate costs."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from localexplain.llm import jaccard
+from localexplain.llm.components import components
 
 SCHEMA = "doc_id long, text string"
 
@@ -153,3 +155,24 @@ def test_rows_of_bands_with_one_node_leave_no_join(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.firsts(empty).columns == ["doc_id", "text"]
+
+
+def test_rounds_of_components_drop_their_shuffles(spark):
+    """What a round has written and read again is not held on, in the driver or on disk, until the driver happens to collect."""
+
+    def held() -> int:
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    def falls_to(most: int) -> bool:
+        for _ in range(50):
+            if held() <= most:
+                return True
+            time.sleep(0.2)
+        return False
+
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = held()
+    roots = components(spark.range(300).selectExpr("id + 1 AS u", "id AS v"), "chain")
+    assert falls_to(before + 6), (before, held())  # a round makes as many, there are at least five rounds
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(1, 301)}
