@@ -305,7 +305,9 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: Share =
     many = settled(many.join(sketches.select("node", "size"), "node"), "large-bands")
     if not many.isEmpty():
         pairs = pairs.unionByName(by_rarest(many, texts, least, words_per_shingle, seed))
-    near = near.unionByName(compared(pairs.distinct()))
+    # Each group that is known is a star by now: only new links take further rounds.
+    known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    near = known.unionByName(compared(pairs.distinct()))
 
     ends = components(near, "jaccard")
     named = settled(rooted(ends, found.select("doc_id", *KEY, "node"), "node", "root"), "jaccard-roots")
