@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from localexplain.operators import fit, moments
 from localexplain.operators.perturb import INSTANCES_PER_TASK, perturb, range_size
@@ -34,6 +35,50 @@ def test_wide_replay_moves_its_samples_once(spark, sf):
     assert "salt" not in [part for line in text.splitlines() if "REPARTITION" in line for part in line.replace("#", " ").replace("(", " ").split()]
 
 
+def test_wide_replay_leaves_its_samples_where_they_are_made(spark, sf):
+    # a shuffle above the draws would move B vectors of every instance: only instance rows and sums are moved
+    lines = plan(q.QUERIES["fit_replayed_wide"](spark, sf)).splitlines()
+    (join,) = [i for i, line in enumerate(lines) if "Join [" in line]
+    depth = lines[join].index("ShuffledHashJoin")
+    (right,) = [i for i in range(join + 1, len(lines)) if lines[i][depth : depth + 3] == "+- "]
+    left = [line.strip(" :+-").split()[0] for line in lines[join + 1 : right]]
+    assert left.count("Exchange") == 1 and "MapInArrow" not in left
+    assert left.index("Generate") < left.index("ArrowWindowPython") < left.index("Exchange") and "Sort" not in left[: left.index("ArrowWindowPython")]
+
+
+@pytest.mark.parametrize("d, b", [(3, 50), (16, 50), (16, 9000), (300, 4100)])
+def test_salted_samples_are_the_same_rows(spark, d, b):
+    inst, model, bg = setup(spark, d, n=3)
+    inst = inst.withColumn("tag", F.expr("string(instance_id)"))
+    plain, placed = (perturb(inst, bg, b, salted=s) for s in (False, True))
+    assert placed.columns == ["instance_id", "x0", "tag", "_salt", "sample_id", "x", "z"]
+    assert plain.exceptAll(placed.drop("_salt")).isEmpty() and placed.count() == 3 * b
+    want, got = (by_key(explain(inst, model, samples=p.drop("x0", "tag"))) for p in (plain, placed))
+    assert want.keys() == got.keys() and len(got) == 3
+    assert all(got[i].n_samples == b and np.allclose(got[i].coeff, want[i].coeff, rtol=1e-9, atol=1e-12) for i in got)
+
+
+@pytest.mark.parametrize("d", [3, 16])
+def test_salted_samples_find_the_same_errors(spark, d):
+    inst, model, bg = setup(spark, d, n=3)
+    stored = perturb(inst, bg, 50, salted=True).drop("x0")
+    with pytest.raises(Exception, match="no instance for the samples of 2"):
+        explain(inst.where("instance_id < 2"), model, samples=stored).collect()
+    with pytest.raises(Exception, match="instance 1 occurs more than once"):
+        perturb(inst.unionAll(inst.where("instance_id = 1")), bg, 50, salted=True).collect()
+    with pytest.raises(ValueError, match="partitions=0"):
+        perturb(inst, bg, 50, salted=True, partitions=0)
+    # sets of one salt and of two: no sample gets lost unseen, and without the column they are joined as any others
+    both = stored.where("instance_id < 2").unionAll(perturb(inst.where("instance_id = 2"), bg, 5000, salted=True).drop("x0"))
+    with pytest.raises(Exception, match="other salts"):
+        explain(inst, model, samples=both).collect()
+    fits = by_key(explain(inst, model, samples=both.drop("_salt")))
+    assert [fits[i].n_samples for i in range(3)] == [50, 50, 5000]
+    # moved since, they are joined again
+    moved = by_key(explain(inst, model, samples=stored.repartition(3)))
+    assert [moved[i].n_samples for i in range(3)] == [50, 50, 50]
+
+
 @pytest.mark.parametrize("d", [3, 11])
 def test_runs_of_samples_add_up_like_dealt_ones(spark, d):
     inst, model, bg = setup(spark, d)
